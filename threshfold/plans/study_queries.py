@@ -253,7 +253,7 @@ def matched_cohort(spark, d):
     f"""WITH {_COHORT}, nt AS (SELECT greatest(1, round((SELECT count(*) FROM treated) / greatest((SELECT count(*) FROM pool), 1))) AS per),
  q AS (SELECT ticker, 1 AS part, CAST(floor(i / per) AS BIGINT) AS turn, 0 AS who, i FROM (SELECT ticker, row_number() OVER (ORDER BY n_mentions DESC, ticker) - 1 AS i FROM treated), nt
  UNION ALL SELECT ticker, 1, i, 1, i FROM (SELECT ticker, row_number() OVER (ORDER BY ticker) - 1 AS i FROM pool) UNION ALL SELECT ticker, 0, 0, 0, 0 FROM (SELECT ticker FROM px GROUP BY 1 ORDER BY count(*) DESC, ticker LIMIT 2)),
- o AS (SELECT ticker, min((part, turn, who, i)) AS at FROM q GROUP BY 1) SELECT row_number() OVER (ORDER BY at, ticker) AS place, ticker FROM o"""
+ o AS (SELECT ticker, min((part, turn, who, i)) AS first_at FROM q GROUP BY 1) SELECT row_number() OVER (ORDER BY first_at, ticker) AS place, ticker FROM o"""
 )
 def fetch_plan(spark, d):
     """Benchmarks first, then treated and controls in proportion."""
