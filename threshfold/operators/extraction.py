@@ -280,18 +280,23 @@ def extract_mentions(docs: DataFrame, lex: Lexicon) -> DataFrame:
     return docs.where(F.col("text").isNotNull()).select(*_KEEP, "title", "text").mapInPandas(run, MENTION)
 
 
-def ngrams(text: Column, n: int) -> Column:
-    """All runs of ``n`` words in lower case."""
+def ngrams(text: Column, longest: int) -> Column:
+    """All runs of one to ``longest`` words in lower case; each length is the one before zipped with
+    the words that follow, so the words are cut once per length and not once per place."""
     w = F.filter(F.split(F.lower(text), "[^a-z0-9&]+"), lambda x: x != "")
-    return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array())
+    out, runs = [w], w
+    for n in range(2, longest + 1):
+        size = F.greatest(F.size(w) - (n - 1), F.lit(0))
+        runs = F.zip_with(F.slice(runs, F.lit(1), size), F.slice(w, F.lit(n), size), lambda a, b: F.concat_ws(" ", a, b))
+        out.append(runs)
+    return F.concat(*out)
 
 
 def ngram_matches(docs: DataFrame, names: DataFrame, doc_id: str, text: str, longest: int = 4) -> DataFrame:
     """``doc_id, name, n``: names (``name``) that occur in texts as whole words, by a join of
     exploded n-grams; overlapping names all count. For dictionaries of any size."""
     n = F.size(F.split("name", " "))
-    grams = F.flatten(F.array(*[ngrams(F.col(text), k) for k in range(1, longest + 1)]))
-    x = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.explode(grams).alias("name")).groupBy("doc_id", "name").agg(F.count(F.lit(1)).alias("n"))
+    x = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.explode(ngrams(F.col(text), longest)).alias("name")).groupBy("doc_id", "name").agg(F.count(F.lit(1)).alias("n"))
     return x.join(names.where(n <= longest).select("name").distinct(), "name").select("doc_id", "name", "n")
 
 

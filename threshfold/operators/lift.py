@@ -23,14 +23,20 @@ def strata_edges(rows: DataFrame, value: str = "dollar_volume", n: int = STRATA)
     v = rows.where(F.col(value) > 0).groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
     total = v.agg(F.coalesce(F.sum("c"), F.lit(0))).scalar()
     v = v.withColumn("hi", F.sum("c").over(W.orderBy("v"))).withColumn("lo", F.col("hi") - F.col("c"))
-    places = F.array(*[F.floor(total * i / n) for i in range(1, n)])
-    hit = v.where(total >= n).where(F.exists(places, lambda p: (p >= F.col("lo")) & (p < F.col("hi"))))
+    holds = F.lit(False)
+    for i in range(1, n):
+        place = F.floor(total * i / n)
+        holds = holds | ((place >= F.col("lo")) & (place < F.col("hi")))
+    hit = v.where((total >= n) & holds)
     return hit.agg(F.array_sort(F.collect_set("v")).alias("edges"))
 
 
 def stratum(value: Column, edges: Column) -> Column:
     """How many edges the value reaches; 0 for null and non-positive values."""
-    return F.when(value > 0, F.size(F.filter(edges, lambda e: value >= e))).otherwise(0)
+    reached = F.lit(0)
+    for i in range(STRATA - 1):
+        reached = reached + F.when(value >= F.get(edges, F.lit(i)), 1).otherwise(0)
+    return F.when(value > 0, reached).otherwise(0)
 
 
 def stratified(rows: DataFrame, edges: DataFrame, value: str = "dollar_volume") -> DataFrame:

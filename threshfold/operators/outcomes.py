@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from threshfold.functions.stats import add_years
 from threshfold.operators.timejoin import asof_backward, asof_forward
+from threshfold.session import written
 
 TOLERANCE = 15
 SIZE_DAYS = 60
@@ -48,14 +49,18 @@ def outcomes(cohort: DataFrame, prices: DataFrame, horizons: tuple[int, ...], be
     before rounding. ``exit_reason``: horizon, series_ended, hole (prices resume later) or censored
     (the target lies behind the last day of all prices). ``benchmark`` (``date, price``) gives
     return, excess and whether the name did better; null where it has no price.
+
+    Every match reads its points twice (as questions and as rows), so the rows, names times
+    horizons, are written to the shared folder between matches instead of computed again.
     """
-    c = asof_forward(cohort, prices, "ticker", "formation_date", TOLERANCE, ["price", "dollar_volume"]).where("entry_price > 0")
-    c = c.withColumn("horizon_years", F.explode(F.array(*[F.lit(h) for h in horizons]))).withColumn("target", add_years(F.col("entry_date"), F.col("horizon_years")))
+    c = asof_forward(written(cohort, "cohort"), prices, "ticker", "formation_date", TOLERANCE, ["price", "dollar_volume"]).where("entry_price > 0")
+    c = written(c, "entries").withColumn("horizon_years", F.explode(F.array(*[F.lit(h) for h in horizons]))).withColumn("target", add_years(F.col("entry_date"), F.col("horizon_years")))
     c = asof_forward(c, prices, "ticker", "target", TOLERANCE, ["price"], prefix="at_")
-    c = asof_backward(c, prices, "ticker", "target", ["price"], prefix="last_")
+    c = asof_backward(written(c, "targets"), prices, "ticker", "target", ["price"], prefix="last_")
     c = c.withColumn("survived_full_horizon", F.col("at_date").isNotNull())
     c = c.withColumn("exit_date", F.coalesce("at_date", "last_date")).withColumn("exit_price", F.coalesce("at_price", "last_price"))
     c = c.where(F.col("survived_full_horizon") | (F.col("exit_date") > F.col("entry_date")))
+    c = written(c, "exits")
     ends = prices.groupBy("ticker").agg(F.max("date").alias("__end"))
     last = prices.agg(F.max("date")).scalar()
     c = c.join(ends, "ticker", "left").withColumn("__all_end", last)

@@ -17,7 +17,7 @@ from threshfold.operators import review as R
 from threshfold.operators import series as Z
 from threshfold.operators import timejoin as J
 from threshfold.operators.once import deliver_once
-from threshfold.session import table
+from threshfold.session import table, written
 
 YEARS = (2019, 2020, 2021)
 MIN_AUTHORS = 20
@@ -57,7 +57,7 @@ def _treated(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _cohort(spark: SparkSession, d: str) -> DataFrame:
-    t = _treated(spark, d)
+    t = written(_treated(spark, d), "treated")
     c = C.matched_dates(t, C.control_pool(_prices(spark, d).select("ticker"), t), SEED)
     a = t.select("ticker", F.lit("treated").alias("grp"), F.col("first_mention").alias("formation_date"), "n_mentions", "n_authors")
     zero = F.lit(0).cast("long")
@@ -70,9 +70,18 @@ def _benchmark(px: DataFrame) -> DataFrame:
     return px.where(F.col("ticker") == name).select("date", "price")
 
 
+#: Analysis tables by application and data directory: most queries start from the same one.
+_ANALYSES: dict[tuple[str, str], DataFrame] = {}
+
+
 def _analysis(spark: SparkSession, d: str) -> DataFrame:
-    px = _prices(spark, d)
-    return O.outcomes(_cohort(spark, d), px, HORIZONS, _benchmark(px))
+    """The analysis table, computed once per application and directory and read from the shared
+    folder by every query on it."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _ANALYSES:
+        px = written(_prices(spark, d), "prices")
+        _ANALYSES[key] = written(O.outcomes(_cohort(spark, d), px, HORIZONS, _benchmark(px)), "analysis")
+    return _ANALYSES[key]
 
 
 def _names(spark: SparkSession, d: str, horizon: int = 2) -> DataFrame:
@@ -338,7 +347,7 @@ def outcome_labels(spark, d):
 
 @query(f"WITH {_NAMES} SELECT pos - 1 AS i, round(e, 2) AS edge FROM (SELECT unnest(edges) AS e, generate_subscripts(edges, 1) AS pos FROM edges)")
 def strata_edges(spark, d):
-    a = _analysis(spark, d).where("horizon_years = 2")
+    a = _analysis(spark, d).where("horizon_years = 2").select("dollar_volume")
     return L.strata_edges(a).select(F.posexplode("edges").alias("i", "edge")).select(F.col("i").cast("long").alias("i"), F.round("edge", 2).alias("edge"))
 
 
