@@ -76,7 +76,7 @@ def test_containers(spark, docs):
             assert sum(x[2] for x in mine) == n and [x[1] for x in mine] == [512 * k for k in range(max(1, -(-n // 512)))]
             assert len(mine) == 1 or n > 512
     assert {r.doc_id for r in rows if r.container is None} == {d.doc_id for d in docs.collect() if not d.text}
-    rep = K.fill_report(K.containers(docs, capacity=512)).first()
+    rep = K.fill_report(K.containers(docs, capacity=512), 512).first()
     assert rep.n_containers - rep.least_containers <= 1 and rep.unused_share < 0.02
 
 

@@ -26,7 +26,7 @@ def found(text):
         ("u/some_one said, @fleet_68 posted www.mail.example/q4", []),
         ("call (303) 555-0163 or +44 20 7946 0528", [("phone", "(303) 555-0163"), ("phone", "+44 20 7946 0528")]),
         ("tel 0044 (0)7700 900203, 617 - 555 - 0130 ext. 12", [("phone", "0044 (0)7700 900203"), ("phone", "617 - 555 - 0130")]),
-        ("text five five five, two one two five five five zero one two three", [("phone", "two one two five five five zero one two three")]),
+        ("text me at five: two one two five five five zero one two three", [("phone", "two one two five five five zero one two three")]),
         ("whatsapp 5125550124 for it", [("phone", "5125550124")]),
         ("lot 8647183055 of 4053-38, accession 0003518453-25-517528, 9,912,710,007 shares, order 476-0207566", []),
         ("my SSN (978-09-1415) and ssn 959050947", [("id_number", "978-09-1415"), ("id_number", "959050947")]),

@@ -15,6 +15,9 @@ def form(t):
 P = "In practice the margin of this company is better than it was, and management knows that. "
 
 
+LONG = "".join(P.replace("margin", f"margin in {i} of part {i * 7 % 100}") for i in range(700))
+
+
 @pytest.mark.parametrize(
     ("text", "want"),
     [
@@ -25,7 +28,8 @@ P = "In practice the margin of this company is better than it was, and managemen
         ("Leider scheint das Management viel zu optimistisch, obwohl die Schulden steigen.", "prose"),
         ("À mon avis la dette nette reste raisonnable malgré un risque évident.", "prose"),
         ("Según el informe la directiva no convence a nadie y voy a esperar.", "prose"),
-        (P * 400, "prose"),
+        (LONG, "prose"),
+        (P * 400, "junk"),  # one sentence again and again is repetition
         ("- ABC\n- cheap margin\n- XYZ\n- tired brand", "list"),
         ("1. ABC\n2. cheap margin\n3. XYZ", "list"),
         ("* [ABC](https://b.example/r/1)\n* [cheap brand](https://b.example/r/2)\n* [X](https://b.example/r/3)", "list"),
@@ -76,7 +80,7 @@ def test_any_text(texts):
 
 
 def test_table(spark):
-    df = spark.createDataFrame([(1, P, 3), (2, None, 3), (3, "", 3), (None, P * 900, 3), (1, P, 3)], "doc_id long, text string, n_words int")
+    df = spark.createDataFrame([(1, P, 3), (2, None, 3), (3, "", 3), (None, LONG, 3), (1, P, 3)], "doc_id long, text string, n_words int")
     words = spark.createDataFrame([(w, i) for i, w in enumerate(COMMON)] + [(None, 99)], "word string, rank_no int")
     got = Q.quality(df, words).collect()
     assert sorted((r.doc_id or 0, r.form) for r in got) == [(0, "prose"), (1, "prose"), (1, "prose"), (3, "prose")]

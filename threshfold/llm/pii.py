@@ -125,7 +125,7 @@ _ID_SHAPE = re.compile(r"(?<![\w.-])(?:\d{3}-\d{2}-\d{4}|[A-Z]{2} ?\d{2} ?\d{2}
 
 _PHONE = re.compile(
     r"(?<![\w.,$€£%/#-])(?:"
-    r"(?:\+|00)\d{1,3}[\s.\-]?(?:\(\d{1,4}\)[\s.\-/]?)?\d{1,5}(?:[\s.\-/]{1,3}\d{2,5}){0,5}"  # international
+    r"(?:\+|00)\d{1,3}[\s.\-]?(?:\(\d{1,4}\)[\s.\-/]?)?\d{1,5}(?:[\s.\-/]{1,3}\d{2,8}){0,5}"  # international
     r"|\+?1?[\s.\-]{0,3}\(\d{3}\)\s?\d{3}[\s.\-]{1,3}\d{4}"  # (303) 555-0163, +1(303)555-0127
     r"|(?:1[\s.\-]{1,3})?[2-9]\d{2}(?P<sep>[\s.\-]{1,3})[2-9]\d{2}(?P=sep)\d{4}"  # 617 - 555 - 0130
     r"|[2-9]\d{2}[2-9]\d{6}"  # 6175550116
