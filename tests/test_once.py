@@ -55,8 +55,8 @@ def test_range_set():
 
 
 def test_batches_with_ranges(spark):
-    first = table(spark, [(1, "00000a", 1), (2, "00000b", 1), (3, "00000d", 1), (4, "odd id", 1)])
-    second = table(spark, [(5, "00000B", 9), (6, "00000c", 1), (7, "00000c", 2), (8, "ODD ID", 1), (9, "new odd!", 1), (10, None, 1)])
+    first = table(spark, [(1, "00000a", 1), (2, "00000b", 1), (3, "00000d", 1), (4, "odd-id", 1)])
+    second = table(spark, [(5, "00000B", 9), (6, "00000c", 1), (7, "00000c", 2), (8, "ODD-ID ", 1), (9, "new odd!", 1), (10, None, 1)])
     ranges = O.seen_ranges(first)
     assert sorted((r.lo, r.hi) for r in ranges.collect()) == [(10, 11), (13, 13)]
     got = O.accept_batch(second, ranges, O.seen_keys(first))

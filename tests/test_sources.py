@@ -17,7 +17,7 @@ def test_ndjson_and_csv(spark, tmp_path):
     assert files.read_ndjson(spark, str(tmp_path / "none"), files.MENTIONS).count() == 0
     bad = tmp_path / "p.ndjson"
     bad.write_text('{"id": "a"}\nnot json\n')
-    assert files.read_ndjson(spark, str(bad), files.POSTS).where("_corrupt_record is not null").count() == 1
+    assert files.read_ndjson(spark, str(bad), files.POSTS).cache().where("_corrupt_record is not null").count() == 1
     df = spark.createDataFrame([("b", 2, None), ("a", 1, 'x,"y"')], "k string, n int, t string")
     files.write_csv(df, str(tmp_path / "c"), ["n", "k", "t"], order=["n"])
     back = files.read_csv(spark, str(tmp_path / "c"), "k string, n int, missing string")
@@ -87,7 +87,7 @@ def test_paging(tmp_path):
 
 def test_paged_source(spark, tmp_path):
     (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "s.ndjson").write_text("".join(json.dumps({"id": f"r{i % 450}", "created_utc": (i % 450) * 60}) + "\n" for i in range(500)))
+    (tmp_path / "in" / "s.ndjson").write_text("".join(json.dumps({"id": f"r{i % 450}", "created_utc": 60 + (i % 450) * 60}) + "\n" for i in range(500)))
     paged.register(spark)
     o = {"path": f"{tmp_path}/in/*.ndjson", "start": "0", "end": "30000", "partitions": "3", "step": "10000"}
     assert spark.read.format("paged").options(**o).load().select("id").distinct().count() == 450

@@ -96,7 +96,7 @@ def bootstrap(rows: DataFrame, n_boot: int = 2000, seed: int = 20260816, labels:
     import numpy as np
     import pandas as pd
 
-    got = cells(rows, labels).select("label", "grp", "stratum", "n", "k").toPandas()  # strata x labels x 2 rows
+    got = cells(rows, labels).select("label", "grp", "stratum", "n", "k").toPandas().sort_values(["label", "grp", "stratum"])  # strata x labels x 2 rows
     tables = {x: got[got["label"] == x] for x in labels}
 
     def run(batches):

@@ -64,7 +64,7 @@ def read_gold(spark: SparkSession, path: str) -> DataFrame:
     tidy = lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), "\\r", ""))
     raw = raw.withColumns({"gold_tickers": tidy("gold_tickers"), "notes": tidy("notes")})
     raw = raw.where((F.col("gold_tickers") != "") | (F.col("notes") != ""))
-    parts = F.filter(F.transform(F.split(F.upper("gold_tickers"), ","), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(F.upper("gold_tickers"), ","), lambda x: F.trim(x)), lambda x: x != "")
     return raw.withColumn("gold_tickers", parts)
 
 
@@ -119,7 +119,7 @@ def parse_factors(lines: DataFrame, file: str = "name", no: str = "line_no", lin
     the first line after the header whose first field is no month."""
     from pyspark.sql import Window as W
 
-    parts = F.transform(F.split(line, ","), F.trim)
+    parts = F.transform(F.split(line, ","), lambda x: F.trim(x))
     d = lines.select(F.col(file).alias("f"), F.col(no).alias("no"), parts.alias("p"))
     head = d.where((F.size("p") > 1) & (F.element_at("p", 1) == "")).groupBy("f").agg(F.min_by("p", "no").alias("h"), F.min("no").alias("h_no"))
     body = d.join(head, "f").where(F.col("no") > F.col("h_no"))
