@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from threshfold.session import spread
+
 #: Most entries that are sent to the tasks.
 MAX_DICTIONARY = 500_000
 COMMON_RANK = 20_000
@@ -277,7 +279,7 @@ def extract_mentions(docs: DataFrame, lex: Lexicon) -> DataFrame:
             out = pd.DataFrame(rows, columns=[c.split()[0] for c in MENTION.split(", ")])
             yield out.astype({"created_utc": "Int64", "score": "Int64"})
 
-    return docs.where(F.col("text").isNotNull()).select(*_KEEP, "title", "text").mapInPandas(run, MENTION)
+    return spread(docs.where(F.col("text").isNotNull()).select(*_KEEP, "title", "text")).mapInPandas(run, MENTION)
 
 
 def ngrams(text: Column, longest: int) -> Column:
@@ -296,8 +298,9 @@ def ngram_matches(docs: DataFrame, names: DataFrame, doc_id: str, text: str, lon
     """``doc_id, name, n``: names (``name``) that occur in texts as whole words, by a join of
     exploded n-grams; overlapping names all count. For dictionaries of any size."""
     n = F.size(F.split("name", " "))
-    x = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.explode(ngrams(F.col(text), longest)).alias("name")).groupBy("doc_id", "name").agg(F.count(F.lit(1)).alias("n"))
-    return x.join(names.where(n <= longest).select("name").distinct(), "name").select("doc_id", "name", "n")
+    grams = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.explode(ngrams(F.col(text), longest)).alias("name"))
+    hits = grams.join(names.where(n <= longest).select("name").distinct(), "name")  # before counting: few n-grams are names
+    return hits.groupBy("doc_id", "name").agg(F.count(F.lit(1)).alias("n"))
 
 
 def near_matches(words: DataFrame, names: DataFrame, least: int = 7) -> DataFrame:
