@@ -29,6 +29,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threshfold.session import spread
+
 SHINGLE = 5
 MIN_SHARED = 4
 MIN_WORDS = 20
@@ -238,7 +240,7 @@ def shingle_counts(docs: DataFrame, block: Block, doc_text: str) -> dict[int, in
         hit = np.flatnonzero(total)
         yield pd.DataFrame({"h": keys[hit].view(np.int64), "n": total[hit]})
 
-    text = docs.where(F.col(doc_text).isNotNull()).select(F.col(doc_text).alias("text"))
+    text = spread(docs.where(F.col(doc_text).isNotNull()).select(F.col(doc_text).alias("text")))
     return {r["h"]: r["n"] for r in text.mapInPandas(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).collect()}
 
 
@@ -250,7 +252,7 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: s
     gives no rows. Other columns are not read.
     """
     out = None
-    text = docs.where(F.col(doc_text).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(doc_text).alias("text"))
+    text = spread(docs.where(F.col(doc_text).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(doc_text).alias("text")))
     for ids, texts in _blocks(items, item_id, item_text):
         block = Block.build(ids, texts)
         block.order_by_rarity(shingle_counts(docs, block, doc_text))

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threshfold.session import written
+from threshfold.session import spread, written
 
 CAPACITY = 2048
 SHARD = 20_000
@@ -158,7 +158,7 @@ def token_pieces(df: DataFrame, id_col: str, text_col: str, capacity: int, vocab
             yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy()[row], "piece": piece.astype(np.int32), "first_token": piece * capacity, "n_tokens": np.minimum(n[row] - piece * capacity, capacity).astype(np.int32)})
 
     text = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return text.mapInPandas(run, "doc_id long, piece int, first_token long, n_tokens int")
+    return spread(text).mapInPandas(run, "doc_id long, piece int, first_token long, n_tokens int")
 
 
 def containers(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, vocabulary: str = VOCABULARY, shard: int = SHARD) -> DataFrame:

@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threshfold.session import spread
+
 TYPES = ("email", "id_number", "phone", "address", "name")
 FOUND = "src string, ingest_no long, pii_type string, span_start long, span_end long"
 
@@ -386,7 +388,7 @@ def find_items(df: DataFrame, text_col: str, row_col: str, src: str, given_names
     """``src, ingest_no, pii_type, span_start, span_end``: one row per item of every row.
 
     Null and empty texts have no items; texts of any length are read whole; repeated rows give
-    repeated items. A map over the rows: nothing is shuffled. Other columns are not read.
+    repeated items. A map over the rows. Other columns are not read.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -396,7 +398,7 @@ def find_items(df: DataFrame, text_col: str, row_col: str, src: str, given_names
             yield pd.DataFrame(rows, columns=["src", "ingest_no", "pii_type", "span_start", "span_end"])
 
     some = F.col(text_col).isNotNull() & (F.length(text_col) > 3)
-    return df.where(some).select(F.col(row_col).cast("long").alias("row_no"), F.col(text_col).alias("text")).mapInPandas(run, FOUND)
+    return spread(df.where(some).select(F.col(row_col).cast("long").alias("row_no"), F.col(text_col).alias("text"))).mapInPandas(run, FOUND)
 
 
 def redacted(df: DataFrame, text_col: str, given_names: tuple[str, ...] = tuple(GIVEN_NAMES)) -> DataFrame:

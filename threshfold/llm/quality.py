@@ -19,6 +19,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threshfold.session import spread
+
 PIECE = 400
 #: Characters handled at once, whatever the batch holds.
 SLICE_CHARS = 4_000_000
@@ -240,7 +242,7 @@ def quality(df: DataFrame, words: DataFrame, id_col: str = "doc_id", text_col: s
 
     Null texts are left out; an empty or blank text has zero words and is prose. ``words`` is a
     list of common words; at most ``most`` of them (in order of their rank column or spelling)
-    are sent to the tasks. Texts are read whole, whatever their length. A map: nothing is shuffled.
+    are sent to the tasks. Texts are read whole, whatever their length. A map over the rows.
     """
     rank = [c for c in ("rank_no",) if c in words.columns]
     common = [r[0] for r in words.where(F.col(word_col).isNotNull()).orderBy(*rank, word_col).select(F.lower(word_col)).limit(most).collect()]
@@ -259,4 +261,4 @@ def quality(df: DataFrame, words: DataFrame, id_col: str = "doc_id", text_col: s
                 yield out
                 at = z
 
-    return df.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, OUT)
+    return spread(df.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))).mapInPandas(run, OUT)
