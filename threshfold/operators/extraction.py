@@ -15,7 +15,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threshfold.session import spread
@@ -282,24 +282,24 @@ def extract_mentions(docs: DataFrame, lex: Lexicon) -> DataFrame:
     return spread(docs.where(F.col("text").isNotNull()).select(*_KEEP, "title", "text")).mapInPandas(run, MENTION)
 
 
-def ngrams(text: Column, longest: int) -> Column:
-    """All runs of one to ``longest`` words in lower case; each length is the one before zipped with
-    the words that follow, so the words are cut once per length and not once per place."""
-    w = F.filter(F.split(F.lower(text), "[^a-z0-9&]+"), lambda x: x != "")
-    out, runs = [w], w
+def with_ngrams(docs: DataFrame, text: str, longest: int, out: str = "grams") -> DataFrame:
+    """``docs`` with all runs of one to ``longest`` words of a text, in lower case.
+
+    One projection per length: each is zipped from the one before and computed once per row."""
+    d = docs.withColumn("__w1", F.filter(F.split(F.lower(text), "[^a-z0-9&]+"), lambda x: x != ""))
     for n in range(2, longest + 1):
-        size = F.greatest(F.size(w) - (n - 1), F.lit(0))
-        runs = F.zip_with(F.slice(runs, F.lit(1), size), F.slice(w, F.lit(n), size), lambda a, b: F.concat_ws(" ", a, b))
-        out.append(runs)
-    return F.concat(*out)
+        pair = F.zip_with(f"__w{n - 1}", F.slice("__w1", F.lit(n), F.greatest(F.size("__w1"), F.lit(0))), lambda a, b: F.when(b.isNotNull(), F.concat(a, F.lit(" "), b)))
+        d = d.withColumn(f"__w{n}", F.filter(pair, lambda x: x.isNotNull()))
+    return d.withColumn(out, F.concat(*[f"__w{n}" for n in range(1, longest + 1)])).drop(*[f"__w{n}" for n in range(1, longest + 1)])
 
 
 def ngram_matches(docs: DataFrame, names: DataFrame, doc_id: str, text: str, longest: int = 4) -> DataFrame:
     """``doc_id, name, n``: names (``name``) that occur in texts as whole words, by a join of
     exploded n-grams; overlapping names all count. For dictionaries of any size."""
-    n = F.size(F.split("name", " "))
-    grams = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.explode(ngrams(F.col(text), longest)).alias("name"))
-    hits = grams.join(names.where(n <= longest).select("name").distinct(), "name")  # before counting: few n-grams are names
+    d = spread(docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
+    # outer: a plain explode infers a filter on its array, which repeats the n-grams below every projection
+    grams = with_ngrams(d, "text", longest).select("doc_id", F.explode_outer("grams").alias("name"))
+    hits = grams.join(names.select("name").distinct(), "name")  # before counting: few n-grams are names
     return hits.groupBy("doc_id", "name").agg(F.count(F.lit(1)).alias("n"))
 
 
