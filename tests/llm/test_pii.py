@@ -35,6 +35,7 @@ def found(text):
         ("went to 15b Juniper Close, Graypool ZZ1 9ZZ.", [("address", "15b Juniper Close")]),
         ("Office is at 671 linden drive\nNethercombe", [("address", "671 linden drive")]),
         ("at PO Box 0682, Nethercombe and rue Linden 14, X and Mossbankgasse 63, 00655 Y", [("address", "PO Box 0682"), ("address", "rue Linden 14"), ("address", "Mossbankgasse 63")]),
+        ("They mailed the 1099 to my old place, PO Box 12, X. Call 512 - 555 - 0193 ext. 12 after market close.", [("address", "PO Box 12"), ("phone", "512 - 555 - 0193")]),
         ("3 Wall Street banks cover it. Main Street never sees it. Dunsley Street Properties.", []),
         ("Ask for Ms. Linnea Q. Brackwell in", [("name", "Linnea Q. Brackwell")]),
         ("my name is w. mac-tavers and", [("name", "w. mac-tavers")]),

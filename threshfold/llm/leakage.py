@@ -36,7 +36,7 @@ MIN_SHARED = 4
 MIN_WORDS = 20
 MIN_STRETCH = 10
 DENSITY = 0.8
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 500_000
 LEAK = "doc_id long, item_id long, n_words long"
 
 _TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,80}>|&(?:[a-z]{2,6}|#\d{1,5});|\]\([^)\s]*\)|[*_~`\\]+")

@@ -122,7 +122,7 @@ _ID_WORDS = (
     r"steuer-?id(?:entifikationsnummer)?|steuernummer|dni|nie|nif|national id(?:entity)?(?: (?:number|card|no\.?))?|identity (?:number|card|no\.?)|id (?:number|card|no\.?)|personalausweis(?:nummer)?"
 )
 _ID_LABEL = re.compile(rf"\b(?:{_ID_WORDS})\b\.?(?:\s+(?:is|number|no\.?))?[\s:#=(\"']*", re.I)
-_ID_VALUE = re.compile(r"[A-Za-z]{0,3}[ -]?\d(?:[ .\-/]?\d){4,13}(?:[ -]?[A-Za-z]\b)?")
+_ID_VALUE = re.compile(r"[A-Za-z]{1,3}[ -]?\d(?:[ .\-/]?\d){4,13}(?:[ -]?[A-Za-z]\b(?!\.))?|\d(?:[ .\-/]?\d){4,13}(?:-?[A-Za-z]\b)?")
 _ID_SHAPE = re.compile(r"(?<![\w.-])(?:\d{3}-\d{2}-\d{4}|[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]|\d{8}-[A-Z])(?![\w-])")
 
 _PHONE = re.compile(
@@ -150,6 +150,7 @@ _ADDRESS = [
 #: At least seven digits with little between them: without it no phone pattern matches.
 _DIGIT_RUN = re.compile(r"\d(?:[\s().\-/]{0,3}\d){6}")
 # Streets that stand for markets.
+_NO_NAME = frozenset("a about after all an and any are around as at be before big but by each every first for free from good had has in is it last long market more most my new next no not of old on one or other our over own per percent same second shares so that the their then this to under was we were what will with year years your".split())
 _NO_STREET = re.compile(r"\b(?:wall|main|high|fleet|lombard) (?:street|st)\b", re.I)
 
 # Common given names (a sample of public name statistics; a parameter of the operator).
@@ -234,6 +235,15 @@ _KEYS = {
 }
 
 
+def _no_street_name(found: str) -> bool:
+    """"1099 to my old place", "12 after market close": words of a sentence between number and street.
+    A name in lower case has one word."""
+    words = re.findall(r"[^\W\d_][\w'-]*", found.split(",")[0])
+    words = words[1:] if len(words) > 1 and len(words[0]) == 1 else words  # 15b
+    name = words[:-1]
+    return any(w.lower() in _NO_NAME for w in name) or (name[0].islower() and (len(name) > 1 or not words[-1].islower()))
+
+
 def _overlaps(a: int, z: int, taken: list[tuple[int, int]]) -> bool:
     return any(a < y and x < z for x, y in taken)
 
@@ -283,10 +293,12 @@ class Finder:
         t, out, taken = m.text, [], []
         kinds, given = self._hits(t)
 
-        def take(kind: str, a: int, z: int) -> None:
-            if not _overlaps(a, z, taken):
-                taken.append((a, z))
-                out.append((kind, a, z))
+        def take(kind: str, a: int, z: int) -> bool:
+            if _overlaps(a, z, taken):
+                return False
+            taken.append((a, z))
+            out.append((kind, a, z))
+            return True
 
         if "@" in t:
             for x in _EMAIL.finditer(t):
@@ -308,7 +320,7 @@ class Finder:
         if not kinds.isdisjoint("sber") and _ANY_DIGIT.search(t):
             for p in [p for k, p in zip("sberr", _ADDRESS, strict=True) if k in kinds]:
                 for x in p.finditer(t):
-                    if not (_NO_STREET.search(x[0]) and not re.match(r"\s*,", t[x.end() : x.end() + 2])):
+                    if not (_NO_STREET.search(x[0]) and not re.match(r"\s*,", t[x.end() : x.end() + 2])) and not (p is _ADDRESS[0] and _no_street_name(x[0])):
                         take("address", x.start(), x.end())
         if out or given or "c" in kinds or "p" in kinds:
             self._names(t, list(taken), kinds, given, take)
@@ -330,8 +342,7 @@ class Finder:
                 words, base = before["all"], base + before.start("all")
                 for w in re.finditer(r"(?<!\S)\S", words):
                     m = _AT_NAME.match(t, base + w.start())
-                    if m and m.end() == base + len(words) and (r := _name_ok(m, self.given, True, t[: m.end()])):
-                        take("name", *r)
+                    if m and m.end() == base + len(words) and (r := _name_ok(m, self.given, True, t[: m.end()])) and take("name", *r):
                         break
         if "p" in kinds:
             for x in _NAME_POST.finditer(t):  # "D. Ostervane from accounts signed it"
