@@ -1,0 +1,29 @@
+from threshfold.operators import universe as U
+
+
+def test_common_equity(spark):
+    rows = "ABCD ABCDW ABCDX PRTHW JPM-P-E BRK-WT ZVZZT TEST XYZU QSHWR QSHW".split()
+    df = spark.createDataFrame([(r, 1) for r in rows] + [(None, 1)], "ticker string, __x int")
+    assert sorted(r.ticker for r in U.common_equity(df).collect()) == ["ABCD", "ABCDX", "PRTHW", "QSHW", "XYZU"]
+    assert U.common_equity(df.limit(0)).count() == 0
+
+
+def test_aliases(spark):
+    names = [(1, "e1", "Foo Corp"), (2, "e2", "Growth, Inc."), (3, "e3", "Sparkling Water Co"), (4, "e4", "Sparkling Wine Ltd"), (5, "e5", "The Position Trading Group"), (6, None, "Nobody Here"), (7, "e7", None), (8, "e8", "Zebra"), (9, "e9", "Zebra")]
+    df = spark.createDataFrame(names, "listing_no int, entity_id string, name string")
+    words = spark.createDataFrame([("growth", 1), ("position", 2), (None, 3), ("zebra", 99_999)], "word string, rank_no int")
+    got = {r.alias: r.entity_id for r in U.derive_aliases(df, words).collect()}
+    assert got == {"sparkling water": "e3", "sparkling": "e3", "sparkling wine": "e4", "position trading": "e5", "zebra": "e8"}
+
+
+def test_topup(spark):
+    sy = spark.createDataFrame([("abc", "1"), (None, "2")], "ticker string, entity_id string")
+    li = spark.createDataFrame([("ABC",), ("OLD",), ("OLD",), ("",), (None,)], "ticker string")
+    assert sorted(tuple(r) for r in U.delisted_topup(sy, li).collect()) == [("ABC", "1", False), ("OLD", "TIINGO:OLD", True)]
+
+
+def test_usable_cohorts(spark):
+    f = spark.createDataFrame([(2014, 900, 90, 100), (2016, 300, 30, 100), (2017, 100, 90, 100), (2018, 300, 30, 100), (2022, 900, 99, 100)], "year int, n_mentions int, mentions_2 int, universe int")
+    r = U.usable_cohorts(f, 2024, 3).first()
+    assert (r.widest_year, r.share, r.n_cohorts, r.verdict) == (2016, 0.3, 2, "MARGINAL")
+    assert U.usable_cohorts(f, 2010, 3).first().verdict == "INSUFFICIENT"

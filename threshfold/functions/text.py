@@ -10,7 +10,7 @@ BULLISH = ("undervalued", "cheap", "buying", "bought", "long ", "accumulating",
 BEARISH = ("overvalued", "value trap", "avoid", "selling", "sold", "short ", "bagholder", "dying", "declining", "melting ice", "expensive", "bubble", "red flag", "accounting fraud")
 QUESTION = ("?", "thoughts on", "am i missing", "talk me out", "what do you think", "any thoughts", "opinions on")
 # Words that company names end with.
-NAME_SUFFIXES = ("inc", "incorporated", "corp", "corporation", "co", "company", "ltd", "limited", "plc", "llc", "lp", "sa", "ag", "nv", "group", "holdings", "holding", "trust", "the")
+NAME_SUFFIXES = ("corp", "corporation", "inc", "incorporated", "co", "company", "ltd", "limited", "plc", "holdings?", "group", "the", "sa", "nv", "ag", "llc", "lp", "trust", "reit", "class [abc]", "adr", "new", "com")
 
 
 def document_text(kind: Column, title: Column, selftext: Column, body: Column) -> Column:

@@ -16,6 +16,7 @@ from threshfold.operators import panel as P
 from threshfold.operators import review as R
 from threshfold.operators import series as Z
 from threshfold.operators import timejoin as J
+from threshfold.operators import universe as U
 from threshfold.operators.once import deliver_once
 from threshfold.session import table, written
 
@@ -771,3 +772,75 @@ def evidence_union(spark, d):
     """All evidence of an entity in a document, each kind once."""
     m = table(spark, d, "mentions").where("entity_id is not null").select("doc_type", "doc_id", "entity_id", F.explode("evidence").alias("x"))
     return m.groupBy("doc_type", "doc_id", "entity_id").agg(F.array_join(F.array_sort(F.collect_set("x")), ",").alias("evidence"))
+
+
+# --- vocabularies, cohorts, score trust, examples --------------------------------------------
+
+
+@query(
+    f"""WITH t AS (SELECT DISTINCT {symbol_key_sql('symbol')} AS ticker FROM prices WHERE symbol IS NOT NULL)
+ SELECT ticker FROM t WHERE NOT regexp_matches(ticker, '{U.NOT_COMMON}') AND NOT regexp_matches(ticker, '{U.TEST_SYMBOL}') AND NOT (length(ticker) = 5 AND right(ticker, 1) IN ('W', 'U', 'R') AND left(ticker, 4) IN (SELECT ticker FROM t))"""
+)
+def common_equity(spark, d):
+    """symbols of common shares."""
+    return U.common_equity(table(spark, d, "prices").where("symbol is not null").select(symbol_key("symbol").alias("ticker")).distinct())
+
+
+@query(
+    f"""WITH n AS (SELECT entity_id, listing_no AS o, {_NAME_SQL} AS a FROM tickers WHERE name IS NOT NULL AND entity_id IS NOT NULL),
+ c AS (SELECT entity_id, o, a AS alias, false AS proof FROM n WHERE contains(a, ' ') AND length(a) >= 6 UNION ALL SELECT entity_id, o, a, true FROM n WHERE NOT contains(a, ' ') AND length(a) >= 4
+ UNION ALL SELECT entity_id, o, split_part(a, ' ', 1), true FROM n WHERE contains(a, ' ') AND length(a) >= 6 AND length(split_part(a, ' ', 1)) >= 6)
+ SELECT alias, arg_min(entity_id, (o, entity_id)) AS entity_id FROM c WHERE NOT proof OR alias NOT IN (SELECT lower(word) FROM word_rank WHERE word IS NOT NULL AND rank_no <= 50000) GROUP BY 1"""
+)
+def alias_derivation(spark, d):
+    """Names that companies may be called by."""
+    return U.derive_aliases(table(spark, d, "tickers"), table(spark, d, "word_rank"))
+
+
+@query(
+    f"""WITH h AS (SELECT upper(trim(ticker)) AS ticker, min(entity_id) AS entity_id FROM tickers WHERE ticker IS NOT NULL GROUP BY 1), p AS (SELECT DISTINCT {symbol_key_sql('symbol')} AS ticker FROM prices WHERE symbol IS NOT NULL)
+ SELECT ticker, entity_id, false AS delisted FROM h UNION ALL SELECT ticker, 'TIINGO:' || ticker, true FROM p WHERE ticker <> '' AND ticker NOT IN (SELECT ticker FROM h)"""
+)
+def delisted_topup(spark, d):
+    """Symbols that only the price table knows, under made identifiers."""
+    px = table(spark, d, "prices").where("symbol is not null").select(symbol_key("symbol").alias("ticker"))
+    return U.delisted_topup(table(spark, d, "tickers"), px)
+
+
+@query(
+    f"""WITH {_MEN}, {_LISTED}, p AS (SELECT year(day) AS year, entity_id, count(*) AS n FROM men WHERE entity_id IS NOT NULL GROUP BY 1, 2), f AS (SELECT year, sum(n) AS n_mentions, count(*) FILTER (WHERE n >= 2) AS m2 FROM p GROUP BY 1),
+ u AS (SELECT f.*, m2 / (SELECT count(DISTINCT entity_id) FROM li WHERE b <= make_date(f.year, 6, 30) AND e >= make_date(f.year, 6, 30)) AS share FROM f WHERE year BETWEEN 2015 AND 2021 AND n_mentions > 200)
+ SELECT arg_max(year, (share, -year)) AS widest_year, round(max(share), 6) AS share, count(*) AS n_cohorts, CASE WHEN max(share) IS NULL THEN 'INSUFFICIENT' WHEN max(share) > 0.5 THEN 'FAIL' WHEN max(share) > 0.25 THEN 'MARGINAL' ELSE 'PASS' END AS verdict, 3 AS horizon FROM u"""
+)
+def usable_cohort_gate(spark, d):
+    """The widest cohort that has had a three-year horizon by 2024."""
+    m = P.confident(table(spark, d, "mentions"), 0.75)
+    days = m.select(F.make_date(F.year(S.utc_date(F.col("created_utc"))), F.lit(6), F.lit(30)).alias("day")).distinct()
+    size = J.universe_sizes(table(spark, d, "tickers"), days, "entity_id").select(F.year("day").alias("year"), "n_listed")
+    n = m.where("entity_id is not null").groupBy(F.year(S.utc_date(F.col("created_utc"))).alias("year")).agg(F.count(F.lit(1)).alias("n_mentions"))
+    f = P.funnel_by_year(m, size).join(n, "year")
+    return r6(U.usable_cohorts(f, 2024, 3), "share")
+
+
+@query(
+    f"""WITH a AS (SELECT {message_key_sql('id')} AS k, ingest_no, score, retrieved_on, row_number() OVER (PARTITION BY {message_key_sql('id')} ORDER BY retrieved_on NULLS FIRST, ingest_no DESC) AS f, row_number() OVER (PARTITION BY {message_key_sql('id')} ORDER BY retrieved_on DESC NULLS LAST, ingest_no) AS l, count(*) OVER (PARTITION BY {message_key_sql('id')}) AS c FROM submissions WHERE id IS NOT NULL),
+ p AS (SELECT x.k, x.score AS early, y.score AS late FROM a x JOIN a y ON y.k = x.k AND y.l = 1 WHERE x.f = 1 AND x.c > 1 AND x.score IS NOT NULL AND y.score IS NOT NULL),
+ r AS (SELECT row_number() OVER (ORDER BY early, k) AS a, row_number() OVER (ORDER BY late, k) AS b FROM p) SELECT round(corr(a, b), 6) AS rho, count(*) AS n, round(corr(a, b), 6) >= 0.7 AS trusted FROM r"""
+)
+def score_trust(spark, d):
+    """Scores at the first delivery against those at the last (the supplied later look)."""
+    s = table(spark, d, "submissions").where("id is not null").select(message_key("id").alias("k"), "score", "ingest_no", "retrieved_on")
+    t = F.coalesce("retrieved_on", F.lit(-(2**62)))
+    first, last = F.struct(t, -F.col("ingest_no")), F.struct(t, -F.col("ingest_no"))
+    box = F.struct("score")  # keeps a null score from being passed over
+    p = s.groupBy("k").agg(F.min_by(box, first)["score"].alias("early"), F.max_by(box, last)["score"].alias("late"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    return r6(Z.spearman_ordinal(p, "early", "late", "k"), "rho").withColumn("trusted", F.col("rho") >= 0.7)
+
+
+@query(f"WITH {_LABEL}, x AS (SELECT coalesce(g.item_id, p.item_id) AS item_id, coalesce(g.ticker, p.ticker) AS ticker, CASE WHEN p.item_id IS NULL THEN 'fn' ELSE 'fp' END AS outcome FROM g FULL JOIN p ON p.item_id = g.item_id AND p.ticker = g.ticker WHERE g.item_id IS NULL OR p.item_id IS NULL) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY outcome ORDER BY item_id, ticker) AS place FROM x) WHERE place <= 15")
+def error_examples(spark, d):
+    """T4: the first 15 misses and the first 15 false finds."""
+    from pyspark.sql import Window as W
+
+    x = _compared(spark, d).where("outcome <> 'tp'")
+    return x.withColumn("place", F.row_number().over(W.partitionBy("outcome").orderBy("item_id", "ticker"))).where("place <= 15").select("item_id", "ticker", "outcome", F.col("place").cast("long").alias("place"))
