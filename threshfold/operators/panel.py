@@ -32,7 +32,8 @@ def mention_panel(mentions: DataFrame, docs: DataFrame, floor: float = 0.75, sta
     the alphabetically first on a tie. A cell is aggregated in two steps, first per document, so a
     hot entity combines before it is shuffled.
     """
-    m = confident(mentions, floor).where(F.col("entity_id").isNotNull())
+    m = confident(mentions, floor).where(F.col("entity_id").isNotNull()).select("doc_type", "doc_id", "created_utc", "author", "entity_id", "ticker", "channel", "in_title", "is_primary")
+    docs = docs.select("doc_type", "doc_id", "doc_score", "num_comments", "lag_days", "removed")
     m = m.withColumn("day", utc_date(F.col("created_utc"))).withColumn("year_month", month_of(F.col("day")))
     m = m.join(docs, ["doc_type", "doc_id"], "left")
     if stance is not None:
