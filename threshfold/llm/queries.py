@@ -9,7 +9,7 @@ from threshfold.functions.symbols import symbol_key, symbol_key_sql
 from threshfold.llm.leakage import leaks
 from threshfold.llm.nearest import nearest_join, seconds_of
 from threshfold.llm.packing import containers, fill_report
-from threshfold.llm.patterns import combination_counts, group_counts, memberships, pattern_totals
+from threshfold.llm.patterns import ERROR_BOUND, combination_counts, group_counts, memberships, pattern_totals
 from threshfold.llm.pii import find_items, redacted
 from threshfold.llm.quality import quality
 from threshfold.session import table
@@ -52,7 +52,7 @@ def _totals(spark: SparkSession, d: str, who: str) -> DataFrame:
 
 def p4_distinct_counts(spark: SparkSession, d: str) -> DataFrame:
     """Distinct authors and entities of every day, channel, ticker, month and channel by month."""
-    a, e = (group_counts(_totals(spark, d, w)).select(F.lit(w).alias("counted"), "dimension", "grp", "n_distinct") for w in ("author", "entity_id"))
+    a, e = (group_counts(_totals(spark, d, w)).select(F.lit(w).alias("counted"), "dimension", "grp", "n_distinct", F.lit(ERROR_BOUND).alias("error_bound")) for w in ("author", "entity_id"))
     return a.unionByName(e)
 
 
@@ -72,8 +72,8 @@ def p4_combinations(spark: SparkSession, d: str) -> DataFrame:
 _P4_AT = "to_timestamp(created_utc) AT TIME ZONE 'UTC'"
 _P4_DIMS = {"day": f"strftime({_P4_AT}, '%Y-%m-%d')", "channel": "channel", "ticker": "ticker", "month": f"strftime({_P4_AT}, '%Y-%m')", "channel_month": f"concat_ws('|', channel, strftime({_P4_AT}, '%Y-%m'))"}
 _P4 = " UNION ALL ".join(
-    [f"SELECT '{w}' AS counted, '{n}' AS dimension, {g} AS grp, count(DISTINCT {w}) AS n_distinct FROM mentions WHERE {w} IS NOT NULL AND {w} <> '[deleted]' AND {g} IS NOT NULL GROUP BY 3" for w in ("author", "entity_id") for n, g in _P4_DIMS.items()]
-    + ["SELECT 'entity_id', 'panel_month', year_month, count(DISTINCT entity_id) FROM panel WHERE entity_id IS NOT NULL AND year_month IS NOT NULL GROUP BY 3"]
+    [f"SELECT '{w}' AS counted, '{n}' AS dimension, {g} AS grp, count(DISTINCT {w}) AS n_distinct, 0.0::DOUBLE AS error_bound FROM mentions WHERE {w} IS NOT NULL AND {w} <> '[deleted]' AND {g} IS NOT NULL GROUP BY 3" for w in ("author", "entity_id") for n, g in _P4_DIMS.items()]
+    + ["SELECT 'entity_id', 'panel_month', year_month, count(DISTINCT entity_id), 0.0 FROM panel WHERE entity_id IS NOT NULL AND year_month IS NOT NULL GROUP BY 3"]
 )
 _P4_COMBO = f"""WITH m AS (SELECT DISTINCT author, channel, {_P4_DIMS['month']} AS month FROM mentions), ok AS (SELECT * FROM m WHERE author IS NOT NULL AND author <> '[deleted]'),
 g AS (SELECT DISTINCT author, 'channel' AS dimension, channel AS grp FROM ok WHERE channel IS NOT NULL UNION ALL SELECT DISTINCT author, 'month', month FROM ok WHERE month IS NOT NULL),
