@@ -262,3 +262,11 @@ def test_gate(spark, prices):
     late = spark.createDataFrame([("DOWN", D(2023, 3, 10)), ("GONE", None)], "ticker string, expected_end date")
     with pytest.raises(R.GateError):
         R.require(R.source_gate(prices, late, "SLOW"))
+
+
+def test_ordinal_ranks(spark):
+    df = spark.createDataFrame([(i * 7919 % 100 // 10, i) for i in range(500)], "x long, k long").repartition(6)
+    got = Z.ordinal_ranks(df, "r", "x", "k").collect()
+    assert [(r.x, r.k) for r in sorted(got, key=lambda r: r.r)] == sorted((r.x, r.k) for r in got) and sorted(r.r for r in got) == list(range(1, 501))
+    assert Z.spearman_ordinal(df, "x", "x", "k").first().rho == pytest.approx(1.0)
+    assert tuple(Z.spearman_ordinal(df.limit(0), "x", "x", "k").first()) == (None, 0)

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from threshfold.functions.stats import month_of, ratio
+from threshfold.session import written
 
 
 def month_end_returns(prices: DataFrame) -> DataFrame:
@@ -89,11 +90,23 @@ def factor_alpha(returns: DataFrame, factors: DataFrame, xs: list[str], risk_fre
     return spark.createDataFrame([(n, alpha, (1 + alpha) ** 12 - 1, alpha / se if se else None, alpha / b["intercept"]["se"] if b["intercept"]["se"] else None)], schema)
 
 
+def ordinal_ranks(df: DataFrame, out: str, *order: str) -> DataFrame:
+    """``df`` with its ordinal place, 1 to n, in an order. A distributed sort is written to the shared
+    folder with each row's place in its partition, and the partitions' sizes (one row per partition) give the offsets,
+    so no task sees the whole table."""
+    s = written(df.orderBy(*order).withColumn("__m", F.monotonically_increasing_id()), "ranked").withColumn("__p", F.shiftright("__m", 33))
+    sizes = s.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
+    before = sizes.select("__p", F.coalesce(F.sum("__n").over(W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    place = F.col("__before") + F.col("__m").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return s.join(before, "__p").withColumn(out, place).drop("__m", "__p", "__before")
+
+
 def spearman_ordinal(df: DataFrame, x: str, y: str, tie: str) -> DataFrame:
-    """One row, ``rho``: the correlation of ordinal ranks (ties by ``tie``, not averaged)."""
-    d = df.select(x, y, tie).dropna()
-    r = d.select(F.row_number().over(W.orderBy(x, tie)).alias("a"), F.row_number().over(W.orderBy(y, tie)).alias("b"))
-    return r.agg(F.corr(F.col("a").cast("double"), F.col("b").cast("double")).alias("rho"), F.count(F.lit(1)).alias("n"))
+    """One row, ``rho``: the correlation of ordinal ranks (ties by ``tie``, not averaged) of the rows
+    without nulls; null for fewer than two rows."""
+    d = df.select(F.col(x).alias("__x"), F.col(y).alias("__y"), F.col(tie).alias("__tie")).dropna()
+    r = ordinal_ranks(ordinal_ranks(d, "__a", "__x", "__tie"), "__b", "__y", "__tie")
+    return r.agg(F.corr(F.col("__a").cast("double"), F.col("__b").cast("double")).alias("rho"), F.count(F.lit(1)).alias("n"))
 
 
 def capture_lag(docs: DataFrame, created: str = "created_utc", retrieved: str = "retrieved_on", score: str = "score") -> DataFrame:
