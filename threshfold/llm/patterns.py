@@ -9,6 +9,11 @@ once): two partial tables are united and made distinct again, in any order and a
 times. Pattern totals of *disjoint* identifier sets (hash parts of the identifiers) add up as
 they are: see :func:`merge_totals`.
 
+Combinations across dimensions: :func:`across` puts the groups of several dimensions into one
+pattern for :func:`combination_counts`; :func:`cells` keeps for every identifier in which
+combinations of fields it occurs in one row, from which :func:`cell_counts` counts groups of
+several fields and :func:`pair_counts` all pairs of groups of two dimensions.
+
 Size: a pattern is a subset of the groups of one dimension (days, channels, tickers, months), so
 its length is bounded by the number of groups and not by the number of rows; the pairs combine
 on the map side before they are shuffled by identifier.
@@ -19,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from threshfold.session import written
+
 ERROR_BOUND = 0.0
 
 
@@ -80,3 +87,56 @@ def combination_counts(totals: DataFrame, combos: DataFrame) -> DataFrame:
     )
     zero = [F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c) for c in ("n_any", "n_all", "n_only")]
     return combos.select("combo", "dimension").distinct().join(got, ["combo", "dimension"], "left").select("combo", "dimension", *zero)
+
+
+def across(members: DataFrame, name: str, *dimensions: str) -> DataFrame:
+    """The memberships of ``dimensions`` as those of one dimension ``name``; a group is written
+    ``dimension=group``. Its pattern totals answer combinations across these dimensions."""
+    return members.where(F.col("dimension").isin(*dimensions)).select(F.lit(name).alias("dimension"), "identifier", F.concat_ws("=", "dimension", "grp").alias("grp"))
+
+
+def cells(df: DataFrame, identifier: str, fields: dict[str, Column], ignore: tuple[str, ...] = ()) -> DataFrame:
+    """``identifier, cells``: per identifier the distinct combinations of ``fields`` in its rows.
+
+    Rows combine on the map side; the array is bounded by the number of combinations. Partial
+    tables merge by the union of an identifier's arrays."""
+    rows = df.select(F.col(identifier).cast("string").alias("identifier"), F.struct(*[c.alias(n) for n, c in fields.items()]).alias("cell")).where("identifier is not null")
+    if ignore:
+        rows = rows.where(~F.col("identifier").isin(*ignore))
+    return rows.groupBy("identifier").agg(F.collect_set("cell").alias("cells"))
+
+
+def _set_of(group) -> Column:
+    """Distinct groups of an identifier's cells, without null."""
+    return F.array_distinct(F.filter(F.transform("cells", lambda x: group(x).cast("string")), lambda g: g.isNotNull()))
+
+
+def cell_counts(cells: DataFrame, groups: dict) -> DataFrame:
+    """``dimension, grp, n_distinct``; ``groups`` has a function of a cell for each dimension.
+    A null group counts nobody."""
+    one = F.explode(F.array(*[F.struct(F.lit(n).alias("dimension"), _set_of(g).alias("grps")) for n, g in groups.items()])).alias("s")
+    return cells.select(one).select("s.dimension", F.explode("s.grps").alias("grp")).groupBy("dimension", "grp").agg(F.count(F.lit(1)).alias("n_distinct"))
+
+
+def pair_counts(cells: DataFrame, groups: dict, pairs: list[tuple[str, str]]) -> DataFrame:
+    """``dimension, one, other, n_any, n_all, n_only`` for every group of one dimension with every
+    group of another; ``groups`` as in :func:`cell_counts`.
+
+    An identifier need not hold both groups in the same row. ``n_only`` counts identifiers that are
+    in these and no other group of the two dimensions. Every identifier adds its pairs and, with a
+    null on the other side, its single groups, so one aggregation holds all that is needed."""
+    held = F.explode(F.array(*[F.struct(F.lit(f"{a}+{b}").alias("dimension"), F.col(a).alias("a"), F.col(b).alias("b")) for a, b in pairs])).alias("s")
+    wide = cells.select(*[_set_of(g).alias(n) for n, g in groups.items()]).select(held).select("s.*")
+    few = (F.size("a") <= 1) & (F.size("b") <= 1)
+    none = F.array(F.lit(None).cast("string"))
+    rows = wide.select("dimension", few.alias("few"), (F.size("a") == 0).alias("no_a"), (F.size("b") == 0).alias("no_b"), F.explode(F.concat("a", none)).alias("one"), "b")
+    rows = rows.select("dimension", "few", "no_a", "no_b", "one", F.explode(F.concat("b", none)).alias("other")).where("one is not null or other is not null")
+    only = F.col("few") & (F.col("one").isNotNull() | F.col("no_a")) & (F.col("other").isNotNull() | F.col("no_b"))
+    t = written(rows.groupBy("dimension", "one", "other").agg(F.count(F.lit(1)).alias("n"), F.sum(only.cast("long")).alias("n_only")), "pairs")
+    a = t.where("other is null").select("dimension", "one", F.col("n").alias("n_a"), F.col("n_only").alias("only_a"))
+    b = t.where("one is null").select("dimension", "other", F.col("n").alias("n_b"), F.col("n_only").alias("only_b"))
+    both = t.where("one is not null and other is not null")
+    all_ = F.coalesce("n", F.lit(0).cast("long"))
+    return a.join(b, "dimension").join(both, ["dimension", "one", "other"], "left").select(
+        "dimension", "one", "other", (F.col("n_a") + F.col("n_b") - all_).alias("n_any"), all_.alias("n_all"), (F.coalesce("n_only", F.lit(0).cast("long")) + F.col("only_a") + F.col("only_b")).alias("n_only")
+    )

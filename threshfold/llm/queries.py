@@ -9,7 +9,7 @@ from threshfold.functions.symbols import symbol_key, symbol_key_sql
 from threshfold.llm.leakage import leaks
 from threshfold.llm.nearest import nearest_join, seconds_of
 from threshfold.llm.packing import containers, fill_report
-from threshfold.llm.patterns import ERROR_BOUND, combination_counts, group_counts, memberships, pattern_totals
+from threshfold.llm.patterns import ERROR_BOUND, cell_counts, cells, combination_counts, group_counts, memberships, pair_counts, pattern_totals
 from threshfold.llm.pii import find_items, redacted
 from threshfold.llm.quality import quality
 from threshfold.session import table
@@ -56,9 +56,8 @@ def p4_distinct_counts(spark: SparkSession, d: str) -> DataFrame:
     return a.unionByName(e)
 
 
-def p4_combinations(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct authors of combinations: every pair of channels, and each month with the month after it."""
-    totals = _totals(spark, d, "author").where("dimension in ('channel', 'month')")
+def _combinations(spark: SparkSession, d: str, who: str) -> DataFrame:
+    totals = _totals(spark, d, who).where("dimension in ('channel', 'month')")
     m = table(spark, d, "mentions")
     known = m.agg(F.array_sort(F.collect_set("channel")).alias("all"))  # as many entries as there are channels
     pairs = known.select(F.posexplode("all").alias("i", "channel"), "all").select("channel", F.explode(F.slice("all", F.col("i") + 2, F.size("all"))).alias("other"))
@@ -69,6 +68,39 @@ def p4_combinations(spark: SparkSession, d: str) -> DataFrame:
     return combination_counts(totals, pairs.unionByName(months))
 
 
+def p4_combinations(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct authors of combinations: every pair of channels, and each month with the month after it."""
+    return _combinations(spark, d, "author")
+
+
+def _cells(spark: SparkSession, d: str, who: str) -> DataFrame:
+    at = F.timestamp_seconds("created_utc")
+    fields = {"day": F.date_format(at, "yyyy-MM-dd"), "channel": F.col("channel"), "ticker": symbol_key("ticker")}
+    return cells(table(spark, d, "mentions"), who, fields, (DELETED,) if who == "author" else ())
+
+
+_CELL = {"day": lambda x: x["day"], "channel": lambda x: x["channel"], "ticker": lambda x: x["ticker"], "month": lambda x: F.substring(x["day"], 1, 7)}
+#: Groups of several fields; day with month is the day, and channel with month is in p4_distinct_counts.
+_CROSSED = (("channel", "ticker"), ("ticker", "month"), ("day", "channel"), ("day", "ticker"), ("channel", "ticker", "month"), ("day", "channel", "ticker"))
+_PAIRS = [("channel", "ticker"), ("channel", "month"), ("ticker", "month"), ("day", "channel"), ("day", "ticker"), ("day", "month")]
+
+
+def p4_cross_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct authors and entities of the mentions that share a day, channel, ticker or month in combination."""
+    groups = {"_".join(c): lambda x, c=c: F.concat(*[p for n in c for p in (F.lit("|"), _CELL[n](x))][1:]) for c in _CROSSED}
+    a, e = (cell_counts(_cells(spark, d, w), groups).select(F.lit(w).alias("counted"), "dimension", "grp", "n_distinct", F.lit(ERROR_BOUND).alias("error_bound")) for w in ("author", "entity_id"))
+    return a.unionByName(e)
+
+
+def p4_cross_combinations(spark: SparkSession, d: str) -> DataFrame:
+    """Authors and entities in any, all or only of two groups: every pair of groups of two dimensions, and for entities the pairs of p4_combinations."""
+    out = _combinations(spark, d, "entity_id").select(F.lit("entity_id").alias("counted"), "*")
+    for w in ("author", "entity_id"):
+        got = pair_counts(_cells(spark, d, w), _CELL, _PAIRS)
+        out = out.unionByName(got.select(F.lit(w).alias("counted"), F.concat_ws("+", "one", "other").alias("combo"), "dimension", "n_any", "n_all", "n_only"))
+    return out
+
+
 _P4_AT = "to_timestamp(created_utc) AT TIME ZONE 'UTC'"
 _P4_DIMS = {"day": f"strftime({_P4_AT}, '%Y-%m-%d')", "channel": "channel", "ticker": "ticker", "month": f"strftime({_P4_AT}, '%Y-%m')", "channel_month": f"concat_ws('|', channel, strftime({_P4_AT}, '%Y-%m'))"}
 _P4 = " UNION ALL ".join(
@@ -84,6 +116,27 @@ s AS (SELECT author, dimension, count(*) AS k FROM g GROUP BY 1, 2)
 SELECT c.combo, c.dimension, count(h.author) AS n_any, CAST(count(CASE WHEN h.k = 2 THEN 1 END) AS BIGINT) AS n_all, CAST(count(CASE WHEN h.k = s.k THEN 1 END) AS BIGINT) AS n_only
 FROM c LEFT JOIN h ON h.combo = c.combo AND h.dimension = c.dimension LEFT JOIN s ON s.author = h.author AND s.dimension = h.dimension GROUP BY 1, 2"""
 
+_P4_WHO = {"author": "author IS NOT NULL AND author <> '[deleted]'", "entity_id": "entity_id IS NOT NULL"}
+_P4_CELL = _P4_DIMS | {"ticker": symbol_key_sql("ticker")}
+_P4_CROSS = " UNION ALL ".join(
+    f"SELECT '{w}' AS counted, '{'_'.join(c)}' AS dimension, {g} AS grp, count(DISTINCT {w}) AS n_distinct, 0.0::DOUBLE AS error_bound FROM mentions WHERE {ok} AND {g} IS NOT NULL GROUP BY 3"
+    for w, ok in _P4_WHO.items() for c in _CROSSED for g in [" || '|' || ".join(f"({_P4_CELL[n]})" for n in c)]
+)
+_P4_CROSS_COMBO = f"""WITH p(x, y) AS (VALUES {", ".join(map(str, _PAIRS))}),
+s AS ({" UNION ".join(f"SELECT '{w}' AS counted, {w} AS who, '{n}' AS dim, {_P4_CELL[n]} AS grp FROM mentions WHERE {ok} AND {_P4_CELL[n]} IS NOT NULL" for w, ok in _P4_WHO.items() for n in ("day", "channel", "ticker", "month"))}),
+g AS (SELECT counted, dim, grp, count(*) AS n FROM s GROUP BY ALL),
+b AS (SELECT p.x, p.y, i.counted, i.grp AS one, j.grp AS other, count(*) AS n FROM p JOIN s i ON i.dim = p.x JOIN s j ON j.dim = p.y AND j.counted = i.counted AND j.who = i.who GROUP BY ALL),
+f AS (SELECT p.x, p.y, s.counted, s.who, min(CASE WHEN s.dim = p.x THEN s.grp END) AS one, min(CASE WHEN s.dim = p.y THEN s.grp END) AS other FROM p JOIN s ON s.dim IN (p.x, p.y) GROUP BY 1, 2, 3, 4
+ HAVING count(CASE WHEN s.dim = p.x THEN 1 END) <= 1 AND count(CASE WHEN s.dim = p.y THEN 1 END) <= 1),
+o AS (SELECT x, y, counted, one, other, count(*) AS n FROM f GROUP BY ALL)
+SELECT i.counted, i.grp || '+' || j.grp AS combo, p.x || '+' || p.y AS dimension, i.n + j.n - coalesce(b.n, 0) AS n_any, coalesce(b.n, 0) AS n_all, coalesce(o.n, 0) + coalesce(q.n, 0) + coalesce(r.n, 0) AS n_only
+FROM p JOIN g i ON i.dim = p.x JOIN g j ON j.dim = p.y AND j.counted = i.counted
+LEFT JOIN b ON b.x = p.x AND b.y = p.y AND b.counted = i.counted AND b.one = i.grp AND b.other = j.grp
+LEFT JOIN o ON o.x = p.x AND o.y = p.y AND o.counted = i.counted AND o.one = i.grp AND o.other = j.grp
+LEFT JOIN o q ON q.x = p.x AND q.y = p.y AND q.counted = i.counted AND q.one = i.grp AND q.other IS NULL
+LEFT JOIN o r ON r.x = p.x AND r.y = p.y AND r.counted = i.counted AND r.one IS NULL AND r.other = j.grp
+UNION ALL SELECT 'entity_id', * FROM ({_P4_COMBO.replace("author", "entity_id")})"""
+
 
 # --- 5: nearest time -------------------------------------------------------------------------
 
@@ -149,12 +202,14 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, round(coalesce(list_sum(list_t
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_redacted, p4_distinct_counts, p4_combinations, p5_found, p5_nearest, p7_containers, p7_fill, p8_found, p8_leaks, p9_found, p9_quality, p9_counts)
+    for f in (p1_found, p1_redacted, p4_distinct_counts, p4_combinations, p4_cross_counts, p4_cross_combinations, p5_found, p5_nearest, p7_containers, p7_fill, p8_found, p8_leaks, p9_found, p9_quality, p9_counts)
 }
 SQL = {
     "p9_counts": _P9,
     "p4_distinct_counts": _P4,
     "p4_combinations": _P4_COMBO,
+    "p4_cross_counts": _P4_CROSS,
+    "p4_cross_combinations": _P4_CROSS_COMBO,
     "p5_found": _P5 + " SELECT mention_no, strftime(date, '%Y-%m-%d') AS price_date FROM c WHERE rn = 1",
     "p5_nearest": _P5 + " SELECT m.mention_no, strftime(c.date, '%Y-%m-%d') AS price_date, c.adj_close FROM mentions m LEFT JOIN c ON c.mention_no = m.mention_no AND c.rn = 1",
 }
