@@ -73,10 +73,10 @@ def p4_combinations(spark: SparkSession, d: str) -> DataFrame:
     return _combinations(spark, d, "author")
 
 
-def _cells(spark: SparkSession, d: str, who: str) -> DataFrame:
+def _cells(spark: SparkSession, d: str, who: str, only: tuple[str, ...] = ("day", "channel", "ticker")) -> DataFrame:
     at = F.timestamp_seconds("created_utc")
     fields = {"day": F.date_format(at, "yyyy-MM-dd"), "channel": F.col("channel"), "ticker": symbol_key("ticker")}
-    return cells(table(spark, d, "mentions"), who, fields, (DELETED,) if who == "author" else ())
+    return cells(table(spark, d, "mentions"), who, {n: fields[n] for n in only}, (DELETED,) if who == "author" else ())
 
 
 _CELL = {"day": lambda x: x["day"], "channel": lambda x: x["channel"], "ticker": lambda x: x["ticker"], "month": lambda x: F.substring(x["day"], 1, 7)}
@@ -85,6 +85,12 @@ _CROSSED = (("channel", "ticker"), ("ticker", "month"), ("day", "channel"), ("da
 _PAIRS = [("channel", "ticker"), ("channel", "month"), ("ticker", "month"), ("day", "channel"), ("day", "ticker"), ("day", "month")]
 
 
+def p4_ticker_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct authors and entities of every ticker, however it is written."""
+    a, e = (cell_counts(_cells(spark, d, w, ("ticker",)), {"ticker": _CELL["ticker"]}).select(F.lit(w).alias("counted"), "dimension", "grp", "n_distinct", F.lit(ERROR_BOUND).alias("error_bound")) for w in ("author", "entity_id"))
+    return a.unionByName(e)
+
+
 def p4_cross_counts(spark: SparkSession, d: str) -> DataFrame:
     """Distinct authors and entities of the mentions that share a day, channel, ticker or month in combination."""
     groups = {"_".join(c): lambda x, c=c: F.concat(*[p for n in c for p in (F.lit("|"), _CELL[n](x))][1:]) for c in _CROSSED}
@@ -118,6 +124,10 @@ FROM c LEFT JOIN h ON h.combo = c.combo AND h.dimension = c.dimension LEFT JOIN
 
 _P4_WHO = {"author": "author IS NOT NULL AND author <> '[deleted]'", "entity_id": "entity_id IS NOT NULL"}
 _P4_CELL = _P4_DIMS | {"ticker": symbol_key_sql("ticker")}
+_P4_TICKER = " UNION ALL ".join(
+    f"SELECT '{w}' AS counted, 'ticker' AS dimension, {_P4_CELL['ticker']} AS grp, count(DISTINCT {w}) AS n_distinct, 0.0::DOUBLE AS error_bound FROM mentions WHERE {ok} AND ticker IS NOT NULL GROUP BY 3"
+    for w, ok in _P4_WHO.items()
+)
 _P4_CROSS = " UNION ALL ".join(
     f"SELECT '{w}' AS counted, '{'_'.join(c)}' AS dimension, {g} AS grp, count(DISTINCT {w}) AS n_distinct, 0.0::DOUBLE AS error_bound FROM mentions WHERE {ok} AND {g} IS NOT NULL GROUP BY 3"
     for w, ok in _P4_WHO.items() for c in _CROSSED for g in [" || '|' || ".join(f"({_P4_CELL[n]})" for n in c)]
@@ -202,12 +212,13 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, round(coalesce(list_sum(list_t
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_redacted, p4_distinct_counts, p4_combinations, p4_cross_counts, p4_cross_combinations, p5_found, p5_nearest, p7_containers, p7_fill, p8_found, p8_leaks, p9_found, p9_quality, p9_counts)
+    for f in (p1_found, p1_redacted, p4_distinct_counts, p4_combinations, p4_ticker_counts, p4_cross_counts, p4_cross_combinations, p5_found, p5_nearest, p7_containers, p7_fill, p8_found, p8_leaks, p9_found, p9_quality, p9_counts)
 }
 SQL = {
     "p9_counts": _P9,
     "p4_distinct_counts": _P4,
     "p4_combinations": _P4_COMBO,
+    "p4_ticker_counts": _P4_TICKER,
     "p4_cross_counts": _P4_CROSS,
     "p4_cross_combinations": _P4_CROSS_COMBO,
     "p5_found": _P5 + " SELECT mention_no, strftime(date, '%Y-%m-%d') AS price_date FROM c WHERE rn = 1",
