@@ -1,0 +1,8 @@
+import __spark_entry__ as entry
+
+
+def test_names_of_four_words(spark, tmp_path):
+    spark.createDataFrame([(1, "p1", 1, "u", 1, "I like blue green red yellow today", "")], "ingest_no long, id string, created_utc long, author string, score int, title string, selftext string").write.parquet(f"{tmp_path}/submissions.parquet")
+    spark.createDataFrame([(1, "c1", 1, "u", 1, "t3_p1", "nothing")], "ingest_no long, id string, created_utc long, author string, score int, link_id string, body string").write.parquet(f"{tmp_path}/comments.parquet")
+    spark.createDataFrame([("Blue Green Red Yellow",)], "name string").write.parquet(f"{tmp_path}/tickers.parquet")
+    assert [(r.name, r.n) for r in entry.queries()["ngram_lookup"](spark, str(tmp_path)).collect()] == [("blue green red yellow", 1)]

@@ -612,10 +612,10 @@ _NAME_SQL = (
  SELECT doc_id, g.name, count(*) AS n FROM g JOIN nm ON nm.name = g.name WHERE g.name <> '' GROUP BY 1, 2"""
 )
 def ngram_lookup(spark, d):
-    """J4 as a join: names of up to three words in all texts."""
+    """J4 as a join: names of up to four words in all texts."""
     docs = _texts(spark, d).select(F.concat("doc_type", F.col("ingest_no").cast("string")).alias("doc_id"), "text")
     names = table(spark, d, "tickers").where("name is not null").select(T.normalise_name(F.col("name")).alias("name")).where("name <> ''")
-    return X.ngram_matches(docs, names, "doc_id", "text", 3)
+    return X.ngram_matches(docs, names, "doc_id", "text", 4)
 
 
 @query(
