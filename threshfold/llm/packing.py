@@ -7,6 +7,8 @@ completed with undominated fillings from the rest, largest first, until one leav
 the node budget ends; a branch is cut where all smaller pieces together could not beat the best
 filling, and a whole attempt where its waste so far rules out beating the incumbent. The first
 incumbent is best-fit decreasing, and a result that meets the lower bound ends the search.
+Where those attempts don't meet it, the search goes back over the containers, last ones first,
+to their other fillings, for at most ``STEPS`` containers beyond the first attempt.
 
 A shard leaves at most one container that is filled badly for want of pieces, which is
 ``1 / (containers of a shard)`` of the space at most.
@@ -27,6 +29,8 @@ from threshfold.session import spread, written
 CAPACITY = 2048
 SHARD = 20_000
 NODES = 400
+#: Containers that backtracking opens in a shard beyond those of its first attempt.
+STEPS = 2_000
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The published pre-tokenizer pattern that belongs to this vocabulary.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -45,6 +49,11 @@ class Shelf:
         if not self.n[s]:
             self.asc.pop(bisect_left(self.asc, s))
 
+    def put(self, s: int, k: int = 1) -> None:
+        if not self.n.get(s):
+            insort(self.asc, s)
+        self.n[s] = self.n.get(s, 0) + k
+
 
 def completion(shelf: Shelf, room: int, nodes: int = NODES) -> tuple[int, list[tuple[int, int]]]:
     """The best filling of ``room`` found: its waste and ``(size, copies)``, larger sizes first.
@@ -81,6 +90,85 @@ def completion(shelf: Shelf, room: int, nodes: int = NODES) -> tuple[int, list[t
     return best
 
 
+def fillings(shelf: Shelf, room: int, nodes: int = NODES) -> Iterator[list[tuple[int, int]]]:
+    """Fillings of ``room`` to which no piece left could be added: the best one found first, then
+    the others by waste, as far as ``nodes`` reach."""
+    first = completion(shelf, room, nodes)[1]
+    yield first
+    asc, have, left = shelf.asc, shelf.n, nodes
+    others: list[tuple[int, list[tuple[int, int]]]] = []
+
+    def go(i: int, rem: int, skipped: int, chosen: list[tuple[int, int]]) -> None:
+        # skipped: the smallest size of which a piece was left out
+        nonlocal left
+        left -= 1
+        i = min(i, bisect_right(asc, rem) - 1)
+        if i < 0:
+            if rem < skipped:
+                others.append((rem, list(chosen)))
+            return
+        s = asc[i]
+        for k in range(min(have[s], rem // s), -1, -1):
+            if left <= 0:
+                return
+            go(i - 1, rem - s * k, s if k < have[s] else skipped, [*chosen, (s, k)] if k else chosen)
+
+    go(bisect_right(asc, room) - 1, room, room + 1, [])
+    yield from (f for _, f in sorted(others, key=lambda x: x[0]) if f != first)
+
+
+def backtrack(sizes: np.ndarray, capacity: int, best: list[list[int]], least: int, nodes: int = NODES, steps: int = STEPS) -> list[list[int]]:
+    """A packing with fewer containers than ``best`` if one is found, otherwise ``best``.
+
+    Depth first over the fillings of each container, cut where the waste so far rules out beating
+    the incumbent; exact where neither budget ends it."""
+    shelf, total, left = Shelf(sizes), int(sizes.sum()), steps + len(best)
+    stack: list[list] = []  # per container: largest piece, its fillings, the one that is in, waste before it
+
+    def close() -> None:
+        s, _, fill, _ = stack[-1]
+        for x, k in fill:
+            shelf.put(x, k)
+
+    waste, descend = 0, True
+    while True:
+        if descend:
+            if not shelf.asc:
+                if len(stack) < len(best):
+                    best = [[s, *(x for x, k in fill for _ in range(k))] for s, _, fill, _ in stack]
+                if len(best) <= least:
+                    return best
+                descend = False
+                continue
+            if len(stack) + 1 >= len(best):
+                descend = False
+                continue
+            left -= 1
+            if left < 0:
+                return best
+            s = shelf.asc[-1]
+            shelf.take(s)
+            stack.append([s, fillings(shelf, capacity - s, nodes), [], waste])
+        elif not stack:
+            return best
+        else:
+            close()
+        top = stack[-1]
+        top[2] = []
+        fill = next(top[1], None)
+        if fill is None:
+            waste = top[3]
+            shelf.put(top[0])
+            stack.pop()
+            descend = False
+            continue
+        for x, k in fill:
+            shelf.take(x, k)
+        top[2] = fill
+        waste = top[3] + capacity - top[0] - sum(x * k for x, k in fill)
+        descend = waste - (0 if shelf.asc else capacity) <= (len(best) - 1) * capacity - total
+
+
 def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
     """Best-fit decreasing: each piece into the fullest container that has room for it."""
     room: list[tuple[int, int]] = []
@@ -124,7 +212,7 @@ def pack(sizes: np.ndarray, capacity: int = CAPACITY, nodes: int = NODES) -> lis
         else:
             if len(bins) < len(best):
                 best = bins
-    return best
+    return backtrack(sizes, capacity, best, least, nodes) if len(best) > least else best
 
 
 class Tokens:
