@@ -50,6 +50,7 @@ _BULLET = r"^\s*(?:[-*+•·‣◦▪–—]|\(?\d{1,3}[.)])\s+\S"
 _RULE_LINE = re.compile(r"^\s*[+|]?[\s:|+=-]*-{2,}[\s:|+=-]*$")
 # Words of page furniture.
 _FURNITURE = "home next prev previous top share report rules about login log in sign up register cookies cookie permalink reply menu search subscribe contact privacy terms back more save hide edit faq help".split()
+ENDS, CLOSING = (".", "!", "?", "…"), "\"'”’»)]*_"  # of a line: a sentence's end, and what may follow it
 _DELIMS = ("|", "\t", ";", ",")
 
 
@@ -208,7 +209,7 @@ class Judge:
                 "n_words": w.astype(np.int64),
                 "mean_word_length": _div(chars, w),
                 "symbol_ratio": _div(by(symbols), by(size - blanks)),
-                "punct_line_share": self._line_share(texts, r"[.!?…][\"'”’»)\]*_]*\s*$"),
+                "punct_line_share": self._line_share(texts),
                 "common_share": _div(common, w),
                 "bullet_share": _div(by(bullet), np.maximum(rows, by(np.ones(n)))),
                 "ellipsis_share": _div(by(ellipsis), by(np.ones(n))),
@@ -228,12 +229,11 @@ class Judge:
         return out
 
     @staticmethod
-    def _line_share(texts: list[str], pattern: str) -> np.ndarray:
-        p = re.compile(pattern)
+    def _line_share(texts: list[str]) -> np.ndarray:
         got = np.zeros(len(texts))
         for i, t in enumerate(texts):
             lines = [x for x in t.split("\n") if x.strip()]
-            got[i] = sum(1 for x in lines if p.search(x[-12:])) / max(1, len(lines))
+            got[i] = sum(1 for x in lines if x.rstrip().rstrip(CLOSING).endswith(ENDS)) / max(1, len(lines))
         return got
 
 
@@ -241,11 +241,12 @@ def quality(df: DataFrame, words: DataFrame, id_col: str = "doc_id", text_col: s
     """Statistics, form and failed rules of every row with a text.
 
     Null texts are left out; an empty or blank text has zero words and is prose. ``words`` is a
-    list of common words; at most ``most`` of them (in order of their rank column or spelling)
-    are sent to the tasks. Texts are read whole, whatever their length. A map over the rows.
+    list of common words, which is sent to the tasks whole; one of more than ``most`` words is refused. Texts are read whole, whatever their length. A map over the rows.
     """
     rank = [c for c in ("rank_no",) if c in words.columns]
-    common = [r[0] for r in words.where(F.col(word_col).isNotNull()).orderBy(*rank, word_col).select(F.lower(word_col)).limit(most).collect()]
+    common = [r[0] for r in words.where(F.col(word_col).isNotNull()).orderBy(*rank, word_col).select(F.lower(word_col)).limit(most + 1).collect()]
+    if len(common) > most:
+        raise ValueError(f"more than {most} common words")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         judge = Judge(common)
