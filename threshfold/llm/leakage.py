@@ -173,16 +173,26 @@ def _align(doc: list[str], item: list[str]) -> tuple[int, int, int, int, int, in
 
 def stretches(doc: list[str], item: list[str], dp: np.ndarray, ip: np.ndarray) -> list[tuple[int, int, int, int, int]]:
     """Verified stretches ``(matching words, document from, to, item from, to)``."""
-    out = []
-    for c in _chains(dp, ip):
-        if len(c) < 2:
-            continue
-        d0, i0 = max(0, c[0][0] - 12), max(0, c[0][1] - 12)
-        d1, i1 = c[-1][0] + SHINGLE + 12, c[-1][1] + SHINGLE + 12
-        k, a, b, x, y, n = _align(doc[d0:d1], item[i0:i1])
-        if k >= MIN_STRETCH and k >= DENSITY * n:
-            out.append((k, d0 + a, d0 + b, i0 + x, i0 + y))
-    return out
+    return [s for c in _chains(dp, ip) for s in _dense(doc, item, c, (0, 0), (len(doc), len(item)))]
+
+
+def _dense(doc: list[str], item: list[str], c: list[tuple[int, int]], lo: tuple[int, int], hi: tuple[int, int]) -> list[tuple[int, int, int, int, int]]:
+    """The stretch of a chain between the places ``lo`` and ``hi`` (document, item); a chain that is
+    too thin is cut at its longest gap and both sides are tried."""
+    if len(c) < 2:
+        return []
+    d0, i0 = max(lo[0], c[0][0] - 12), max(lo[1], c[0][1] - 12)
+    d1, i1 = min(hi[0], c[-1][0] + SHINGLE + 12), min(hi[1], c[-1][1] + SHINGLE + 12)
+    k, a, b, x, y, n = _align(doc[d0:d1], item[i0:i1])
+    if k >= DENSITY * n:
+        return [(k, d0 + a, d0 + b, i0 + x, i0 + y)] if k >= MIN_STRETCH else []
+    gap, at = max((c[j][0] - c[j - 1][0], j) for j in range(1, len(c)))
+    if gap <= SHINGLE:
+        return []
+    left = _dense(doc, item, c[:at], lo, (min(hi[0], c[at][0]), min(hi[1], c[at][1])))
+    end = left[-1] if left else (0, 0, lo[0], 0, lo[1])
+    start = (max(end[2], c[at - 1][0] + SHINGLE), max(end[4], c[at - 1][1] + SHINGLE))
+    return left + _dense(doc, item, c[at:], start, hi)
 
 
 def leaked_words(found: list[tuple[int, int, int, int, int]]) -> int:
