@@ -5,7 +5,10 @@ A prefix-filtered set join on five-word shingles with exact verification:
 1. every evaluation item is a set of shingles; one pass over all documents counts in how many
    documents each shingle occurs, which orders a set by rarity;
 2. a leak shares at least ``MIN_SHARED`` shingles with the item, so it holds one of the item's
-   ``size - MIN_SHARED + 1`` rarest (its prefix): the documents are joined with prefixes only;
+   ``size - MIN_SHARED + 1`` rarest (its prefix): the documents are joined with prefixes only.
+   This holds for 20 kept words in one stretch with at most three edits (16 shingles, less four
+   for each word changed, added or dropped), and in two stretches of 10 with at most two; denser
+   edits can leave fewer shared shingles and are then not found, even where ``DENSITY`` holds;
 3. candidates pass a length bound and a positional bound (the shared shingles form chains that
    advance in the document as in the item);
 4. chains are verified by aligning the words of an item-sized window of the document with the
