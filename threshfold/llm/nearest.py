@@ -77,8 +77,8 @@ def _tagged(left: DataFrame, right: DataFrame, tol: int, slab: int, streaming: b
     r = right.where("entity is not null and at is not null and value is not null")
     if not streaming:
         r = r.groupBy("entity", "at").agg(F.max("value").alias("value"))
-    r = r.select("entity", F.explode(F.sequence(where(F.col("at") - tol), where(F.col("at") + tol))).alias("slab"), "at", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("row_no"), "value")
-    x = left.where("entity is not null and at is not null").select("entity", where(F.col("at")).alias("slab"), "at", F.lit(1).alias("kind"), "row_no", F.lit(None).cast("double").alias("value"))
+    r = r.select("entity", F.explode(F.sequence(where(F.col("at") - tol), where(F.col("at") + tol))).alias("slab"), "at", F.lit(0).alias("kind"), F.lit(-1).cast("long").alias("row_no"), "value")  # a null would make pandas round the others
+    x = left.where("entity is not null and at is not null").select("entity", where(F.col("at")).alias("slab"), "at", F.lit(1).alias("kind"), F.coalesce("row_no", F.lit(-1).cast("long")).alias("row_no"), F.lit(None).cast("double").alias("value"))
     return r.unionByName(x)
 
 
@@ -97,7 +97,7 @@ def _replay(tol: int):
             out = []
             entity, slab = b["entity"].to_numpy(object), b["slab"].to_numpy(np.int64)
             at, kind = b["at"].to_numpy(np.int64), b["kind"].to_numpy()
-            row, value = b["row_no"].fillna(-1).to_numpy(np.int64), b["value"].to_numpy(np.float64)
+            row, value = b["row_no"].to_numpy(np.int64), b["value"].to_numpy(np.float64)
             cuts = np.flatnonzero(np.concatenate([[True], (entity[1:] != entity[:-1]) | (slab[1:] != slab[:-1])]))
             for a, z in zip(cuts, [*cuts[1:], len(b)], strict=True):
                 if (now := (entity[a], slab[a])) != key:

@@ -93,7 +93,7 @@ def _accept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         surplus = b["surplus"].to_numpy(dtype=bool).copy()
         src, lanes, keys = b["src"].to_numpy(object), b["lane"].to_numpy(object), b["bad_key"].to_numpy(object)
-        seq = b["seq"].fillna(-1).to_numpy(np.int64)
+        seq = b["seq"].to_numpy(np.int64)
         todo = np.flatnonzero(~surplus)
         numbered = todo[pd.notna(lanes[todo])]
         if len(numbered):
@@ -121,6 +121,7 @@ def mark_surplus(sources: dict[str, DataFrame], id_col: str = "id", row_col: str
     for src, df in sources.items():
         part = _lanes(df, src, id_col, row_col, time_col)
         rows = part if rows is None else rows.unionByName(part)
+    rows = rows.withColumn("seq", F.coalesce("seq", F.lit(-1).cast("long")))  # a null would make pandas round the others
     collapsed = rows.mapInPandas(_collapse, ROW)
     spread = F.when(F.col("surplus") | (F.col("lane").isNull() & F.col("bad_key").isNull()), F.hash("row_no")).otherwise(F.hash("src", "lane", "bad_key"))
     offered = collapsed.repartition(spread).sortWithinPartitions(
