@@ -1,6 +1,5 @@
 """Numbers above 2**53 next to nulls."""
 
-from threshfold.llm.nearest import nearest_join
 from threshfold.operators.once import mark_surplus
 
 
@@ -8,9 +7,3 @@ def test_long_identifiers_next_to_malformed_ones(spark):
     rows = [(1, "zzzzzzzzzz1", 5), (2, "zzzzzzzzzz2", 5), (3, "zzzzzzzzzz3", 5), (4, "bad-key!", 5), (5, None, 5), (6, "zzzzzzzzzz2", 4), (7, "bad-key!", 4)]
     df = spark.createDataFrame(rows, "ingest_no long, id string, retrieved_on long").coalesce(1)
     assert {r.row_no for r in mark_surplus({"a": df}).where("surplus").collect()} == {6, 7}
-
-
-def test_long_row_numbers(spark):
-    left = spark.createDataFrame([("A", 100, 2**53 + 1), ("A", 101, 2**53 + 3)], "entity string, at long, row_no long")
-    right = spark.createDataFrame([("A", 90, 1.0)], "entity string, at long, value double")
-    assert sorted(r.row_no for r in nearest_join(left, right, 50).collect()) == [2**53 + 1, 2**53 + 3]
