@@ -1,5 +1,8 @@
+import itertools
 import random
 
+import numpy as np
+
 from threshfold.llm import leakage as K
 
 ITEM = "Without depreciation the greenhouse at Saltersey could be upgraded before 1975. Nettlebay upgraded its pro-forma sawmill for 832 million after subsidy in 1962; each quarry outside Elverton carries 757 units of impaired stock against 281 of exposed debt."
@@ -65,7 +68,90 @@ def test_blocks_give_the_same(spark, monkeypatch):
 
 def test_prefix_leaves_out_the_most_frequent():
     b = K.Block.build([1], [ITEM])
-    n = len(b.hash)
-    common = b.hash[:3].view("int64").tolist()
-    b.order_by_rarity({h: 10 for h in common})
-    assert b.prefix.sum() == n - K.MIN_SHARED + 1 and not b.prefix[:3].any()
+    n = np.zeros(len(b.shingle), np.int64)
+    n[[3, 8, 5]] = 10, 30, 20
+    b.order_by_rarity(n)
+    left_out = {int(s) for s in np.repeat(np.arange(len(b.shingle)), np.diff(b.first))[~b.prefix]}
+    assert len(left_out) == K.MIN_SHARED - 1 and {3, 5, 8} <= left_out
+
+
+def gapped(words):
+    return {tuple(words[p + i] for i in q) for p in range(len(words) - 3) for q in K.KEPT.tolist() if p + q[3] < len(words)}
+
+
+def edited(columns):
+    """Item and document of a pattern: M kept, S changed, I added, D dropped."""
+    item = [c for c, t in enumerate(columns) if t in "MSD"]
+    return item, [c if t == "M" else -1 - c for c, t in enumerate(columns) if t in "MSI"]
+
+
+def test_bounds_hold_for_every_way_of_editing():
+    """The fewest shared shingles and covered words of a stretch of 10 with 2 edits (all of them), and
+    of 20 with 5 (all places, edits of one kind): what the filters ask for at most."""
+    def least(kept, edits, kinds):
+        shared, cover = 10**9, 10**9
+        for at in itertools.combinations(range(1, kept + edits - 1), edits):
+            for kind in kinds:
+                cols = ["M"] * (kept + edits)
+                for p, t in zip(at, kind, strict=True):
+                    cols[p] = t
+                item, doc = edited(cols)
+                common = gapped(item) & gapped(doc)
+                shared, cover = min(shared, len(common)), min(cover, len({w for s in common for w in s}))
+        return shared, cover
+
+    s10, c10 = least(10, 2, list(itertools.product("SID", repeat=2)))
+    s20, c20 = least(20, 5, ["SSSSS"])
+    assert s10 >= K.MIN_CHAIN and min(2 * s10, s20) >= K.MIN_SHARED and min(2 * c10, c20) >= K.MIN_COVER
+
+
+def test_dense_edits(spark):
+    item = [f"w{i}" for i in range(40)]
+    fifth = [("x" if k % 5 == 4 else w) for k, w in enumerate(item[:26])]  # 26 words, every fifth changed
+    two = [*item[:5], "y", *item[6:11], *FILL, *FILL, *item[20:24], "z", *item[25:31]]  # twice 11 words, one changed in each
+    near = [*item[:5], "y", *item[6:11], *FILL[:13], *item[20:24], "z", *item[25:31]]
+    short = [*item[:5], "y", *item[6:11], *FILL, *FILL, *item[20:24], "z", *item[25:30]]  # 19 words
+    thin = [("x" if k % 3 == 2 else w) for k, w in enumerate(item)]  # every third changed
+    docs = [" ".join([*FILL, *x, *FILL]) for x in (fifth, two, near, short, thin)]
+    assert leak(spark, docs, [(1, " ".join(item))]) == [(0, 1), (1, 1), (2, 1)]
+
+
+def test_random_leaks(spark):
+    """One stretch or two with words changed, added and dropped, up to one edit in four kept words."""
+    rnd = random.Random(11)
+    vocab = [f"v{i}" for i in range(2000)]
+    items = [(k, " ".join(rnd.choice(vocab) for _ in range(70))) for k in range(30)]
+    noise = lambda n: [rnd.choice(vocab) for _ in range(n)]
+
+    def stretch(words, kept):
+        edits = rnd.randint(0, kept // 4)
+        cols = ["M"] * (kept + edits)
+        for p in rnd.sample(range(1, kept + edits - 1), edits):
+            cols[p] = rnd.choice("SID")
+        out, at = [], 0
+        for t in cols:
+            out += [words[at]] if t == "M" else [] if t == "D" else [f"n{rnd.randrange(10**6)}"]
+            at += t != "I"
+        return out, at
+
+    docs, want = [], []
+    for d in range(400):
+        k = rnd.randrange(30)
+        words = items[k][1].split()
+        if d % 2:
+            kept = rnd.randint(20, 40)
+            body, _ = stretch(words[rnd.randint(0, 5) :], kept)
+        else:
+            a, at = stretch(words, rnd.randint(10, 14))
+            b, _ = stretch(words[at + rnd.randint(0, 8) :], rnd.randint(10, 14))
+            body = [*a, *noise(rnd.choice([3, 12, 50])), *b]
+        docs.append(" ".join([*noise(40), *body, *noise(40)]))
+        want.append((d, k))
+    got = leak(spark, docs, items)
+    assert set(got) <= set(want) and len(got) >= 0.99 * len(want), (len(got), set(want) - set(got))
+
+
+def test_a_long_text_that_repeats_itself(spark):
+    item = [f"w{i}" for i in range(30)]
+    text = " ".join([*item[:12], *FILL] * 3000 + item[14:28])
+    assert leak(spark, [text, " ".join(f"p{i}" for i in range(200_000))], [(1, " ".join(item))]) == [(0, 1)]

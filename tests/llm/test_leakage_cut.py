@@ -1,12 +1,26 @@
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from threshfold.llm import leakage as L
 
 
+def scan(doc, item):
+    block = L.Block.build([7], [item])
+    batch = pa.RecordBatch.from_arrays([pa.array([1], pa.int64()), pa.array([doc])], ["doc_id", "text"])
+    found = [b.select(["doc_id", "pos", "shingle", "at", "word"]) for b in L.postings(block)(iter([batch])) if b.column("pos")[0].as_py() is not None]
+    block.order_by_rarity(np.zeros(len(block.shingle), np.int64))
+    return [(r["item_id"], r["n_words"]) for b in L._verified(block)(iter(found)) for r in b.to_pylist()]
+
+
 @pytest.mark.parametrize(("a", "gap", "b", "n"), [(15, 8, 15, 30), (14, 9, 14, 28)])
 def test_stretches_around_replaced_words(a, gap, b, n):
     item = [f"w{i}" for i in range(a + gap + b)]
     doc = ["x"] * 30 + item[:a] + [f"z{i}" for i in range(gap)] + item[a + gap :] + ["y"] * 30
-    block = L.Block.build([7], [" ".join(item)])
-    block.order_by_rarity({})
-    assert list(L._scan(block, " ".join(doc))) == [(7, n)]
+    assert scan(" ".join(doc), " ".join(item)) == [(7, n)]
+
+
+def test_words_of_a_long_leak_are_all_counted():
+    item = [f"w{i}" for i in range(3000)]
+    doc = [w for k, w in enumerate(item) if k % 50 != 49]  # every fiftieth word dropped
+    assert scan(" ".join(["x"] * 40 + doc), " ".join(item)) == [(7, len(doc))]
