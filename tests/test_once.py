@@ -71,3 +71,33 @@ def test_partitioning_does_not_matter(spark, partitions):
     rows = [(n, f"{n % 13:06d}", n % 5) for n in range(200)]
     got = {r.row_no for r in O.mark_surplus({"a": table(spark, rows).repartition(partitions)}).where("surplus").collect()}
     assert got == brute(rows)
+
+
+def test_ranges_decide_in_the_order_of_offers():
+    """Numbers of a lane come latest first, not sorted; ranges of earlier batches stand before them."""
+    r = O.RangeSet([10], [12])
+    assert r.accept(np.array([30, 11, 9, 30, 13, 29])).tolist() == [True, False, True, False, True, True]
+    assert (r.lo.tolist(), r.hi.tolist()) == ([9, 29], [13, 30])
+
+
+@pytest.mark.parametrize("partitions", [1, 6])
+def test_many_batches_equal_one_look_at_all(spark, partitions):
+    rnd = random.Random(8)
+    rows = [(n, rnd.choice(["%06d" % rnd.randrange(300), "odd id-%d!" % rnd.randrange(20)]), rnd.choice([None, 1, 2, 3])) for n in range(900)]
+    first: dict = {}
+    ranges = keys = None
+    for k in range(3):
+        part = rows[k * 300 : k * 300 + 300]
+        df = table(spark, part).repartition(partitions)
+        got = {r.row_no for r in O.mark_surplus({"rows": df}, seen=ranges, seen_keys=keys).where("not surplus").collect()}
+        fresh = [r for r in part if "".join(r[1].split()) not in first]
+        assert got == {r[0] for r in fresh} - brute(fresh)
+        first |= dict.fromkeys("".join(r[1].split()) for r in part)
+        new, odd = O.seen_ranges(df), O.seen_keys(df)
+        ranges, keys = (new, odd) if ranges is None else (O.merge_ranges(ranges, new), keys.unionByName(odd).distinct())
+
+
+def test_carried_columns(spark):
+    df = spark.createDataFrame([(1, "a1", 5, None, 2.5, True), (2, "A1", 4, 7, None, None), (3, None, None, 9, 1.5, False)], "ingest_no long, id string, retrieved_on long, score int, lag double, gone boolean")
+    got = O.deliver_once(df, carry={"ingest_no": "string", "score": "int", "lag": "double", "gone": "boolean"})
+    assert sorted(map(tuple, got.collect())) == [("1", None, 2.5, True), ("3", 9, 1.5, False)]

@@ -4,10 +4,12 @@ Identifiers that are written as base-36 numbers come from a producer's sequence:
 source, the identifier's width and the number's upper bits, and what was accepted of a lane is
 held as disjoint ranges of numbers. A number outside all ranges is accepted once and its range
 grows and merges; a number inside is a surplus copy. Identifiers that are no such number are
-looked up by their exact key.
+looked up by their exact key. Ranges and keys of earlier batches can be handed in
+(:func:`accept_batch`): they then stand before everything the new batch offers.
 
-Which copy stays is decided before a number is offered: copies are offered in the order latest
-``retrieved_on`` first (null counts as earliest), then smallest row number.
+Which copy stays is decided by the order of offers: the numbers of a lane are offered latest
+``retrieved_on`` first (null counts as earliest), then by smallest row number, in whatever order
+the numbers themselves are.
 
 Skew: every Arrow batch first collapses its own copies, so a message with a third of all rows
 leaves a map task as one row per batch; the rows found surplus there travel under a spread key.
@@ -26,7 +28,7 @@ from threshfold.functions.symbols import message_key
 
 #: Numbers of one lane: the bound of a lane's range state and of what one lane sends to a task.
 LANE_BITS = 16
-ROW = "src string, lane string, seq long, bad_key string, retrieved_on long, row_no long, surplus boolean"
+ROW = "src string, lane string, seq long, bad_key string, retrieved_on long, row_no long, surplus boolean, upto long"
 
 
 class RangeSet:
@@ -52,16 +54,15 @@ class RangeSet:
         self.lo, self.hi = lo[starts], hi[ends]
 
     def accept(self, n: np.ndarray) -> np.ndarray:
-        """Offer sorted numbers; true where one is accepted. All of them are covered afterwards."""
-        if not len(n):
-            return np.zeros(0, dtype=bool)
-        ok = np.concatenate([[True], n[1:] != n[:-1]]) & ~self.covered(n)
-        new = n[ok]
-        self.merge(new, new)
+        """Offer numbers in any order; true where one is accepted. All of them are covered afterwards."""
+        ok = np.zeros(len(n), dtype=bool)
+        ok[np.unique(n, return_index=True)[1]] = True
+        ok &= ~self.covered(n)
+        self.merge(n[ok], n[ok])
         return ok
 
 
-def _lanes(df: DataFrame, src: str, id_col: str, row_col: str, time_col: str) -> DataFrame:
+def _lanes(df: DataFrame, src: str, id_col: str, row_col: str, time_col: str, carry: dict[str, str] | None = None) -> DataFrame:
     key = message_key(id_col)
     good = key.rlike("^[0-9a-z]{1,12}$")
     seq = F.conv(key, 36, 10).cast("long")
@@ -72,6 +73,7 @@ def _lanes(df: DataFrame, src: str, id_col: str, row_col: str, time_col: str) ->
         F.when(~good, key).alias("bad_key"),
         F.col(time_col).cast("long").alias("retrieved_on"),
         F.col(row_col).cast("long").alias("row_no"),
+        *[F.col(c).cast(t).alias(f"__{c}") for c, t in (carry or {}).items()],
     )
 
 
@@ -84,16 +86,18 @@ def _collapse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         b["late"] = -b["retrieved_on"].astype("float64").fillna(-np.inf)
         b = b.sort_values(_ORDER, kind="stable", na_position="last")
         b["surplus"] = b.duplicated(["src", "lane", "seq", "bad_key"]) & known.reindex(b.index)
+        b["upto"] = -1
         yield b.drop(columns="late")
 
 
 def _accept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows of a task in offering order: a lane's ranges and the last exact key are its state."""
+    """Rows of a task by lane and in the order of offers: a lane's ranges and the last exact key are its
+    state. Rows with ``upto`` are ranges (or keys) of earlier batches; they come first and go nowhere."""
     lane, ranges, last = None, RangeSet(), None
     for b in batches:
         surplus = b["surplus"].to_numpy(dtype=bool).copy()
         src, lanes, keys = b["src"].to_numpy(object), b["lane"].to_numpy(object), b["bad_key"].to_numpy(object)
-        seq = b["seq"].to_numpy(np.int64)
+        seq, upto = b["seq"].to_numpy(np.int64), b["upto"].to_numpy(np.int64)
         todo = np.flatnonzero(~surplus)
         numbered = todo[pd.notna(lanes[todo])]
         if len(numbered):
@@ -103,35 +107,50 @@ def _accept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if names[a] != lane:
                     lane, ranges = names[a], RangeSet()
                 part = numbered[a:z]
-                surplus[part] = ~ranges.accept(seq[part])
+                old = part[upto[part] >= 0]
+                ranges.merge(seq[old], upto[old])
+                new = part[upto[part] < 0]
+                surplus[new] = ~ranges.accept(seq[new])
         for i in todo[pd.isna(lanes[todo]) & pd.notna(keys[todo])]:
             surplus[i] = (src[i], keys[i]) == last
             last = (src[i], keys[i])
         b["surplus"] = surplus
-        yield b
+        yield b[upto < 0]
 
 
-def mark_surplus(sources: dict[str, DataFrame], id_col: str = "id", row_col: str = "ingest_no", time_col: str = "retrieved_on") -> DataFrame:
+def mark_surplus(sources: dict[str, DataFrame], id_col: str = "id", row_col: str = "ingest_no", time_col: str = "retrieved_on", seen: DataFrame | None = None, seen_keys: DataFrame | None = None, carry: dict[str, str] | None = None) -> DataFrame:
     """``src, row_no, surplus``: one row per delivered row, false for the copy that stays.
 
     A null identifier names no message: its row stays. Blank-only identifiers are one malformed
-    key. Empty tables give no rows. Other columns of the sources are not looked at.
+    key. Empty tables give no rows. Other columns of the sources are not looked at, except those of
+    ``carry`` (column to type, for narrow columns), which come along. ``seen`` (``src, lane, lo, hi``) and
+    ``seen_keys`` (``src, bad_key``) are what earlier batches delivered: every copy of it is surplus.
     """
     rows = None
     for src, df in sources.items():
-        part = _lanes(df, src, id_col, row_col, time_col)
+        part = _lanes(df, src, id_col, row_col, time_col, carry)
         rows = part if rows is None else rows.unionByName(part)
+    more = "".join(f", `__{c}` {t}" for c, t in (carry or {}).items())
     rows = rows.withColumn("seq", F.coalesce("seq", F.lit(-1).cast("long")))  # a null would make pandas round the others
-    collapsed = rows.mapInPandas(_collapse, ROW)
+    offered = rows.mapInPandas(_collapse, ROW.replace(", upto long", more + ", upto long"))
+    none = lambda t: F.lit(None).cast(t)
+    before = {"retrieved_on": none("long"), "row_no": F.lit(-1).cast("long"), "surplus": F.lit(False), **{f"__{c}": none(t) for c, t in (carry or {}).items()}}
+    if seen is not None:
+        offered = offered.unionByName(seen.select("src", "lane", F.col("lo").alias("seq"), none("string").alias("bad_key"), F.col("hi").alias("upto")).withColumns(before))
+    if seen_keys is not None:
+        offered = offered.unionByName(seen_keys.select("src", none("string").alias("lane"), F.lit(-1).cast("long").alias("seq"), "bad_key", F.lit(0).cast("long").alias("upto")).withColumns(before))
     spread = F.when(F.col("surplus") | (F.col("lane").isNull() & F.col("bad_key").isNull()), F.hash("row_no")).otherwise(F.hash("src", "lane", "bad_key"))
-    offered = collapsed.repartition(spread).sortWithinPartitions(
-        "src", F.asc_nulls_last("lane"), "seq", F.asc_nulls_last("bad_key"), F.desc_nulls_last("retrieved_on"), "row_no"
+    offered = offered.repartition(spread).sortWithinPartitions(
+        "src", F.asc_nulls_last("lane"), F.asc_nulls_last("bad_key"), F.desc(F.col("upto") >= 0), F.desc_nulls_last("retrieved_on"), "row_no"
     )
-    return offered.mapInPandas(_accept, ROW).select("src", "row_no", "surplus")
+    return offered.mapInPandas(_accept, offered.schema).select("src", "row_no", "surplus", *[F.col(f"__{c}").alias(c) for c in (carry or {})])
 
 
-def deliver_once(df: DataFrame, src: str = "rows", id_col: str = "id", row_col: str = "ingest_no", time_col: str = "retrieved_on") -> DataFrame:
-    """The rows of ``df`` that stay, all columns as they are."""
+def deliver_once(df: DataFrame, src: str = "rows", id_col: str = "id", row_col: str = "ingest_no", time_col: str = "retrieved_on", carry: dict[str, str] | None = None) -> DataFrame:
+    """The rows of ``df`` that stay, all columns as they are; with ``carry`` only those narrow columns
+    (column to type: string, double, int, boolean), which then need no join."""
+    if carry:
+        return mark_surplus({src: df}, id_col, row_col, time_col, carry=carry).where("not surplus").select(*carry)
     gone = mark_surplus({src: df}, id_col, row_col, time_col).where("surplus").select(F.col("row_no").alias("__gone"))
     return df.join(gone, F.col(row_col) == F.col("__gone"), "left_anti")
 
@@ -178,11 +197,5 @@ def accept_batch(batch: DataFrame, ranges: DataFrame, keys: DataFrame, src: str
     ``ranges`` and ``keys`` are the state of the earlier batches (:func:`seen_ranges`,
     :func:`seen_keys`); the state afterwards is :func:`merge_ranges` of it and the batch's own.
     """
-    once = deliver_once(batch, src, id_col, row_col, time_col)
-    lanes = _lanes(once, src, id_col, row_col, time_col).select("src", "lane", "seq", "bad_key", "row_no")
-    r = ranges.select("src", "lane", F.col("lo").alias("__lo"), F.col("hi").alias("__hi"))
-    fresh = lanes.join(r, (lanes["src"] == r["src"]) & (lanes["lane"] == r["lane"]) & (lanes["seq"] >= r["__lo"]) & (lanes["seq"] <= r["__hi"]), "left_anti")
-    fresh = fresh.join(keys, ["src", "bad_key"], "left_anti")
-    return once.join(fresh.select(F.col("row_no").alias("__new")), F.col(row_col) == F.col("__new"), "left_semi")
-
-
+    gone = mark_surplus({src: batch}, id_col, row_col, time_col, ranges, keys).where("surplus").select(F.col("row_no").alias("__gone"))
+    return batch.join(gone, F.col(row_col) == F.col("__gone"), "left_anti")

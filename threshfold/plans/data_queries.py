@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from threshfold.functions.symbols import message_key_sql, symbol_key, symbol_key_sql
 from threshfold.operators.hot_keys import heavy_keys, key_totals
 from threshfold.operators.known_at import attach_known
-from threshfold.operators.once import mark_surplus
-from threshfold.session import table
+from threshfold.operators.once import mark_surplus, merge_ranges, seen_keys, seen_ranges
+from threshfold.session import table, written
 
 DELETED = "[deleted]"
 HEAVY_SHARE = 0.05
@@ -28,6 +28,35 @@ def p2_kept(spark: SparkSession, d: str) -> DataFrame:
     return _marked(spark, d).where("not surplus").select("src", F.col("row_no").alias("ingest_no"))
 
 
+BATCHES = 3
+
+
+def p2_batches(spark: SparkSession, d: str) -> DataFrame:
+    """The deliveries as three batches in the order of ``ingest_no``: what each accepts, given the ranges
+    and keys that the batches before it left behind. A message stays with its first batch."""
+    tables = {}
+    for t in ("submissions", "comments"):
+        df = table(spark, d, t).select("ingest_no", "id", "retrieved_on")
+        lo, hi = df.agg(F.min("ingest_no")).scalar(), df.agg(F.max("ingest_no")).scalar()
+        tables[t] = df.withColumn("batch", F.floor((F.col("ingest_no") - lo) * F.lit(BATCHES) / (hi - lo + 1)).cast("int"))
+    out = ranges = keys = None
+    for k in range(BATCHES):
+        now = {t: df.where(F.col("batch") == k) for t, df in tables.items()}
+        part = mark_surplus(now, seen=ranges, seen_keys=keys).where("not surplus").select("src", F.col("row_no").alias("ingest_no"), F.lit(k).alias("batch"))
+        out = part if out is None else out.unionByName(part)
+        if k + 1 < BATCHES:
+            new, odd = (seen_ranges(now["submissions"], "submissions").unionByName(seen_ranges(now["comments"], "comments")), seen_keys(now["submissions"], "submissions").unionByName(seen_keys(now["comments"], "comments")))
+            ranges = written(new if ranges is None else merge_ranges(ranges, new), "ranges")
+            keys = written(odd if keys is None else keys.unionByName(odd).distinct(), "keys")
+    return out
+
+
+_P2_BATCH = """SELECT '{t}' AS src, ingest_no, id, {k} AS k, retrieved_on, CAST(floor((ingest_no - (SELECT min(ingest_no) FROM {t})) * 3.0 / (SELECT max(ingest_no) - min(ingest_no) + 1 FROM {t})) AS INTEGER) AS batch FROM {t}"""
+_P2_BATCHES = f"""WITH b AS ({' UNION ALL '.join(_P2_BATCH.format(t=t, k=message_key_sql('id')) for t in ('submissions', 'comments'))}),
+ r AS (SELECT *, min(batch) OVER (PARTITION BY src, k) AS first_batch, row_number() OVER (PARTITION BY src, k, batch ORDER BY retrieved_on DESC NULLS LAST, ingest_no) AS rn FROM b)
+ SELECT src, ingest_no, batch FROM r WHERE id IS NULL OR (batch = first_batch AND rn = 1)"""
+
+
 def _p2_sql(surplus: bool) -> str:
     part = """SELECT '{t}' AS src, ingest_no, row_number() OVER (PARTITION BY {k} ORDER BY retrieved_on DESC NULLS LAST, ingest_no) AS rn, id FROM {t}"""
     both = " UNION ALL ".join(part.format(t=t, k=message_key_sql("id")) for t in ("submissions", "comments"))
@@ -88,11 +117,12 @@ def _join_attrs(attrs: list[str]) -> str:
     return "ev " + " ".join(f"LEFT JOIN a_{a} ON a_{a}.entity = ev.entity AND a_{a}.day = ev.day" for a in attrs)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_kept, p3_found, p3_key_totals, p6_found, p6_known_attributes)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_kept, p2_batches, p3_found, p3_key_totals, p6_found, p6_known_attributes)}
 
 SQL = {
     "p2_found": _p2_sql(True),
     "p2_kept": _p2_sql(False),
+    "p2_batches": _P2_BATCHES,
     "p3_found": " UNION ALL ".join(f"SELECT '{f}' AS field, {f} AS key_value FROM mentions WHERE {f} IS NOT NULL GROUP BY {f} HAVING count(*) >= 0.05 * (SELECT count(*) FROM mentions)" for f in ("entity_id", "ticker")),
     "p3_key_totals": " UNION ALL ".join(_P3.format(f=f) for f in ("entity_id", "ticker")),
     "p6_found": _p6_sql(["ticker"]) + f" SELECT ev.src, ev.row_no FROM {_join_attrs(['ticker'])} WHERE {symbol_key_sql('ev.said')} <> {symbol_key_sql('a_ticker.v')}",
