@@ -2,12 +2,14 @@
 
 Each input split encodes its keys with a dictionary of its own and reduces its rows into dense
 accumulator arrays (``bincount`` for counts and sums, a scattered minimum), whatever keys it
-holds: the work of a task is the length of its split. A task sends one array block per hash
-block of keys, and blocks are added up in two rounds (first salted, then whole), so a key with
-most of the rows costs a reducer as many additions as any other key.
-
-Distinct companions (authors) are first reduced to distinct (key, author) pairs, which combine
-on the map side and spread over both columns, and the pairs then go through the same arrays.
+holds: the work of a task is the length of its split. A task sends one array per hash block of its
+keys, and a distributed reduction adds up the arrays of a block, so a key with most of the rows
+costs a reducer as many additions as any other key. There are as many blocks as the input's size
+asks for (``BLOCK_BYTES`` of input a block), which bounds the keys of a reducer; where there are many
+splits the arrays of a block are first added up in salted parts, so no reducer meets all splits.
+
+Distinct companions (authors) are first reduced to distinct (field, key, author) triples, which combine
+on the map side and spread over all three columns, and the triples then go through the same arrays.
 """
 
 from __future__ import annotations
@@ -15,14 +17,20 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCKS = 64
-SALTS = 16
-BLOCK = "field string, block int, salt int, keys array<string>, n array<bigint>, distinct_n array<bigint>, total array<bigint>, n_total array<bigint>, first array<bigint>"
+from threshfold.session import input_bytes
+
+#: Bytes of input for which there is one block of keys.
+BLOCK_BYTES = 64 << 20
+#: Fewest blocks, and arrays of one block that one reducer adds up at most (about).
+LEAST_BLOCKS, FAN_IN = 4, 256
+BLOCK = "field string, block long, salt int, keys array<string>, n array<bigint>, distinct_n array<bigint>, total array<bigint>, n_total array<bigint>, first array<bigint>"
+_NAMES = ["field", "block", "salt", "keys", "n", "distinct_n", "total", "n_total", "first"]
+_LONGS = pa.list_(pa.int64())
+_KINDS = [pa.string(), pa.int64(), pa.int32(), pa.list_(pa.string()), *[_LONGS] * 5]
 _NONE = np.iinfo(np.int64).max
 
 
@@ -55,26 +63,22 @@ class Dense:
         np.minimum.at(self.first, code, value)
 
 
-def _block(key: str | None) -> int:
-    return 0 if key is None else int.from_bytes(pa_hash(key), "little") % BLOCKS
-
-
-def pa_hash(key: str) -> bytes:
+def _block(key: str | None, blocks: int) -> int:
     import hashlib
 
-    return hashlib.blake2b(key.encode(), digest_size=4).digest()
+    return 0 if key is None else int.from_bytes(hashlib.blake2b(key.encode(), digest_size=8).digest(), "little") % blocks
 
 
-def _blocks(field: str, d: Dense, salt: int) -> Iterator[dict]:
+def _rows(field: str, d: Dense, salt: int, blocks: int) -> Iterator[tuple]:
     keys = list(d.code)
     where: dict[int, list[int]] = {}
     for i, k in enumerate(keys):
-        where.setdefault(_block(k), []).append(i)
+        where.setdefault(_block(k, blocks), []).append(i)
     for b, at in where.items():
-        yield {"field": field, "block": b, "salt": salt, "keys": [keys[i] for i in at], "n": d.n[0, at], "distinct_n": d.n[1, at], "total": d.n[2, at], "n_total": d.n[3, at], "first": d.first[at]}
+        yield (field, b, salt, [keys[i] for i in at], *d.n[:, at], d.first[at])
 
 
-def _scatter(fields: list[str], pairs: bool):
+def _scatter(fields: list[str], pairs: bool, blocks: int, salts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -99,45 +103,46 @@ def _scatter(fields: list[str], pairs: bool):
                 s = sub.column("at").combine_chunks()
                 ok = ~s.is_null().to_numpy(zero_copy_only=False)
                 d.least(code[ok], s.drop_null().to_numpy(zero_copy_only=False).astype(np.int64))
-        salt = TaskContext.get().partitionId() % SALTS
-        rows = [r for f in fields for r in _blocks(f, acc[f], salt)]
+        salt = TaskContext.get().partitionId() % salts
+        rows = [r for f in fields for r in _rows(f, acc[f], salt, blocks)]
         if rows:
             yield from _arrow(rows)
 
     return run
 
 
-def _arrow(rows: list[dict]) -> list[pa.RecordBatch]:
-    cols = list(zip(*[(r["field"], r["block"], r["salt"], r["keys"], r["n"], r["distinct_n"], r["total"], r["n_total"], r["first"]) for r in rows], strict=True))
-    longs = pa.list_(pa.int64())
-    kinds = [pa.string(), pa.int32(), pa.int32(), pa.list_(pa.string()), longs, longs, longs, longs, longs]
-    names = ["field", "block", "salt", "keys", "n", "distinct_n", "total", "n_total", "first"]
-    return pa.Table.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names).to_batches()
+def _arrow(rows: list[tuple]) -> list[pa.RecordBatch]:
+    return pa.Table.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), _KINDS, strict=True)], _NAMES).to_batches(max_chunksize=256)
 
 
-def _sum_blocks(pdf: pd.DataFrame) -> Dense:
-    d = Dense()
-    for r in pdf.itertuples():
-        code = d.codes(pa.array(list(r.keys), pa.string()))
-        for row, name in enumerate(("n", "distinct_n", "total", "n_total")):
-            d.n[row][code] += np.asarray(getattr(r, name), dtype=np.int64)  # keys of one block differ
-        d.first[code] = np.minimum(d.first[code], np.asarray(r.first, dtype=np.int64))
-    return d
+def _summed(batches: Iterator[pa.RecordBatch]) -> dict[tuple[str, int, int], Dense]:
+    """Arrays added up by field, block and salt: one dictionary and one set of arrays for each."""
+    acc: dict[tuple[str, int, int], Dense] = {}
+    for b in batches:
+        col = [b.column(c) for c in range(b.num_columns)]
+        for i, at in enumerate(zip(*[c.to_pylist() for c in col[:3]], strict=True)):
+            d = acc.setdefault(at, Dense())
+            code = d.codes(col[3][i].values)  # keys of one row differ
+            for row in range(4):
+                d.n[row][code] += col[4 + row][i].values.to_numpy()
+            d.first[code] = np.minimum(d.first[code], col[8][i].values.to_numpy())
+    return acc
 
 
-def _reduce_salted(pdf: pd.DataFrame) -> pd.DataFrame:
-    d = _sum_blocks(pdf)
-    return pd.DataFrame(list(_blocks(pdf["field"].iloc[0], d, int(pdf["salt"].iloc[0]))))
+def _add_parts(blocks: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (field, _, salt), d in _summed(batches).items():
+            yield from _arrow(list(_rows(field, d, salt, blocks)))
+
+    return run
 
 
-def _reduce_whole(pdf: pd.DataFrame) -> pd.DataFrame:
-    d = _sum_blocks(pdf)
-    k = len(d.code)
-    total = pd.array(d.n[2, :k], dtype="Int64")
-    total[d.n[3, :k] == 0] = pd.NA
-    first = pd.array(np.where(d.first[:k] == _NONE, 0, d.first[:k]), dtype="Int64")
-    first[d.first[:k] == _NONE] = pd.NA
-    return pd.DataFrame({"field": pdf["field"].iloc[0], "key_value": list(d.code), "n_rows": d.n[0, :k], "n_distinct": d.n[1, :k], "first_at": first, "total": total})
+def _add_whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for (field, _, _), d in _summed(batches).items():
+        k = len(d.code)
+        total = pa.array(d.n[2, :k], mask=d.n[3, :k] == 0)
+        first = pa.array(d.first[:k], mask=d.first[:k] == _NONE)
+        yield pa.RecordBatch.from_arrays([pa.array([field] * k, pa.string()), pa.array(list(d.code), pa.string()), pa.array(d.n[0, :k]), pa.array(d.n[1, :k]), first, total], ["field", "key_value", "n_rows", "n_distinct", "first_at", "total"])
 
 
 def key_totals(
@@ -161,17 +166,20 @@ def key_totals(
         (F.col(time_col).cast("long") if time_col else null).alias("at"),
         (F.col(sum_col).cast("long") if sum_col else null).alias("summand"),
     )
-    blocks = work.mapInArrow(_scatter(list(fields), False), BLOCK)
+    size = input_bytes(df)
+    n_blocks = max(LEAST_BLOCKS, -(-size // BLOCK_BYTES))
+    salts = -(-size // (FAN_IN * BLOCK_BYTES)) or 1
+    blocks = work.mapInArrow(_scatter(list(fields), False, n_blocks, salts), BLOCK)
     if distinct_col:
         who = F.col(distinct_col)
-        pairs = None
-        for f in fields:
-            part = df.where(who.isNotNull() & ~who.isin(*ignore)).select(F.lit(f).alias("field"), F.col(f).cast("string").alias("key"), who.alias("who")).distinct()
-            pairs = part if pairs is None else pairs.unionByName(part)
-        blocks = blocks.unionByName(pairs.select("field", "key").mapInArrow(_scatter(list(fields), True), BLOCK))
-    once = blocks.groupBy("field", "block", "salt").applyInPandas(_reduce_salted, BLOCK)
+        each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("key")) for f in fields])).alias("k")
+        triples = df.where(who.isNotNull() & ~who.isin(*ignore)).select(each, who.alias("who")).select("k.field", "k.key", "who").distinct()
+        blocks = blocks.unionByName(triples.select("field", "key").mapInArrow(_scatter(list(fields), True, n_blocks, salts), BLOCK))
+    tasks = len(fields) * n_blocks  # said outright: arrays are few and long, so their number says little about their work
+    if salts > 1:
+        blocks = blocks.repartition(tasks * salts, "field", "block", "salt").mapInArrow(_add_parts(n_blocks), BLOCK)
     out = "field string, key_value string, n_rows long, n_distinct long, first_at long, total long"
-    return once.groupBy("field", "block").applyInPandas(_reduce_whole, out)
+    return blocks.withColumn("salt", F.lit(0)).repartition(tasks, "field", "block").mapInArrow(_add_whole, out)
 
 
 def heavy_keys(totals: DataFrame, share: float) -> DataFrame:

@@ -37,8 +37,18 @@ def spread(df: DataFrame) -> DataFrame:
 
     A large table has more splits than that and stays as it is; only a table of few files is dealt
     out again, which moves little."""
+    conf = df.sparkSession._jsparkSession.sessionState().conf()
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    # a scan has a split a core as soon as that makes splits of the cost of opening a file
+    return df if input_bytes(df) >= cores * int(conf.filesOpenCostInBytes()) else df.repartition(cores)
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the tables that ``df`` reads, as the planner knows them without reading: for files
+    their size. A table of unknown size counts as empty."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    return sum(x for x in sizes if x < 1 << 60)
 
 
 def shared_folder(spark: SparkSession) -> str:
