@@ -30,6 +30,16 @@ def test_replay(spark, slab, parts):
     assert {r.row_no: (r.match_at, r.match_value) for r in got} == brute(left, right) and len(got) == len(left)
 
 
+def test_hot_slabs_are_salted(spark, monkeypatch):
+    monkeypatch.setattr(N, "SHARES", 1000)
+    left, right = data(3)
+    l, r = spark.createDataFrame(left, L), spark.createDataFrame(right, R)
+    got = N.nearest_join(l, r, TOL, 500, hot=7).collect()
+    assert {x.row_no: (x.match_at, x.match_value) for x in got} == brute(left, right) and len(got) == len(left)
+    salts = N._salted(N._tagged(l, r, TOL, 500), l, 7).where("kind = 1").groupBy("entity", "slab", "salt").count()
+    assert salts.agg({"count": "max"}).first()[0] <= 20 and salts.where("salt > 3").count() > 0
+
+
 def test_empty_sides(spark):
     left, right = data(9)
     l, r = spark.createDataFrame(left, L), spark.createDataFrame(right, R)

@@ -11,7 +11,11 @@ are evicted. :class:`NearestBuffer` is that state. It is driven in two ways:
 
 Skew: the state key is (entity, slab of time); right records within reach of a slab's border go
 to both slabs, so an entity with a third of all rows is as many keys as it has slabs, and what a
-key buffers is at most the rows of two tolerances.
+key buffers is at most the rows of two tolerances. Left records are matched each by itself, so a slab
+that holds more than its share of them is salted: its left records are dealt to several keys and its
+right records, at most one a second, are copied to each. A slab is hot beyond ``total / (SHARES *
+partitions)`` records; fewer than ``SHARES * partitions`` slabs can be, which bounds the broadcast
+list of them.
 """
 
 from __future__ import annotations
@@ -25,6 +29,8 @@ from pyspark.sql import functions as F
 
 #: Seconds of one slab.
 SLAB = 14 * 86_400
+#: Left records below which no slab is salted, and how many shares of a task make a hot slab.
+HOT, SHARES = 200_000, 4
 _END = np.iinfo(np.int64).max
 
 
@@ -95,12 +101,12 @@ def _replay(tol: int):
             if not len(b):
                 continue
             out = []
-            entity, slab = b["entity"].to_numpy(object), b["slab"].to_numpy(np.int64)
+            entity, slab, salt = b["entity"].to_numpy(object), b["slab"].to_numpy(np.int64), b["salt"].to_numpy(np.int64)
             at, kind = b["at"].to_numpy(np.int64), b["kind"].to_numpy()
             row, value = b["row_no"].to_numpy(np.int64), b["value"].to_numpy(np.float64)
-            cuts = np.flatnonzero(np.concatenate([[True], (entity[1:] != entity[:-1]) | (slab[1:] != slab[:-1])]))
+            cuts = np.flatnonzero(np.concatenate([[True], (entity[1:] != entity[:-1]) | (slab[1:] != slab[:-1]) | (salt[1:] != salt[:-1])]))
             for a, z in zip(cuts, [*cuts[1:], len(b)], strict=True):
-                if (now := (entity[a], slab[a])) != key:
+                if (now := (entity[a], slab[a], salt[a])) != key:
                     out.append(state.push(none_l, none_l, none_l, none_v, _END))
                     key, state = now, NearestBuffer(tol)
                 is_left = kind[a:z] == 1
@@ -112,7 +118,18 @@ def _replay(tol: int):
     return run
 
 
-def nearest_join(left: DataFrame, right: DataFrame, tolerance: int, slab: int = SLAB) -> DataFrame:
+def _salted(rows: DataFrame, left: DataFrame, hot: int) -> DataFrame:
+    """``rows`` with ``salt``: 0, or for a hot slab one of as many as it has shares (left records by
+    their number, right records in every one)."""
+    most = F.greatest(F.lit(hot), F.floor(left.agg(F.count(F.lit(1))).scalar() / (SHARES * int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
+    n = rows.where("kind = 1").groupBy("entity", "slab").agg(F.count(F.lit(1)).alias("n"))
+    busy = n.where(F.col("n") > most).select("entity", "slab", F.ceil(F.col("n") / most).cast("int").alias("salts"))
+    one = F.array(F.pmod(F.xxhash64("row_no", "at"), F.col("salts")).cast("int"))
+    each = F.when(F.col("salts").isNull(), F.array(F.lit(0))).when(F.col("kind") == 1, one).otherwise(F.sequence(F.lit(0), F.col("salts") - 1))
+    return rows.join(F.broadcast(busy), ["entity", "slab"], "left").withColumn("salt", F.explode(each)).drop("salts")
+
+
+def nearest_join(left: DataFrame, right: DataFrame, tolerance: int, slab: int = SLAB, hot: int = HOT) -> DataFrame:
     """``row_no, match_at, match_value`` for every left record.
 
     ``left`` has ``entity, at, row_no`` (seconds), ``right`` has ``entity, at, value``. The match
@@ -123,7 +140,8 @@ def nearest_join(left: DataFrame, right: DataFrame, tolerance: int, slab: int =
     """
     if slab < tolerance:
         raise ValueError("a slab is at least as long as the tolerance")
-    rows = _tagged(left, right, tolerance, slab).repartition("entity", "slab").sortWithinPartitions("entity", "slab", "at", "kind", "row_no")
+    rows = _salted(_tagged(left, right, tolerance, slab), left, hot)
+    rows = rows.repartition("entity", "slab", "salt").sortWithinPartitions("entity", "slab", "salt", "at", "kind", "row_no")
     found = rows.mapInPandas(_replay(tolerance), PAIR)
     null = F.lit(None)
     lost = left.where("entity is null or at is null").select("row_no", null.cast("long").alias("match_at"), null.cast("double").alias("match_value"))
