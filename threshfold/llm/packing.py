@@ -1,7 +1,8 @@
 """Filling containers of fixed capacity with whole texts by bin completion.
 
 Texts are measured in tokens of a public tokenizer; only a text longer than the capacity is cut,
-into full pieces and a rest. Pieces are dealt into shards of about ``SHARD`` pieces, and each
+into full pieces and a rest. Pieces are dealt into shards of about ``SHARD`` pieces by their place in
+the order of sizes, so the shards are alike and the same on any number of cores, and each
 shard is packed by branch and bound: a container is opened with the largest piece left and
 completed with undominated fillings from the rest, largest first, until one leaves no space or
 the node budget ends; a branch is cut where all smaller pieces together could not beat the best
@@ -24,6 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threshfold.operators.series import ordinal_ranks
 from threshfold.session import spread, written
 
 CAPACITY = 2048
@@ -91,20 +93,24 @@ def completion(shelf: Shelf, room: int, nodes: int = NODES) -> tuple[int, list[t
 
 
 def fillings(shelf: Shelf, room: int, nodes: int = NODES) -> Iterator[list[tuple[int, int]]]:
-    """Fillings of ``room`` to which no piece left could be added: the best one found first, then
-    the others by waste, as far as ``nodes`` reach."""
+    """Undominated fillings of ``room``: the best one found first, then the others by waste, as far as
+    ``nodes`` reach. A filling is dominated where a piece left could be added, or could take the place
+    of a smaller one in it (which would fit wherever the larger one goes)."""
     first = completion(shelf, room, nodes)[1]
     yield first
     asc, have, left = shelf.asc, shelf.n, nodes
     others: list[tuple[int, list[tuple[int, int]]]] = []
 
+    def dominated(rem: int, used: dict[int, int]) -> bool:
+        return any(have[t] > used.get(t, 0) for x in used for t in asc[bisect_right(asc, x) : bisect_right(asc, x + rem)])
+
     def go(i: int, rem: int, skipped: int, chosen: list[tuple[int, int]]) -> None:
         # skipped: the smallest size of which a piece was left out
         nonlocal left
         left -= 1
         i = min(i, bisect_right(asc, rem) - 1)
         if i < 0:
-            if rem < skipped:
+            if rem < skipped and not dominated(rem, dict(chosen)):
                 others.append((rem, list(chosen)))
             return
         s = asc[i]
@@ -215,16 +221,27 @@ def pack(sizes: np.ndarray, capacity: int = CAPACITY, nodes: int = NODES) -> lis
     return backtrack(sizes, capacity, best, least, nodes) if len(best) > least else best
 
 
+#: Most bytes of a vocabulary file, which is read by the driver and sent to the tasks.
+MOST_VOCABULARY = 32 << 20
+
+
+def read_vocabulary(path: str) -> bytes:
+    with open(path, "rb") as f:
+        data = f.read(MOST_VOCABULARY + 1)
+    if len(data) > MOST_VOCABULARY:
+        raise ValueError(f"a vocabulary of more than {MOST_VOCABULARY} bytes is not sent to tasks")
+    return data
+
+
 class Tokens:
-    """Counts tokens with the vocabulary file at ``path``."""
+    """Counts tokens with a vocabulary (the content of its file)."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, vocabulary: bytes) -> None:
         import base64
 
         import tiktoken
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
         self.encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def count(self, text: str) -> int:
@@ -234,10 +251,11 @@ class Tokens:
 def token_pieces(df: DataFrame, id_col: str, text_col: str, capacity: int, vocabulary: str) -> DataFrame:
     """``doc_id, piece, first_token, n_tokens``: one row per text, or per piece of a long one.
 
-    Null and empty texts have one piece of no tokens."""
+    Null and empty texts have one piece of no tokens. ``vocabulary`` is a path that only the driver reads."""
+    content = read_vocabulary(vocabulary)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokens = Tokens(vocabulary)
+        tokens = Tokens(content)
         for b in batches:
             n = np.array([0 if t is None else tokens.count(t) for t in b["text"]], dtype=np.int64)
             k = np.maximum(1, -(-n // capacity))
@@ -253,8 +271,9 @@ def containers(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ca
     """``doc_id, piece, first_token, n_tokens, container``: every text once, in the container it is put into.
 
     Null and empty texts take no space: their container is null. Repeated texts are packed each.
-    The counts are written to the shared folder, so texts are tokenized once; rows are dealt to
-    shards by their place in that table, whatever their identifiers are.
+    The counts are written to the shared folder when this is called, so texts are tokenized once. Rows are
+    dealt to shards by their ordinal in the order of sizes (a distributed sort), whatever their
+    identifiers are and however they are partitioned.
     """
     pieces = written(token_pieces(df, id_col, text_col, capacity, vocabulary), "pieces")
     n = pieces.where("n_tokens > 0").count()
@@ -272,9 +291,10 @@ def containers(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ca
         pdf["container"] = (pdf["shard"].to_numpy(np.int64) << 32) + box
         return pdf.drop(columns="shard")
 
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)))
-    boxed = dealt.where("n_tokens > 0").groupBy("shard").applyInPandas(run, PACKED)
-    none = dealt.where("n_tokens = 0").select("doc_id", "piece", "first_token", "n_tokens", F.lit(None).cast("long").alias("container"))
+    placed = ordinal_ranks(pieces.where("n_tokens > 0").withColumn("__h", F.xxhash64("doc_id", "piece")), "__place", "n_tokens", "__h", "doc_id", "piece")
+    dealt = placed.select("doc_id", "piece", "first_token", "n_tokens", F.pmod(F.col("__place"), F.lit(shards)).cast("long").alias("shard"))
+    boxed = dealt.groupBy("shard").applyInPandas(run, PACKED)
+    none = pieces.where("n_tokens = 0").select("doc_id", "piece", "first_token", "n_tokens", F.lit(None).cast("long").alias("container"))
     return boxed.unionByName(none)
 
 
