@@ -1,16 +1,21 @@
 """Per-document text quality statistics and the form of a text.
 
-Statistics are computed on whole batches of text with Arrow kernels. A text is read as segments:
-its lines, long lines cut at blanks into pieces of at most ``PIECE`` characters. Each segment
-gets a form from fixed thresholds, and a document has the form that holds most of its
-characters. The published rules on whole documents are applied as well, and every rule that a
-document fails is recorded by name.
+Statistics are computed on whole batches of text: characters through one table of character classes,
+words through the dictionary of a batch (each distinct word is looked at once), lines and rows with
+Arrow kernels. A text is read as segments: its lines, long lines cut at blanks into pieces of at most
+``PIECE`` characters.
+
+Two sets of fixed-threshold rules are applied. ``RULES`` are published ones on whole documents; they
+say whether a text is fit for use, and not whether it is a list, a table or junk. ``SEGMENT_RULES``
+give a segment its form by thresholds of our own; a document has the form that holds most of its
+characters. Every rule that a document fails, or that gave it its form, is recorded by name.
 """
 
 from __future__ import annotations
 
-import re
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -26,13 +31,14 @@ PIECE = 400
 SLICE_CHARS = 4_000_000
 FORMS = ("prose", "list", "table", "junk")
 
-# Function words of the languages besides the ranked English words.
+# Function words of some languages besides the ranked English words.
 _FUNCTION_WORDS = """der die das und ist nicht ein eine im in zu mit für auf bei wird war aber weil obwohl wie von den dem des sich auch als es ich wir viel sehr kaum
 le la les des du et est un une en pour pas que qui ce dans sur au par plus sans nous avec à il elle comme car donc malgré
 el los las de y es no por con una lo se su al más pero como para sigue muy ya este esta porque así que
 il lo gli di che e non per una con sono della del het een van niet op te dat voor zijn met och att det som på av är inte og er det til ikke não uma os da do em""".split()
 
-# Published thresholds (Gopher and C4 rules): name, statistic, lower and upper bound.
+# Published rules and thresholds (the Gopher quality filters; terminal punctuation after C4 and
+# FineWeb): name, statistic, lower and upper bound.
 RULES = (
     ("word_count", "n_words", 50, 100_000),
     ("mean_word_length", "mean_word_length", 3.0, 10.0),
@@ -46,84 +52,176 @@ RULES = (
 STATS = ("n_words", "mean_word_length", "symbol_ratio", "punct_line_share", "common_share", "bullet_share", "ellipsis_share", "alpha_share")
 OUT = "doc_id long, n_words long, mean_word_length double, symbol_ratio double, punct_line_share double, common_share double, bullet_share double, ellipsis_share double, alpha_share double, form string, prose_share double, reasons array<string>"
 
+#: Segment rules: name, form, and conditions (statistic, at least, at most) that all hold. Of several the first in
+#: this order gives the form; a segment without a rule is prose. ``rep_words`` and ``dup_lines`` are repetition
+#: after the Gopher filters, ``braces`` after C4's rule against code; the other thresholds are our own.
+SEGMENT_RULES = (
+    ("table_rows", "table", (("table_row", 1, None),)),
+    ("bullet_entries", "list", (("bullet", 1, None), ("plain_words", None, 9), ("sentence", None, 0))),
+    ("parted_entries", "list", (("parts", 5, None), ("words_a_part", 0.5, 4), ("function_share", None, 0.0999), ("bracket_share", None, 0.0499), ("page_furniture", None, 0), ("distinct_share", 0.3001, None), ("broken_share", None, 0.0999))),
+    ("encoded", "junk", (("encoded_share", 0.5001, None),)),
+    ("markup", "junk", (("tag_share", 0.5001, None), ("bullet", None, 0))),
+    ("braces", "junk", (("code_share", 0.1201, None), ("bullet", None, 0))),
+    ("damaged", "junk", (("broken_share", 0.1501, None),)),
+    ("decoration", "junk", (("text_share", None, 0.3499), ("bullet", None, 0))),
+    ("furniture", "junk", (("furniture_share", 0.6001, None), ("words", 6, None))),
+    ("rep_words", "junk", (("words", 8, None), ("distinct_share", None, 0.3))),
+    ("gibberish", "junk", (("words", 4, None), ("function_share", None, 0.0799), ("odd_share", 0.3501, None), ("words_a_part", 2.0001, None))),
+    ("dup_lines", "junk", (("dup_line", 1, None), ("words", None, 11))),
+    ("short_lines", "list", (("stub_line", 1, None),)),
+)
+
 _BULLET = r"^\s*(?:[-*+•·‣◦▪–—]|\(?\d{1,3}[.)])\s+\S"
-_RULE_LINE = re.compile(r"^\s*[+|]?[\s:|+=-]*-{2,}[\s:|+=-]*$")
-# Words of page furniture.
+_RULE_LINE = r"^\s*[+|]?[\s:|+=-]*-{2,}[\s:|+=-]*$"
+_NUMBER = r"^[-+$€£(]*[\d.,]*\d[%)kKmMbB]*$"
+_ENDS = r"""[.!?…]["'”’»)\]*_]*[\s\p{Z}]*$"""
+_BREAKS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
+_ODD = r"[bcdfghjklmnpqrstvwxz]{5}|[aeiou]{4}|^[bcdfghjklmnpqrstvwxz]{4}|[qjx][bcdfghjklmnpqrstvwxz]|[bcdfghjklmnpqrstvwxz]{4}$"
+# Words of page furniture.
 _FURNITURE = "home next prev previous top share report rules about login log in sign up register cookies cookie permalink reply menu search subscribe contact privacy terms back more save hide edit faq help".split()
-ENDS, CLOSING = (".", "!", "?", "…"), "\"'”’»)]*_"  # of a line: a sentence's end, and what may follow it
-_DELIMS = ("|", "\t", ";", ",")
-
-
-def _fields(line: str) -> tuple[str, int]:
-    """The delimiter that cuts a line into most fields, and how many."""
-    best = ("", 1)
-    for d in _DELIMS:
-        if (n := line.count(d)) >= best[1] + (d == ","):
-            best = (d, n + (0 if d == "|" and line.lstrip()[:1] == "|" else 1))
-    if best[1] < 3 and len(cells := re.split(r"\s{2,}", line.strip())) >= 3:
-        best = ("  ", len(cells))
-    return best
-
-
-def _table_lines(lines: list[str]) -> list[bool]:
-    """Which lines are rows of a table: at least two rows of three or more short cells, cut alike,
-    of which a quarter are numbers; rules and headers beside them count too."""
-    cut = [_fields(x) if x.strip() else ("", 0) for x in lines]
-    groups: dict[tuple[str, int], list[int]] = {}
-    for i, (d, n) in enumerate(cut):
-        if n >= 3 and len(lines[i]) <= 60 * n:
-            groups.setdefault((d, n), []).append(i)
-    out = [False] * len(lines)
-    for (d, _), at in groups.items():
-        if len(at) < 2:
-            continue
-        cells = [c.strip() for i in at for c in (re.split(r"\s{2,}", lines[i].strip()) if d == "  " else lines[i].strip().strip("|").split(d))]
-        numbers = sum(1 for c in cells if re.fullmatch(r"[-+$€£(]*[\d.,]*\d[%)kKmMbB]*", c))
-        words = sum(len(c.split()) for c in cells)
-        if numbers >= 0.25 * len(cells) and words <= 3 * len(cells):
-            for i in at:
-                out[i] = True
-    if any(out):
-        for i, x in enumerate(lines):
-            if not out[i] and len(x.strip()) > 2 and (_RULE_LINE.match(x) or (cut[i][1] >= 3 and x.lstrip()[:1] == "|")):
-                out[i] = True
-    return out
+_DELIMS = ("|", "\t", ";", ",", "  ")
 
+LETTER, DIGIT, BLANK, CODE, BRACKET, BROKEN, PART, DASH = (1 << i for i in range(8))
 
-def _pieces(text: str) -> tuple[list[str], list[bool], list[bool]]:
-    """Segments of a text; whether each is a whole line; whether it is a table row."""
-    lines = text.splitlines() if text else []
-    rows = _table_lines(lines) if len(lines) > 1 else [False] * len(lines)
-    seg, whole, table = [], [], []
-    for x, t in zip(lines, rows, strict=True):
-        if not x.strip():
-            continue
-        at = 0
-        if len(x) <= PIECE:
-            seg.append(x), whole.append(True), table.append(t)
-            continue
-        while at < len(x):
-            z = len(x) if len(x) - at <= PIECE else x.rfind(" ", at + PIECE // 2, at + PIECE)
-            z = at + PIECE if z <= at else z
-            seg.append(x[at:z]), whole.append(False), table.append(t)
-            at = z
-    return seg, whole, table
 
+@lru_cache(1)
+def classes() -> np.ndarray:
+    """Flags of every code point: letter, digit, blank, and the signs that some rules count."""
+    got = np.zeros(0x110000, np.uint8)
+    kind = np.array([unicodedata.category(chr(c)) for c in range(0x110000)])
+    got[np.char.startswith(kind, "L")] |= LETTER
+    got[kind == "Nd"] |= DIGIT
+    got[np.char.startswith(kind, "Z")] |= BLANK
+    for flag, signs in ((BLANK, " \t\n\r\f\v"), (CODE, "{}();=<>[]"), (BRACKET, "{}()=<>[]"), (BROKEN, "ÃÂâ€™�ï¿½Ðÿ¤œŠ"), (PART, ",;|•·"), (DASH, "–/")):
+        got[[ord(c) for c in signs]] |= flag
+    return got
+
+
+class Chars:
+    """Characters of a batch of strings by class."""
+
+    def __init__(self, a: pa.Array) -> None:
+        self.size = _np(pc.utf8_length(a))
+        self.at = np.concatenate([[0], np.cumsum(self.size)])
+        text = "".join(a.to_pylist())
+        self.flags = classes()[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
+
+    def count(self, flag: int) -> np.ndarray:
+        return np.diff(np.searchsorted(np.flatnonzero(self.flags & flag), self.at))
+
+
+def _np(a: pa.Array, kind: type = np.int64) -> np.ndarray:
+    return a.to_numpy(zero_copy_only=False).astype(kind)
 
-def _count(a: pa.Array, pattern: str) -> np.ndarray:
-    return pc.count_substring_regex(a, pattern).to_numpy(zero_copy_only=False).astype(np.int64)
 
+def _has(a: pa.Array, pattern: str) -> np.ndarray:
+    return _np(pc.match_substring_regex(a, pattern), bool)
 
-def _gone(a: pa.Array, size: np.ndarray, pattern: str) -> np.ndarray:
-    """Characters that the pattern covers."""
-    return size - pc.utf8_length(pc.replace_substring_regex(a, pattern, "")).to_numpy(zero_copy_only=False)
+
+def _among(a: pa.Array, some: np.ndarray, f) -> np.ndarray:
+    """``f`` of the chosen strings, 0 for the others."""
+    out = np.zeros(len(a), np.int64)
+    if some.any():
+        out[some] = f(a.filter(pa.array(some)))
+    return out
 
 
-def _by_segment(tokens: pa.ListArray, n: int) -> tuple[pa.Array, np.ndarray]:
-    flat = tokens.flatten()
-    seg = pc.list_parent_indices(tokens).to_numpy(zero_copy_only=False)
+def _count(a: pa.Array, pattern: str) -> np.ndarray:
+    return _np(pc.count_substring_regex(a, pattern))
+
+
+def _gone(pattern: str):
+    """Characters that a pattern covers."""
+    return lambda a: _np(pc.utf8_length(a)) - _np(pc.utf8_length(pc.replace_substring_regex(a, pattern, "")))
+
+
+def _lines(texts: pa.Array, breaks: str) -> tuple[pa.Array, np.ndarray]:
+    """Lines that are not blank, and the text of each."""
+    lists = pc.split_pattern_regex(texts, breaks)
+    flat, of = lists.flatten(), pc.list_parent_indices(lists)
+    keep = pc.not_equal(pc.utf8_trim_whitespace(flat), "")
+    return flat.filter(keep), _np(of.filter(keep))
+
+
+def _table_rows(lines: pa.Array, of: np.ndarray, n_docs: int) -> np.ndarray:
+    """Which lines are rows of a table: at least two rows of a text with three or more short cells, cut
+    alike, of which a quarter are numbers, or which are set apart by bars, tabs or columns in three rows or
+    more; rules and headers beside them count too."""
+    n = np.ones(len(lines), np.int64)
+    kind = np.zeros(len(lines), np.int64)
+    bare = pc.utf8_trim_whitespace(lines)
+    barred = _np(pc.starts_with(bare, "|"), bool)
+    for k, d in enumerate(_DELIMS[:4]):
+        c = _np(pc.count_substring(lines, d))
+        more = c >= n + (d == ",")
+        n, kind = np.where(more, c + 1 - (barred if d == "|" else 0), n), np.where(more, k, kind)
+    columns = np.where(n < 3, _among(bare, n < 3, lambda a: _count(a, r"[\s\p{Z}]{2,}") + 1), 0)
+    n, kind = np.where(columns >= 3, columns, n), np.where(columns >= 3, 4, kind)
+    cut = np.flatnonzero((n >= 3) & (_np(pc.utf8_length(lines)) <= 60 * n))
+    out = np.zeros(len(lines), bool)
+    if not len(cut):
+        return out
+    _, group = np.unique(np.stack([of[cut], kind[cut], n[cut]]), axis=1, return_inverse=True)
+    group = group.ravel()
+    rows = np.bincount(group)
+    cut, group = cut[rows[group] >= 2], group[rows[group] >= 2]
+    cells, numbers, words, odd = (np.zeros(len(rows)) for _ in range(4))
+    for k, d in enumerate(_DELIMS):
+        mine = np.flatnonzero(kind[cut] == k)
+        if not len(mine):
+            continue
+        part = bare.take(pa.array(cut[mine]))
+        lists = pc.split_pattern_regex(part, r"[\s\p{Z}]{2,}") if d == "  " else pc.split_pattern(pc.utf8_trim(part, characters="|"), d)
+        flat, g = pc.utf8_trim_whitespace(lists.flatten()), group[mine][_np(pc.list_parent_indices(lists))]
+        cells += np.bincount(g, minlength=len(rows))
+        numbers += np.bincount(g, _np(pc.match_substring_regex(flat, _NUMBER)), len(rows))
+        words += np.bincount(g, _count(flat, r"[^\s\p{Z}]+"), len(rows))
+        odd += np.bincount(g, _np(pc.match_substring_regex(flat, r"[^\s\p{Z}\p{P}]")), len(rows))
+    apart = np.zeros(len(rows), bool)
+    apart[group[(kind[cut] == 1) | (kind[cut] == 4) | ((kind[cut] == 0) & barred[cut])]] = True
+    ok = ((numbers >= 0.25 * cells) | (apart & (rows >= 3) & (odd >= 0.7 * cells))) & (words <= 3 * cells)
+    out[cut] = ok[group]
+    tabled = np.bincount(of, out, n_docs)[of] > 0
+    beside = tabled & ~out & (_np(pc.utf8_length(bare)) > 2)
+    return out | (beside & ((_among(lines, beside, lambda a: _has(a, _RULE_LINE)) > 0) | ((n >= 3) & barred)))
+
+
+def _segments(lines: pa.Array, of: np.ndarray, table: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Segments, the text of each, whether it is a whole line, whether it is a table row; and which texts
+    were cut inside a run without blanks."""
+    long = np.flatnonzero(_np(pc.utf8_length(lines)) > PIECE)
+    pieces, count, inside = [], np.ones(len(lines), np.int64), []
+    for i in long:
+        x, at, k = lines[int(i)].as_py(), 0, 0
+        while at < len(x):
+            z = len(x) if len(x) - at <= PIECE else x.rfind(" ", at + PIECE // 2, at + PIECE)
+            if z <= at:
+                z = at + PIECE
+                inside.append(of[i])
+            pieces.append(x[at:z])
+            at, k = z, k + 1
+        count[i] = k
+    row = np.repeat(np.arange(len(lines)), count)
+    whole = np.ones(len(lines), bool)
+    whole[long] = False
+    take = row.copy()
+    take[~whole[row]] = len(lines) + np.arange(len(pieces))
+    seg = pa.concat_arrays([lines, pa.array(pieces, pa.string())]).take(pa.array(take))
+    return seg, of[row], whole[row], table[row], np.unique(np.array(inside, np.int64))
+
+
+def _words(a: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+    lists = pc.split_pattern_regex(pc.utf8_lower(a), r"[^\p{L}\p{N}]+")
+    flat, of = lists.flatten(), pc.list_parent_indices(lists)
     keep = pc.not_equal(flat, "")
-    return flat.filter(keep), seg[keep.to_numpy(zero_copy_only=False)]
+    return flat.filter(keep).dictionary_encode(), _np(of.filter(keep))
+
+
+def _distinct(of: np.ndarray, code: np.ndarray, n: int) -> np.ndarray:
+    """How many distinct codes each of n groups has."""
+    top = np.int64(code.max(initial=0) + 1)
+    pair = np.sort(of * top + code)
+    return np.bincount(pair[np.concatenate([[True], pair[1:] != pair[:-1]])[: len(pair)]] // top, minlength=n)
 
 
 def _div(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -138,104 +236,105 @@ class Judge:
         self.function = pa.array(sorted({*common, *_FUNCTION_WORDS}), pa.string())
         self.furniture = pa.array(_FURNITURE, pa.string())
 
+    def _words_of(self, tok: pa.DictionaryArray, of: np.ndarray, n: int) -> dict[str, np.ndarray]:
+        """Sums over the words of each of n strings; what a word is like is asked once per distinct word."""
+        word, code = tok.dictionary, _np(tok.indices)
+        size = _np(pc.utf8_length(word))
+        add = lambda x: np.bincount(of, x[code], n)
+        return {
+            "words": np.bincount(of, minlength=n), "chars": add(size), "common": add(_np(pc.is_in(word, value_set=self.common))), "alpha": add(_np(pc.match_substring_regex(word, r"\p{L}"))),
+            "function": add(_np(pc.is_in(word, value_set=self.function), bool) & (size > 1)),  # the letter of a share class is no word
+            "furniture": add(_np(pc.is_in(word, value_set=self.furniture))), "odd": add(_np(pc.match_substring_regex(word, _ODD))),
+            "distinct": _distinct(of, code, n),
+        }
+
     def __call__(self, texts: list[str]) -> pd.DataFrame:
-        doc, seg, whole, table, dup = [], [], [], [], []
-        for i, t in enumerate(texts):
-            s, w, r = _pieces(t)
-            seg += s
-            whole += w
-            table += r
-            doc += [i] * len(s)
-            n = len(s)
-            rep = n >= 5 and len({x.strip() for x in s}) <= n * 0.4
-            dup += [rep] * n
-        n_docs, d = len(texts), np.asarray(doc, dtype=np.int64)
-        a, n = pa.array(seg, pa.string()), len(seg)
-        whole, table, dup = (np.asarray(x, dtype=bool) for x in (whole, table, dup))
-        size = pc.utf8_length(pc.utf8_trim_whitespace(a)).to_numpy(zero_copy_only=False).astype(np.int64)
-        letters, digits, blanks = _count(a, r"\p{L}"), _count(a, r"\p{Nd}"), _count(pc.utf8_trim_whitespace(a), r"[\s\p{Z}]")
+        n_docs, whole_texts = len(texts), pa.array(texts, pa.string())
+        lines, of = _lines(whole_texts, _BREAKS)
+        a, d, whole, table, inside = _segments(lines, of, _table_rows(lines, of, n_docs))
+        n = len(a)
+        by = lambda x: np.bincount(d, x, n_docs)
+        bare = pc.utf8_trim_whitespace(a)
+        chars = Chars(bare)
+        size, letters, digits, blanks = chars.size, chars.count(LETTER), chars.count(DIGIT), chars.count(BLANK)
         symbols = np.maximum(size - letters - digits - blanks, 0)
-        tok, at = _by_segment(pc.split_pattern_regex(pc.utf8_lower(a), r"[^\p{L}\p{N}]+"), n)
-        words = np.bincount(at, minlength=n)
-        tlen = pc.utf8_length(tok).to_numpy(zero_copy_only=False).astype(np.int64)
-        is_in = lambda s: pc.is_in(tok, value_set=s).to_numpy(zero_copy_only=False)
-        function = np.bincount(at, is_in(self.function) & (tlen > 1), n)  # the letter of a share class is no word
-        furniture = np.bincount(at, is_in(self.furniture), n)
-        odd = np.bincount(at, pc.match_substring_regex(tok, r"[bcdfghjklmnpqrstvwxz]{5}|[aeiou]{4}|^[bcdfghjklmnpqrstvwxz]{4}|[qjx][bcdfghjklmnpqrstvwxz]|[bcdfghjklmnpqrstvwxz]{4}$").to_numpy(zero_copy_only=False), n)
-        codes = tok.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        distinct = np.bincount(np.unique(at * (codes.max(initial=0) + 1) + codes) // (codes.max(initial=0) + 1), minlength=n) if n else words
-        bullet = pc.match_substring_regex(a, _BULLET).to_numpy(zero_copy_only=False) & whole
-        plain = pc.replace_substring_regex(a, r"\(?https?://[^\s)]*\)?|www\.[^\s)]*", "")
-        plain_words = _count(plain, r"[\p{L}\p{N}][\p{L}\p{N}'.-]*")
-        ends = pc.match_substring_regex(a, r"[.!?…][\"'”’»)\]*_]*\s*$").to_numpy(zero_copy_only=False)
-        ellipsis = pc.match_substring_regex(a, r"(?:\.\.\.|…)\s*$").to_numpy(zero_copy_only=False)
-        code, tags = _count(plain, r"[{}();=<>\[\]]"), _gone(a, pc.utf8_length(a).to_numpy(zero_copy_only=False), r"</?[A-Za-z!][^<>]{0,300}>")
-        encoded = _gone(plain, pc.utf8_length(plain).to_numpy(zero_copy_only=False), r"[A-Za-z0-9+/=]{28,}")
-        broken = _count(a, r"[ÃÂâ€™�ï¿½Ðÿ¤œŠ]")
-        parts = np.maximum.reduce([_count(a, r"[,;|•·]"), _count(a, r"\s[–/]\s")]) + 1
-        share = lambda x: _div(x, size)
-        junk = (
-            (share(encoded) > 0.5)
-            | ((tags > 0.5 * size) & ~bullet)
-            | ((share(code) > 0.12) & ~bullet)
-            | (share(broken) > 0.15)
-            | ((share(letters + digits) < 0.35) & ~bullet)
-            | ((_div(furniture, words) > 0.6) & (words >= 6))
-            | ((words >= 8) & (distinct <= 0.3 * words))
-            | ((words >= 4) & (_div(function, words) < 0.08) & (_div(odd, words) > 0.35) & (parts < 0.5 * words))
-            | (dup & (words < 12))
-        )
-        short_list = bullet & (plain_words <= 9) & ~(ends & (plain_words > 4))
-        brackets = _count(plain, r"[{}()=<>\[\]]")
-        page = (_div(furniture, words) > 0.6) & (words >= 6) & (parts >= 4)
-        parted = (parts >= 5) & (_div(words, parts) <= 4) & (words >= 0.5 * parts) & (_div(function, words) < 0.10) & (share(brackets) < 0.05) & ~page & (distinct > 0.3 * words) & (share(broken) < 0.1)
-        stub = whole & (words <= 3) & (words > 0) & ~ends
-        stubs, lines = np.bincount(d, stub, n_docs), np.bincount(d, minlength=n_docs)
-        stub_list = stub & (stubs >= 4)[d] & (stubs >= 0.7 * lines)[d]
-        form = np.select([table, short_list, parted, junk, stub_list], [2, 1, 1, 3, 1], 0) if n else np.zeros(0, int)
-        held = np.stack([np.bincount(d, size * (form == k), n_docs) for k in range(4)])
+        code, brackets, broken, parts = (chars.count(f) for f in (CODE, BRACKET, BROKEN, PART))
+        parts += _among(bare, chars.count(DASH) > 0, lambda x: _count(x, r"\s[–/]\s")) + 1
+        linked = _has(a, r"https?://|www\.")
+        plain = a
+        if linked.any():
+            less = pc.replace_substring_regex(a.filter(pa.array(linked)), r"\(?https?://[^\s)]*\)?|www\.[^\s)]*", "")
+            plain, c = pc.replace_with_mask(a, pa.array(linked), less), Chars(less)
+            code[linked], brackets[linked] = c.count(CODE), c.count(BRACKET)
+        tok, at = _words(a)
+        w = self._words_of(tok, at, n)
+        words = w["words"]
+        bullet = _has(a, _BULLET) & whole
+        ends, ellipsis = _has(a, _ENDS), _has(a, r"(?:\.\.\.|…)\s*$")
+        plain_words = _among(plain, bullet, lambda x: _count(x, r"[\p{L}\p{N}][\p{L}\p{N}'.-]*"))
+        tags = _among(a, _np(pc.match_substring(a, "<"), bool), _gone(r"</?[A-Za-z!][^<>]{0,300}>"))
+        encoded = _among(plain, _has(plain, r"[A-Za-z0-9+/=]{28}"), _gone(r"[A-Za-z0-9+/=]{28,}"))
+        furniture = _div(w["furniture"], words)
+        same = _distinct(d, _np(bare.dictionary_encode().indices), n_docs)
+        segs = np.bincount(d, minlength=n_docs)
+        link = linked & (_np(pc.utf8_length(pc.utf8_trim_whitespace(plain))) == 0)
+        stub = whole & (((words <= 3) & (words > 0) & ~ends) | link)
+        stubs = by(stub)
+        stat = {
+            "table_row": table, "bullet": bullet, "plain_words": plain_words, "sentence": ends & (plain_words > 4), "parts": parts, "words": words, "words_a_part": words / np.maximum(parts, 1),
+            "function_share": _div(w["function"], words), "distinct_share": np.where(words > 0, _div(w["distinct"], words), 0.0), "odd_share": _div(w["odd"], words), "furniture_share": furniture,
+            "page_furniture": (furniture > 0.6) & (words >= 6) & (parts >= 4), "bracket_share": _div(brackets, size), "code_share": _div(code, size), "broken_share": _div(broken, size), "tag_share": _div(tags, size),
+            "encoded_share": _div(encoded, size), "text_share": _div(letters + digits, size), "dup_line": ((segs >= 5) & (same <= segs * 0.4))[d], "stub_line": stub & (stubs >= 4)[d] & (stubs >= 0.7 * segs)[d],
+        }
+        rule = np.full(n, len(SEGMENT_RULES))
+        for k, (_, _, conditions) in reversed(list(enumerate(SEGMENT_RULES))):
+            ok = np.ones(n, bool)
+            for name, lo, hi in conditions:
+                v = stat[name]
+                ok &= (v >= lo if lo is not None else True) & (v <= hi if hi is not None else True)
+            rule[ok] = k
+        form_of = np.array([FORMS.index(f) for _, f, _ in SEGMENT_RULES] + [0])
+        held = np.stack([by(size * (form_of[rule] == k)) for k in range(4)])
         total = held.sum(axis=0)
         best = np.where(held[0] * 2 >= total, 0, held[1:].argmax(axis=0) + 1)
-        by = lambda x: np.bincount(d, x, n_docs)
-        rows = by(whole)
-        # words of whole texts: a piece may end inside a word
-        full, of = _by_segment(pc.split_pattern_regex(pc.utf8_lower(pa.array(texts, pa.string())), r"[^\p{L}\p{N}]+"), n_docs)
-        w = np.bincount(of, minlength=n_docs)
-        chars = np.bincount(of, pc.utf8_length(full).to_numpy(zero_copy_only=False), n_docs)
-        common = np.bincount(of, pc.is_in(full, value_set=self.common).to_numpy(zero_copy_only=False), n_docs)
-        alpha = np.bincount(of, pc.match_substring_regex(full, r"\p{L}").to_numpy(zero_copy_only=False), n_docs)
+        # words of whole texts: those that were cut inside a run without blanks are counted again
+        of_text = {k: by(w[k]) for k in ("words", "chars", "common", "alpha")}
+        if len(inside):
+            tok, at = _words(whole_texts.take(pa.array(inside)))
+            for k, v in self._words_of(tok, at, len(inside)).items():
+                if k in of_text:
+                    of_text[k][inside] = v
+        lines, of = _lines(whole_texts, r"\n")
+        count = of_text["words"].astype(np.int64)
+        ones = np.bincount(d, minlength=n_docs)
         out = pd.DataFrame(
             {
-                "n_words": w.astype(np.int64),
-                "mean_word_length": _div(chars, w),
+                "n_words": count,
+                "mean_word_length": _div(of_text["chars"], count),
                 "symbol_ratio": _div(by(symbols), by(size - blanks)),
-                "punct_line_share": self._line_share(texts),
-                "common_share": _div(common, w),
-                "bullet_share": _div(by(bullet), np.maximum(rows, by(np.ones(n)))),
-                "ellipsis_share": _div(by(ellipsis), by(np.ones(n))),
-                "alpha_share": _div(alpha, w),
+                "punct_line_share": _div(np.bincount(of, _has(lines, _ENDS), n_docs), np.bincount(of, minlength=n_docs)),
+                "common_share": _div(of_text["common"], count),
+                "bullet_share": _div(by(bullet), np.maximum(by(whole), ones)),
+                "ellipsis_share": _div(by(ellipsis), ones),
+                "alpha_share": _div(of_text["alpha"], count),
                 "form": [FORMS[k] for k in best],
                 "prose_share": np.where(total > 0, held[0] / np.maximum(total, 1), 1.0),
             }
         )
         failed = [[] for _ in range(n_docs)]
-        for name, stat, lo, hi in RULES:
-            v = out[stat].to_numpy()
+        for name, key, lo, hi in RULES:
+            v = out[key].to_numpy()
             for i in np.flatnonzero((v < lo if lo is not None else False) | (v > hi if hi is not None else False)):
                 failed[i].append(name)
+        by_rule = [by(size * (rule == k)) for k in range(len(SEGMENT_RULES))]
+        for k, (name, f, _) in enumerate(SEGMENT_RULES):
+            for i in np.flatnonzero((best == FORMS.index(f)) & (by_rule[k] > 0)):
+                failed[i].append(name)
         for i in np.flatnonzero(best > 0):
             failed[i].append("form_" + FORMS[best[i]])
         out["reasons"] = failed
         return out
 
-    @staticmethod
-    def _line_share(texts: list[str]) -> np.ndarray:
-        got = np.zeros(len(texts))
-        for i, t in enumerate(texts):
-            lines = [x for x in t.split("\n") if x.strip()]
-            got[i] = sum(1 for x in lines if x.rstrip().rstrip(CLOSING).endswith(ENDS)) / max(1, len(lines))
-        return got
-
 
 def quality(df: DataFrame, words: DataFrame, id_col: str = "doc_id", text_col: str = "text", word_col: str = "word", most: int = 5000) -> DataFrame:
     """Statistics, form and failed rules of every row with a text.
