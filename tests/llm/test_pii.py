@@ -82,3 +82,18 @@ def test_tables(spark):
     assert sorted((r.src, r.ingest_no, r.span_start) for r in pii.find_items(df, "body", "ingest_no", "comments").collect()) == [("comments", 3, 0)] * 2
     assert sorted(str(r.body) for r in pii.redacted(df, "body").collect()) == ["", "None", "[EMAIL]", "[EMAIL]"]
     assert pii.find_items(df.limit(0), "body", "ingest_no", "c").count() == 0
+
+
+def test_a_public_name_list(tmp_path):
+    (tmp_path / "yob.txt").write_text("Rohan,M,812\nGwendolyn,F,77\nRohan,F,5\n\n")
+    names = pii.read_names(f"{tmp_path}/yob.txt")
+    assert names == ("rohan", "gwendolyn")
+    t = "It was Rohan Mehta who found it"
+    assert [t[a:z] for _, a, z in pii.Finder(names).find(t)] == ["Rohan Mehta"] and pii.Finder().find(t) == []
+    with pytest.raises(ValueError):
+        pii.read_names(f"{tmp_path}/yob.txt", 1)
+
+
+def test_short_texts_are_read(spark):
+    df = spark.createDataFrame([(1, "a@b"), (2, "x")], "ingest_no long, body string")
+    assert pii.find_items(df, "body", "ingest_no", "c").count() == 0

@@ -10,6 +10,11 @@ transducers that keep, for every character they write, the source character it c
 
 Detectors then run from the most to the least distinctive type, and a later item inside an
 earlier one is dropped: email, identity number, phone, address, name. Places are code points.
+
+A name needs evidence beside its shape: a strong cue (a title, a label, a letter's closing, a
+person spoken to, another item behind it), or a given name of the lexicon, or a surname that ends as surnames
+of some languages do. Weak cues (verbs of what persons do, places of work) count only together with a
+lexicon name, such a surname or initials. Words of companies and of markets beside it refuse.
 """
 
 from __future__ import annotations
@@ -26,12 +31,12 @@ from threshfold.session import spread
 TYPES = ("email", "id_number", "phone", "address", "name")
 FOUND = "src string, ingest_no long, pii_type string, span_start long, span_end long"
 
-# Look-alike letters and signs, one to one.
+# Look-alike letters and signs, one to one.
 _LOOKALIKE_FROM = "АВЕКМНОРСТХаеорсухіјѕԁΑΒΕΖΗΙΚΜΝΟΡΤΥΧνο    ‐‑‒–—−‘’ʼ․。"
 _LOOKALIKE_TO = "ABEKMHOPCTXaeopcyxijsdABEZHIKMNOPTYXvo    ------'''.."
-# Characters of no width.
+# Characters of no width.
 _NO_WIDTH = re.compile("[­​-‏⁠﻿]")
-# Spelled digits.
+# Spelled digits.
 _DIGITS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 
 _TABLE = {ord(a): b for a, b in zip(_LOOKALIKE_FROM, _LOOKALIKE_TO, strict=True)}
@@ -115,7 +120,7 @@ def normalise(text: str) -> Mapped:
 
 _EMAIL = re.compile(r"(?<![\w.+%'-])[\w.+%'-]{1,64}@(?:[^\W_](?:[\w-]*[^\W_])?\.)+[^\W\d_]{2,}")
 
-# Words that announce an identity number.
+# Words that announce an identity number.
 _ID_WORDS = (
     r"social security(?: (?:number|no\.?|#))?|ssn|soc sec|national insurance(?: (?:number|no\.?))?|ni (?:number|no\.?)|nino|insurance (?:number|no\.?)|"
     r"passport(?: (?:number|no\.?|#))?|passeport|pasaporte|reisepass(?:nummer)?|tax(?:payer)? (?:id|number|no\.?|ref(?:erence)?|identification number)|tin|itin|"
@@ -134,7 +139,7 @@ _PHONE = re.compile(
     r"|0\d{1,4}(?:[\s/-]{1,3}\d{2,6}){1,4}|0\d{9,10}"  # trunk zero
     r")(?![\w%]|[.,]\d|-\d)"
 )
-# Words before numbers that are no phone numbers.
+# Words before numbers that are no phone numbers.
 _NO_PHONE = re.compile(r"(?:\b(?:lot|lots|order|cusip|isin|accession|series|item|page|bond|form|file|filing|case|ref|reference|invoice|account|acct|id|serial|no|number|cik|range|was|volume|shares|of)\b[.:#\s]*|[$€£])$", re.I)
 _NO_PHONE_AFTER = re.compile(r"\s*(?:shares|units|lots|percent|million|billion|dollars|euros|of \d)", re.I)
 
@@ -149,11 +154,11 @@ _ADDRESS = [
 ]
 #: At least seven digits with little between them: without it no phone pattern matches.
 _DIGIT_RUN = re.compile(r"\d(?:[\s().\-/]{0,3}\d){6}")
-# Streets that stand for markets.
+# Words of sentences, and streets that stand for markets.
 _NO_NAME = frozenset("a about after all an and any are around as at be before big but by each every first for free from good had has in is it last long market more most my new next no not of old on one or other our over own per percent same second shares so that the their then this to under was we were what will with year years your".split())
 _NO_STREET = re.compile(r"\b(?:wall|main|high|fleet|lombard) (?:street|st)\b", re.I)
 
-# Common given names (a sample of public name statistics; a parameter of the operator).
+# Common given names (a sample of public name statistics; a parameter of the operator).
 GIVEN_NAMES = """
 aaron adam ahmed aisha alan albert alejandro alexander alice amara amina amy ana andrea andrew angela anita anna anselm antonio arthur astrid
 barbara beatrix benjamin bernard bram brian callum camille carlos carmen caroline catherine charles charlotte chloe christopher claire clara claudia colin
@@ -165,18 +170,30 @@ nancy natalie nicholas nicole nikolai nina noor odette olga oliver olivia omar o
 rafael rebecca richard robert rosa rosalind ruth samuel saoirse sara sarah simon sofia soren stefan stephen susan sven thomas tomas ursula victoria
 wendell william yasmin yusuf zoe zoë
 """.split()
-# Words of company names.
+
+
+def read_names(path: str, most: int = 200_000) -> tuple[str, ...]:
+    """Given names of a public list: the first field of each line (``Mary,F,7065``), for ``given_names``. Read by
+    the driver and sent to the tasks, so a list of more than ``most`` names is refused."""
+    with open(path, encoding="utf-8") as f:
+        names = dict.fromkeys(w for line in f if (w := re.split(r"[,;\t]", line.strip())[0].strip().lower()))
+    if len(names) > most:
+        raise ValueError(f"more than {most} names")
+    return tuple(names)
+
+
+# Words of company names.
 _COMPANY = frozenset(
     """bancorp bank banks brands bros brothers capital co company corp corporation daughters energy equity estates family farms financial foods fund funds group holdings
     hotels inc industries insurance international investments lines llc llp logistics ltd management materials media mills mines motors outdoor partners pharma plc
     properties quarries railway resources retail semiconductor services software sons springs steel stores systems technologies textiles therapeutics trading trust ventures
     water works ag gmbh sa se nv spa mine merger street road university""".split()
 )
-# Capitalised words that follow a person and are no part of the name, or look like surnames and are none.
+# Capitalised words that follow a person and are no part of the name, or look like surnames and are none.
 _NO_SURNAME = frozenset(
     """a about again also am an and any anyway are as ask at be bear been bought bull but by can could did do does edit evidently for from fwiw granted had has have he her his
     honestly how i if in inc is it its looking market may meanwhile my no not of oddly on or others our owes past personally please put read regards said says see send she
-    so sold source sum thanks that the their then they this to told uncle was we were what when which who why will with would yes you your and sam copper""".split()
+    so sold source sum thanks that the their then they this to told uncle was we were what when which who why will with would yes you your and""".split()
 )
 
 
@@ -185,27 +202,46 @@ _INITIAL = r"(?:[^\W\d_]\.(?:[ -]?[^\W\d_]\.)?)"
 _GIVEN_ANY = r"[^\W\d_]{2,}(?:-[^\W\d_]+)?"
 _FORMS = rf"(?:(?P<g>{_GIVEN_ANY})(?: {_INITIAL})? (?P<s>{_SUR})|(?P<i>{_INITIAL}) (?P<s2>{_SUR})|(?P<s3>{_SUR}), (?:(?P<g3>{_GIVEN_ANY})(?: {_INITIAL})?|(?P<i3>{_INITIAL})(?!\w)))"
 _AT_NAME = re.compile(_FORMS)
-# Words that announce a person.
+# Strong cues: words that announce a person.
 _NAME_CUE = re.compile(
-    r"(?:\b(?:mr|mrs|ms|miss|mx|dr|prof|herr|frau|monsieur|madame|señor|señora)\b\.?|\bmy name is|\bname:|\bregards,|\bsincerely,|\bcheers,|\bthanks,\n|\bsigned,?|\bcontact:|\bcc:?|\battn:?|\bc/o"
-    r"|\b(?:spoke|spoken|talked|speak|talk|wrote|write) (?:to|with)|\bmy (?:advisor|adviser|broker|lawyer|accountant|doctor|boss|landlord|neighbour|neighbor)|\bask for|\bread out|\blost letter:|\bdear)\s+",
+    r"(?:\b(?:mr|mrs|ms|miss|mx|dr|prof|herr|frau|monsieur|madame|señor|señora)\b\.?|\bmy name is|\b(?:name|contact|attn|attention|signature|letter|tenant|client|customer|patient|beneficiary|recipient|sender|witness):"
+    r"|\b(?:best|warm|kind)? ?regards,|\bsincerely,|\bcheers,|\bthanks,\n|\bsigned,?|\bcc:?|\battn:?|\bc/o"
+    r"|\b(?:spoke|spoken|talked|speak|talk|wrote|write) (?:to|with)|\bmy (?:advisor|adviser|broker|lawyer|accountant|doctor|boss|landlord|neighbour|neighbor|colleague|dentist|solicitor|attorney|agent)|\bask for|\bread out|\bdear)\s+",
     re.I,
 )
-_NAME_AFTER = re.compile(r"\s+(?:from accounts|in the back office|at the branch|owes me|told me to|signed it|and i own)|\s*(?:\(|/|,|\n|-|:)\s*$", re.I)
-
-
-_NAME_POST = re.compile(r" (?:from (?:accounts|accounting|sales|legal|compliance|hr|support|billing)|in the back office|at the branch|owes me|told me to|signed it)\b", re.I)
+# Weak cues before and behind a name: what persons do, and where they work.
+_WEAK_BEFORE = re.compile(r"\b(?:phoned|rang|emailed|texted|messaged|met|meet|visited|thanked|hired|interviewed|introduced|my (?:friend|cousin|uncle|aunt|brother|sister|wife|husband|son|daughter|mate|buddy|roommate|coworker|teacher|tutor|manager))\s+", re.I)
+_WORKPLACE = r"(?:from|in|at) (?:the )?(?:accounts|accounting|sales|legal|compliance|hr|support|billing|payroll|back office|front desk|branch|office|bank|shop|clinic|school|firm|agency|warehouse)"
+_WEAK_VERB = r"(?:rang|phoned|called|emailed|texted|wrote|told|said|says|asked|replied|answered|signed|owes|owed|lent|promised|mentioned|explained|insisted|warned|lives|lived|works|worked|retired|died|moved|lost (?:his|her))"
+_NAME_AFTER = re.compile(rf"\s+(?:{_WORKPLACE}|owes|told me|signed|and i own)\b|\s*(?:\(|/|,|\n|-|:)\s*$", re.I)
+_NAME_POST = re.compile(rf" (?:{_WORKPLACE}|owes me|told me|signed it)\b", re.I)
+_WEAK_POST = re.compile(rf" {_WEAK_VERB}\b")
+# Words of markets behind a name: it is a company's.
+_MARKET_AFTER = re.compile(
+    r"(?:'s)? (?:rose|fell|gained|dropped|slid|rallied|beat|missed|trades|traded|trading|guided|yields?|shares?|stock|earnings|dividends?|bonds?|common|preferred|guidance"
+    r"|is (?:up|down|trading|cheap|expensive|undervalued|overvalued)|closed (?:up|down|at)|(?:reported|posted) (?:earnings|results|revenue|a (?:loss|profit)))\b"
+)
+# Endings of surnames in some languages, each behind at least two letters.
+_SURNAME_ENDS = "sson qvist quist stedt gaard dakis akis opoulos idis nathan swamy murthy ović ovic ovich evich wicz owski ewski inski enko chuk escu eanu shvili adze oğlu oglu nen hashi naka moto".split()
+_SURNAME_SHAPE = re.compile(rf"[^\W\d_]{{2,}}(?:{'|'.join(_SURNAME_ENDS)})$", re.I)
+# Sayings that look like persons.
+_SAYING = re.compile(r"\b(?:uncle sam|(?:mr|dr)\.? (?:market|copper)|(?:john|jane|joe) (?:doe|public|sixpack|bloggs)|average joe)\b", re.I)
 _NAME_END = re.compile(rf"(?:^|(?<=[\s(]))(?P<i>{_INITIAL}) (?P<s2>{_SUR})$")
 
 
-def _name_ok(m: re.Match, given: frozenset[str], cued: bool, text: str) -> tuple[int, int] | None:
+def _name_ok(m: re.Match, given: frozenset[str], cued: bool, text: str, weak: bool = False) -> tuple[int, int] | None:
+    """The span of a name, where its words and what follows allow one. ``cued``: a strong cue; ``weak``: a weak one."""
     sur = m["s"] or m["s2"] or m["s3"]
     first = m["g"] or m["g3"]
     last = sur.split(" ")[-1].lower()
     if last in _NO_SURNAME or last in _COMPANY or (first and first.lower() in _NO_SURNAME) or (first or "x").lower() in _COMPANY:
         return None
-    known = first is not None and first.lower() in given
-    if not cued and not known:
+    known = first is not None and (first.lower() in given or (_SURNAME_SHAPE.match(last) is not None and first[0].isupper()))
+    if not cued and not known and not (weak and first is None):
+        return None
+    if _SAYING.search(text, max(0, m.start() - 6), m.end()):
+        return None
+    if not cued and _MARKET_AFTER.match(text, m.end()):
         return None
     # letters of one manner: Title Case, CAPITALS or, beside a cue, lower case
     letters = [w for w in (first, sur) if w]
@@ -223,15 +259,18 @@ def _name_ok(m: re.Match, given: frozenset[str], cued: bool, text: str) -> tuple
     return m.start(), m.end()
 
 
-# Words without which the address, identity and cue patterns cannot match.
+# Words without which the address, identity and cue patterns cannot match.
 _KEYS = {
     "s": "street st avenue ave road rd boulevard blvd lane ln drive dr court ct place pl terrace way close mews crescent gardens grove square sq parkway pkwy highway hwy circle cir row walk hill quay".split(),
     "b": "box,postfach,apartado,postale".split(","),
     "e": "straße strasse str. gasse weg platz allee ring ufer damm".split(),
     "r": "rue avenue boulevard place chemin allée allee quai impasse calle avenida avda plaza paseo camino carrera via viale piazza".split(),
     "i": "social ssn soc national ni nino insurance passport passeport pasaporte reisepass reisepassnummer tax taxpayer tin itin steuer-id steuerid steuer-identifikationsnummer steueridentifikationsnummer steuernummer dni nie nif identity id personalausweis personalausweisnummer".split(),
-    "c": "mr,mrs,ms,miss,mx,dr,prof,herr,frau,monsieur,madame,señor,señora,my name is,name:,regards,sincerely,cheers,thanks,signed,contact:,cc,attn,c/o,spoke to,spoke with,spoken to,spoken with,talked to,talked with,speak to,speak with,talk to,talk with,wrote to,write to,my advisor,my adviser,my broker,my lawyer,my accountant,my doctor,my boss,my landlord,my neighbour,my neighbor,ask for,read out,lost letter,dear".split(","),
-    "p": "accounts,accounting,sales,legal,compliance,hr,support,billing,back office,branch,owes me,told me,signed it".split(","),
+    "f": _SURNAME_ENDS,
+    "w": "phoned,rang,emailed,texted,messaged,met,meet,visited,thanked,hired,interviewed,introduced,my friend,my cousin,my uncle,my aunt,my brother,my sister,my wife,my husband,my son,my daughter,my mate,my buddy,my roommate,my coworker,my teacher,my tutor,my manager".split(","),
+    "v": "rang,phoned,called,emailed,texted,wrote,told,said,says,asked,replied,answered,signed,owes,owed,lent,promised,mentioned,explained,insisted,warned,lives,lived,works,worked,retired,died,moved,lost his,lost her".split(","),
+    "c": "name:,attention:,signature:,letter:,tenant:,client:,customer:,patient:,beneficiary:,recipient:,sender:,witness:,my colleague,my dentist,my solicitor,my attorney,my agent,mr,mrs,ms,miss,mx,dr,prof,herr,frau,monsieur,madame,señor,señora,my name is,regards,sincerely,cheers,thanks,signed,contact:,cc,attn,c/o,spoke to,spoke with,spoken to,spoken with,talked to,talked with,speak to,speak with,talk to,talk with,wrote to,write to,my advisor,my adviser,my broker,my lawyer,my accountant,my doctor,my boss,my landlord,my neighbour,my neighbor,ask for,read out,lost letter,dear".split(","),
+    "p": "accounts,accounting,sales,legal,compliance,hr,support,billing,payroll,back office,front desk,branch,office,bank,shop,clinic,school,firm,agency,warehouse,owes me,told me,signed it".split(","),
 }
 
 
@@ -266,7 +305,7 @@ class Finder:
             self.words.add_word(w, (k, len(w)))
         self.words.make_automaton()
 
-    def _hits(self, t: str) -> tuple[set[str], list[tuple[int, int]]]:
+    def _hits(self, t: str) -> tuple[set[str], list[tuple[int, int, bool]]]:
         low = t.lower()
         if len(low) != len(t):
             low = "".join(c if len(c.lower()) != 1 else c.lower() for c in t)
@@ -275,16 +314,18 @@ class Finder:
             a, z = end - size + 1, end + 1
             if z < n and low[z].isalnum():
                 continue
-            if "e" in k:  # the end of a street's name and its number
-                if low[z : z + 1] == " " and low[z + 1 : z + 2].isdigit():
-                    kinds.add("e")
-                if len(k) == 1:
-                    continue
+            if "f" in k:  # the end of a surname
+                given.append((a, z, True))
+            if "e" in k and low[z : z + 1] == " " and low[z + 1 : z + 2].isdigit():  # the end of a street's name and its number
+                kinds.add("e")
+            k = k.replace("e", "").replace("f", "")
+            if not k:
+                continue
             if a and low[a - 1].isalnum():
                 continue
             kinds.update(k)
             if "g" in k:
-                given.append((a, z))
+                given.append((a, z, False))
         return kinds, given
 
     def find(self, text: str) -> list[tuple[str, int, int]]:
@@ -322,13 +363,13 @@ class Finder:
                 for x in p.finditer(t):
                     if not (_NO_STREET.search(x[0]) and not re.match(r"\s*,", t[x.end() : x.end() + 2])) and not (p is _ADDRESS[0] and _no_street_name(x[0])):
                         take("address", x.start(), x.end())
-        if out or given or "c" in kinds or "p" in kinds:
+        if out or given or not kinds.isdisjoint("cpwv"):
             self._names(t, list(taken), kinds, given, take)
         if m.pos is not None:
             out = [(k, *m.source(a, z)) for k, a, z in out]
         return sorted(out, key=lambda r: r[1])
 
-    def _names(self, t: str, items: list[tuple[int, int]], kinds: set[str], given: list[tuple[int, int]], take) -> None:
+    def _names(self, t: str, items: list[tuple[int, int]], kinds: set[str], given: list[tuple[int, int, bool]], take) -> None:
         if "c" in kinds:
             for x in _NAME_CUE.finditer(t):
                 at = x.end()
@@ -349,22 +390,39 @@ class Finder:
                 base = max(0, x.start() - 50)
                 if (m := _NAME_END.search(t[base : x.start()])) and (r := _name_ok(_AT_NAME.match(t, m.start() + base), self.given, True, t)):
                     take("name", *r)
-        for a, z in given:
+        if "w" in kinds:
+            for x in _WEAK_BEFORE.finditer(t):
+                if (m := _AT_NAME.match(t, x.end())) and (r := _name_ok(m, self.given, False, t, True)):
+                    take("name", *r)
+        if "v" in kinds:
+            for x in _WEAK_POST.finditer(t):  # "Q. Ostervane phoned"
+                base = max(0, x.start() - 50)
+                if (m := _NAME_END.search(t[base : x.start()])) and (r := _name_ok(_AT_NAME.match(t, m.start() + base), self.given, False, t, True)):
+                    take("name", *r)
+        for a, z, ending in given:
             if a and t[a - 1] in "@./+-" or t[z : z + 1] in ("@", "'", "_"):
                 continue
+            if ending:  # the given name is the word before
+                base = max(0, a - 60)
+                if x := _BEFORE_ENDING.search(t[base:z]):
+                    a = base + x.start()
+                    z = base + x.end(1)
+                else:
+                    continue
             base = max(0, a - 40)
-            if (rev := _BEFORE_COMMA.search(t[base:a])) and (r := _reverse_ok(rev[1], base + rev.start(1), a, z, t)):
+            if (rev := _BEFORE_COMMA.search(t[base:a])) and (r := _reverse_ok(rev[1], base + rev.start(1), a, z, t)) and not ending:
                 take("name", *r)
             m = _AT_NAME.match(t, a)
             if m and m["g"] and m.end("g") == z:
                 cued = bool(_NAME_AFTER.match(t[m.end() : m.end() + 24]))
-                if r := _name_ok(m, self.given, cued, t):
+                if r := _name_ok(m, self.given, cued and not ending, t):
                     take("name", *r)
 
 
 _ANY_DIGIT, _SIX = re.compile(r"\d"), re.compile(r"\d\d ?\d\d ?\d\d")
 _BEFORE_ITEM = re.compile(r"(?P<all>(?:[^\W\d_][\w'.-]*,? ){1,3}[^\W\d_][\w'.-]*)(?: [(/]|,|\n| \() ?$")
 _BEFORE_COMMA = re.compile(rf"(?<![\w@./+'-])({_SUR}), $")
+_BEFORE_ENDING = re.compile(rf"(?<![\w@./+'-])({_GIVEN_ANY})(?: {_INITIAL})? [^\W\d_]+$")
 _INITIAL_NEXT = re.compile(rf" {_INITIAL}(?!\w)")
 
 
@@ -408,16 +466,16 @@ def find_items(df: DataFrame, text_col: str, row_col: str, src: str, given_names
             rows = [(src, n, k, a, z) for n, t in zip(b["row_no"], b["text"], strict=True) for k, a, z in finder.find(t)]
             yield pd.DataFrame(rows, columns=["src", "ingest_no", "pii_type", "span_start", "span_end"])
 
-    some = F.col(text_col).isNotNull() & (F.length(text_col) > 3)
-    return spread(df.where(some).select(F.col(row_col).cast("long").alias("row_no"), F.col(text_col).alias("text"))).mapInPandas(run, FOUND)
+    return spread(df.where(F.col(text_col).isNotNull()).select(F.col(row_col).cast("long").alias("row_no"), F.col(text_col).alias("text"))).mapInPandas(run, FOUND)
 
 
 def redacted(df: DataFrame, text_col: str, given_names: tuple[str, ...] = tuple(GIVEN_NAMES)) -> DataFrame:
     """``df`` with ``text_col`` redacted; null stays null, all other columns stay."""
 
     @F.pandas_udf("string")
-    def clean(texts: pd.Series) -> pd.Series:
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         finder = Finder(given_names)
-        return pd.Series([None if t is None else redact(t, finder.find(t)) for t in texts], dtype=object)
+        for texts in batches:
+            yield pd.Series([None if t is None else redact(t, finder.find(t)) for t in texts], dtype=object)
 
     return df.withColumn(text_col, clean(F.col(text_col)))
