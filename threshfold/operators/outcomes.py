@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from threshfold.functions.stats import add_years
-from threshfold.operators.timejoin import asof_backward, asof_forward
-from threshfold.session import written
 
 TOLERANCE = 15
 SIZE_DAYS = 60
@@ -26,18 +24,40 @@ def clean_prices(prices: DataFrame, key: str = "symbol") -> DataFrame:
     return ok.groupBy(symbol_key(key).alias("ticker"), "date").agg(F.max("adj_close").alias("price"), F.max(dv).alias("dollar_volume"))
 
 
-def size_proxy(cohort: DataFrame, prices: DataFrame, observations: int = SIZE_DAYS, first_rows: int | None = None) -> DataFrame:
-    """``ticker, entry_date, size``: the median dollar volume of the first observations at or after entry.
+def price_series(prices: DataFrame) -> DataFrame:
+    """``ticker, obs``: the observations of a ticker (``date, price, dollar_volume``) in order of day. A
+    series has one observation a day, which bounds the array by the calendar."""
+    return prices.groupBy("ticker").agg(_in_order().alias("obs"))
 
-    ``first_rows`` looks only among the first that many observations of a series (0 where none of
-    them is left: then the entry day's own volume counts)."""
-    want = cohort.select("ticker", "entry_date").where("entry_date is not null").distinct()
-    s = prices
-    if first_rows is not None:
-        s = s.withColumn("__n", F.row_number().over(W.partitionBy("ticker").orderBy("date"))).where(F.col("__n") <= first_rows)
-    near = want.join(s, "ticker").where(F.col("date") >= F.col("entry_date"))
-    near = near.withColumn("__r", F.row_number().over(W.partitionBy("ticker", "entry_date").orderBy("date"))).where(F.col("__r") <= observations)
-    return near.groupBy("ticker", "entry_date").agg(F.median("dollar_volume").alias("size"))
+
+def _in_order() -> Column:
+    return F.array_sort(F.collect_list(F.struct("date", "price", "dollar_volume")))
+
+
+def first_within(obs: Column, day: Column, days: int) -> Column:
+    """The first observation from a day to ``days`` later, or null."""
+    return F.get(F.filter(obs, lambda x: (x["date"] >= day) & (x["date"] <= F.date_add(day, days))), F.lit(0))
+
+
+def last_until(obs: Column, day: Column) -> Column:
+    """The last observation at or before a day, or null."""
+    return F.try_element_at(F.filter(obs, lambda x: x["date"] <= day), F.lit(-1))
+
+
+def size_proxy(obs: Column, entry: Column, observations: int = SIZE_DAYS, first_rows: int | None = None) -> Column:
+    """The median dollar volume of the first observations at or after entry; ``first_rows`` looks only
+    among the first that many observations of a series (null where none of them is left)."""
+    near = F.filter(obs if first_rows is None else F.slice(obs, 1, first_rows), lambda x: x["date"] >= entry)
+    v = F.array_sort(F.transform(F.slice(near, 1, observations), lambda x: x["dollar_volume"]))
+    half = F.size(v) / 2
+    return F.when(F.size(v) > 0, (F.get(v, F.floor(half - 0.5).cast("int")) + F.get(v, F.floor(half).cast("int"))) / 2)
+
+
+def _settled(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns that are computed once a row: a generator keeps the optimizer from writing them
+    into the conditions of later searches, where they would be computed for every observation."""
+    one = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
+    return df.withColumn("__one", one).select("*", "__one.*").drop("__one")
 
 
 def outcomes(cohort: DataFrame, prices: DataFrame, horizons: tuple[int, ...], benchmark: DataFrame | None = None, winner: float = 2.0, wipeout: float = -0.7, legacy_size_proxy: bool = False) -> DataFrame:
@@ -50,33 +70,34 @@ def outcomes(cohort: DataFrame, prices: DataFrame, horizons: tuple[int, ...], be
     (the target lies behind the last day of all prices). ``benchmark`` (``date, price``) gives
     return, excess and whether the name did better; null where it has no price.
 
-    Every match reads its points twice (as questions and as rows), so the rows, names times
-    horizons, are written to the shared folder between matches instead of computed again.
+    ``prices`` has one row per ticker and day (:func:`clean_prices`). Prices are shuffled once, into one
+    series per ticker; a name meets its series in one join, and entry, target, exit, size and
+    benchmark are then read off the arrays in the same row.
     """
-    c = asof_forward(written(cohort, "cohort"), prices, "ticker", "formation_date", TOLERANCE, ["price", "dollar_volume"]).where("entry_price > 0")
-    c = written(c, "entries").withColumn("horizon_years", F.explode(F.array(*[F.lit(h) for h in horizons]))).withColumn("target", add_years(F.col("entry_date"), F.col("horizon_years")))
-    c = asof_forward(c, prices, "ticker", "target", TOLERANCE, ["price"], prefix="at_")
-    c = asof_backward(written(c, "targets"), prices, "ticker", "target", ["price"], prefix="last_")
-    c = c.withColumn("survived_full_horizon", F.col("at_date").isNotNull())
-    c = c.withColumn("exit_date", F.coalesce("at_date", "last_date")).withColumn("exit_price", F.coalesce("at_price", "last_price"))
-    c = c.where(F.col("survived_full_horizon") | (F.col("exit_date") > F.col("entry_date")))
-    c = written(c, "exits")
-    ends = prices.groupBy("ticker").agg(F.max("date").alias("__end"))
-    last = prices.agg(F.max("date")).scalar()
-    c = c.join(ends, "ticker", "left").withColumn("__all_end", last)
-    reason = F.when(F.col("survived_full_horizon"), "horizon").when(F.col("__end") > F.col("target"), "hole").when(F.col("target") > F.col("__all_end"), "censored").otherwise("series_ended")
-    ret = F.col("exit_price") / F.col("entry_price") - 1
-    c = c.withColumn("exit_reason", reason).withColumn("winner_3x", ret >= winner).withColumn("wipeout", ret <= wipeout).withColumn("forward_return", F.round(ret, 6))
-    size = size_proxy(c, prices, first_rows=200 if legacy_size_proxy else None).select(F.col("ticker").alias("__t"), F.col("entry_date").alias("__d"), "size")
-    c = c.join(size, (c["ticker"] == size["__t"]) & (c["entry_date"] == size["__d"]), "left")
-    c = c.withColumn("dollar_volume", F.round(F.coalesce("size", "entry_dollar_volume", F.lit(0.0)), 2))
-    c = c.withColumns({"entry_price": F.round("entry_price", 6), "exit_price": F.round("exit_price", 6)})
-    c = c.drop("target", "at_date", "at_price", "last_date", "last_price", "__end", "__all_end", "__t", "__d", "size", "entry_dollar_volume")
+    series = price_series(prices)
+    last = series.agg(F.max(F.element_at("obs", -1)["date"])).scalar()
+
+    def entered(c: DataFrame, obs: Column) -> DataFrame:
+        c = _settled(c, __e=first_within(obs, F.col("formation_date"), TOLERANCE)).where(F.col("__e.price") > 0)
+        each = [F.struct(F.lit(h).alias("horizon_years"), add_years(F.col("__e.date"), h).alias("__target")) for h in horizons]
+        c = c.withColumn("__h", F.explode(F.array(*each))).select("*", "__h.*").drop("__h")
+        c = _settled(c, __at=first_within(obs, F.col("__target"), TOLERANCE), __last=last_until(obs, F.col("__target"))).withColumn("__x", F.coalesce("__at", "__last"))
+        c = c.where(F.col("__at").isNotNull() | (F.col("__x.date") > F.col("__e.date")))
+        return c.withColumn("__ret", F.col("__x.price") / F.col("__e.price") - 1)
+
+    c = entered(cohort.join(series.select(F.col("ticker").alias("__t"), F.col("obs").alias("__obs")), F.col("ticker") == F.col("__t")), F.col("__obs"))
+    kept, target = F.col("__at").isNotNull(), F.col("__target")
+    reason = F.when(kept, "horizon").when(F.element_at("__obs", -1)["date"] > target, "hole").when(target > last, "censored").otherwise("series_ended")
+    size = size_proxy(F.col("__obs"), F.col("__e.date"), first_rows=200 if legacy_size_proxy else None)
+    c = c.select(
+        *cohort.columns, "horizon_years", F.col("__e.date").alias("entry_date"), F.round("__e.price", 6).alias("entry_price"), kept.alias("survived_full_horizon"),
+        F.col("__x.date").alias("exit_date"), F.round("__x.price", 6).alias("exit_price"), reason.alias("exit_reason"), (F.col("__ret") >= winner).alias("winner_3x"), (F.col("__ret") <= wipeout).alias("wipeout"),
+        F.round("__ret", 6).alias("forward_return"), F.round(F.coalesce(size, F.col("__e.dollar_volume"), F.lit(0.0)), 2).alias("dollar_volume"),
+    )
     if benchmark is None:
         return c
-    b = benchmark.select(F.lit("benchmark").alias("ticker"), "date", "price", F.lit(0.0).alias("dollar_volume"))
-    days = c.select("formation_date").distinct().withColumn("ticker", F.lit("benchmark"))
-    r = outcomes(days, b, horizons).select("formation_date", "horizon_years", F.col("forward_return").alias("benchmark_return"))
+    days = cohort.select("formation_date").distinct().withColumn("__b", benchmark.withColumn("dollar_volume", F.lit(0.0)).agg(_in_order()).scalar())
+    r = entered(days, F.col("__b")).select("formation_date", "horizon_years", F.round("__ret", 6).alias("benchmark_return"))
     c = c.join(r, ["formation_date", "horizon_years"], "left")
     return c.withColumns({"outperformer": F.col("forward_return") > F.col("benchmark_return"), "excess_return": F.round(F.col("forward_return") - F.col("benchmark_return"), 6)})
 

@@ -28,62 +28,78 @@ def mention_panel(mentions: DataFrame, docs: DataFrame, floor: float = 0.75, sta
     ``docs``: one row per (``doc_type, doc_id``) with ``doc_score, num_comments, lag_days,
     removed``. Mentions of a null entity are left out. Removed and top-level counts count
     mentions; thread comments count each document of a cell once. Without ``stance``
-    (``doc_id, entity_id, stance``) its columns are null. The ticker is the cell's most frequent,
-    the alphabetically first on a tie. A cell is aggregated in two steps, first per document, so a
-    hot entity combines before it is shuffled.
+    (``doc_id, entity_id, stance``, and ``doc_type`` where it is known) its columns are null; of several stances
+    of a document towards an entity the alphabetically first counts. The ticker is the
+    cell's most frequent, the alphabetically first on a tie.
+
+    Mentions are shuffled by document, where they meet it and become one row per entity and
+    document; a hot entity is spread over its documents. A row then adds to its cell, and to one
+    counter each for its tickers, authors and lag; counters combine on the map side, so a cell is
+    made from its distinct tickers, authors and lags (whole seconds), whatever its mentions.
     """
-    m = confident(mentions, floor).where(F.col("entity_id").isNotNull()).select("doc_type", "doc_id", "created_utc", "author", "entity_id", "ticker", "channel", "in_title", "is_primary")
-    docs = docs.select("doc_type", "doc_id", "doc_score", "num_comments", "lag_days", "removed")
+    m = confident(mentions, floor).where(F.col("entity_id").isNotNull()).select("doc_type", "doc_id", "created_utc", known_author().alias("author"), "entity_id", "ticker", "channel", "in_title", "is_primary")
     m = m.withColumn("day", utc_date(F.col("created_utc"))).withColumn("year_month", month_of(F.col("day")))
-    m = m.join(docs, ["doc_type", "doc_id"], "left")
-    if stance is not None:
-        m = m.join(stance.select("doc_id", "entity_id", "stance"), ["doc_id", "entity_id"], "left")
+    docs = docs.select(F.col("doc_type").alias("__type"), F.col("doc_id").alias("__id"), "doc_score", "num_comments", "lag_days", "removed")
+    yes = lambda c: F.coalesce(c, F.lit(False))
     count_if = lambda c: F.count_if(c).cast("long")
-    said = lambda s: (count_if(F.col("stance") == s) if stance is not None else F.lit(None).cast("long")).alias(f"n_{s}")
-    post = F.col("doc_type") == "post"
-    cells = m.groupBy("entity_id", "year_month").agg(
-        F.count(F.lit(1)).alias("n_mentions"),
-        F.count_distinct(known_author()).alias("n_distinct_authors"),
-        count_if(post).alias("n_toplevel_posts"),
-        *[said(s) for s in ("bullish", "bearish", "neutral", "question")],
-        F.sum("doc_score").alias("total_score"),
-        F.max("doc_score").cast("long").alias("max_score"),
-        F.round(F.median("lag_days"), 1).alias("score_lag_days_median"),
-        count_if(F.coalesce(F.col("removed"), F.lit(False))).alias("n_removed"),
-        *[count_if(F.col("channel") == c).alias(f"n_{c}") for c in ("cashtag", "bare", "name")],
-        count_if(F.coalesce(F.col("in_title"), F.lit(False))).alias("n_in_title"),
-        count_if(F.coalesce(F.col("is_primary"), F.lit(False))).alias("n_primary"),
-        F.min("day").alias("first_day"),
+    channels = ("cashtag", "bare", "name")
+    per = m.repartition("doc_type", "doc_id").groupBy("doc_type", "doc_id", "entity_id", "year_month").agg(
+        F.count(F.lit(1)).alias("n"), *[count_if(F.col("channel") == c).alias(f"n_{c}") for c in channels], count_if(yes(F.col("in_title"))).alias("n_in_title"), count_if(yes(F.col("is_primary"))).alias("n_primary"),
+        F.min("day").alias("first_day"), F.collect_list("ticker").alias("tickers"), F.collect_set("author").alias("authors"),
+    )
+    per = per.join(docs, (per["doc_type"] == docs["__type"]) & (per["doc_id"] == docs["__id"]), "left").drop("__type", "__id")
+    if stance is not None:
+        keys = [k for k in ("doc_type", "doc_id", "entity_id") if k in stance.columns]
+        per = per.join(stance.groupBy(*keys).agg(F.min("stance").alias("stance")), keys, "left")
+    post, n = F.col("doc_type") == "post", F.col("n")
+    nothing = F.lit(None).cast("long")
+    stances = ("bullish", "bearish", "neutral", "question")
+    sums = {
+        "n_mentions": n, "n_toplevel_posts": F.when(post, n).otherwise(0), "total_score": F.col("doc_score").cast("long") * n, "n_removed": F.when(yes(F.col("removed")), n).otherwise(0),
+        "threads": F.when(post, F.col("num_comments").cast("long")), **{f"n_{c}": F.col(f"n_{c}") for c in (*channels, "in_title", "primary")},
+        **({f"n_{x}": F.when(F.col("stance") == x, n).otherwise(0) for x in stances} if stance is not None else {}),
+    }
+    cell = F.struct(F.lit("cell").alias("kind"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("double").alias("lag"))
+    of = lambda kind: lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("text"), F.lit(None).cast("double").alias("lag"))
+    lag = F.when(F.col("lag_days").isNotNull(), F.array(F.struct(F.lit("lag").alias("kind"), F.lit(None).cast("string").alias("text"), F.col("lag_days").alias("lag")))).otherwise(F.array())
+    parts = F.concat(F.array(cell), F.transform("tickers", of("ticker")), F.transform("authors", of("author")), lag)
+    long = per.select("entity_id", "year_month", F.explode(parts).alias("part"), "first_day", F.col("doc_score").cast("long").alias("doc_score"), *[v.cast("long").alias(k) for k, v in sums.items()]).select("*", "part.*")
+    is_cell = F.col("kind") == "cell"
+    some = long.groupBy("entity_id", "year_month", "kind", "text", "lag").agg(
+        F.count(F.lit(1)).alias("c"), F.sum("n_mentions").alias("w"), F.min("first_day").alias("first_day"), F.max(F.when(is_cell, F.col("doc_score"))).alias("max_score"), *[F.sum(F.when(is_cell, F.col(k))).alias(f"s_{k}") for k in sums]
     )
-    threads = (
-        m.where(post & F.col("num_comments").isNotNull())
-        .groupBy("entity_id", "year_month", "doc_id").agg(F.max("num_comments").alias("c"))
-        .groupBy("entity_id", "year_month").agg(F.sum("c").alias("threads"))
+    kind = lambda k, c: F.when(F.col("kind") == k, c)
+    cells = some.groupBy("entity_id", "year_month").agg(
+        *[F.sum(f"s_{k}").alias(k) for k in sums], F.max("max_score").alias("max_score"), F.count(kind("author", F.lit(1))).alias("n_distinct_authors"), F.min("first_day").alias("first_day"),
+        F.min_by(kind("ticker", F.col("text")), kind("ticker", F.struct(-F.col("c"), F.col("text")))).alias("ticker_at_date"),
+        F.round(F.percentile(kind("lag", F.col("lag")), F.lit(0.5), F.when(F.col("kind") == "lag", F.col("w")).otherwise(F.lit(1))), 1).alias("score_lag_days_median"),
     )
-    tickers = m.groupBy("entity_id", "year_month", "ticker").agg(F.count(F.lit(1)).alias("c")).where("ticker is not null")
-    tickers = tickers.groupBy("entity_id", "year_month").agg(F.min_by("ticker", F.struct(-F.col("c"), F.col("ticker"))).alias("ticker_at_date"))
     first = F.min("first_day").over(W.partitionBy("entity_id"))
     return (
-        cells.join(threads, ["entity_id", "year_month"], "left")
-        .join(tickers, ["entity_id", "year_month"], "left")
-        .withColumn("total_thread_comments", F.coalesce("threads", F.lit(0).cast("long")))
+        cells.withColumn("total_thread_comments", F.coalesce("threads", F.lit(0).cast("long")))
         .withColumn("months_since_first_mention", months_between(F.col("first_day"), first).cast("long"))
         .withColumn("first_mention_ever", F.col("months_since_first_mention") == 0)
+        .withColumns({f"n_{x}": F.col(f"n_{x}") if stance is not None else nothing for x in stances})
         .drop("threads", "first_day")
     )
 
 
 def documents_of(posts: DataFrame, comments: DataFrame) -> DataFrame:
-    """``doc_type, doc_id, doc_score, num_comments, lag_days, removed`` of delivered-once tables."""
+    """``doc_type, doc_id, doc_score, num_comments, lag_days, removed`` of posts and comments as delivered,
+    each message once. The columns come along through the deduplication, no text does."""
     from threshfold.functions.symbols import message_key
     from threshfold.functions.text import removed
+    from threshfold.operators.once import deliver_once
+
+    carry = {"doc_id": "string", "doc_score": "int", "num_comments": "int", "lag_days": "double", "removed": "boolean"}
 
     def one(df: DataFrame, kind: str, body: str) -> DataFrame:
         n = F.col("num_comments") if "num_comments" in df.columns else F.lit(None).cast("int")
-        return df.select(
-            F.lit(kind).alias("doc_type"), message_key("id").alias("doc_id"), F.col("score").alias("doc_score"), n.alias("num_comments"),
+        slim = df.select(
+            "id", "ingest_no", "retrieved_on", message_key("id").alias("doc_id"), F.col("score").alias("doc_score"), n.alias("num_comments"),
             ((F.col("retrieved_on") - F.col("created_utc")) / 86400).alias("lag_days"), removed(F.col("removed_by_category"), F.col(body)).alias("removed"),
         )
+        return deliver_once(slim, kind, carry=carry).withColumn("doc_type", F.lit(kind))
 
     return one(posts, "post", "selftext").unionByName(one(comments, "comment", "body"))
 

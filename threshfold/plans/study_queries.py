@@ -46,7 +46,7 @@ def r6(df: DataFrame, *cols: str) -> DataFrame:
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return P.documents_of(*(deliver_once(table(spark, d, t)) for t in ("submissions", "comments")))
+    return P.documents_of(table(spark, d, "submissions"), table(spark, d, "comments"))
 
 
 def _prices(spark: SparkSession, d: str) -> DataFrame:
@@ -58,7 +58,7 @@ def _treated(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _cohort(spark: SparkSession, d: str) -> DataFrame:
-    t = written(_treated(spark, d), "treated")
+    t = _treated(spark, d)
     c = C.matched_dates(t, C.control_pool(_prices(spark, d).select("ticker"), t), SEED)
     a = t.select("ticker", F.lit("treated").alias("grp"), F.col("first_mention").alias("formation_date"), "n_mentions", "n_authors")
     zero = F.lit(0).cast("long")
@@ -71,23 +71,16 @@ def _benchmark(px: DataFrame) -> DataFrame:
     return px.where(F.col("ticker") == name).select("date", "price")
 
 
-#: Analysis tables by application and data directory: most queries start from the same one.
-_ANALYSES: dict[tuple[str, str], DataFrame] = {}
-
-
 def _analysis(spark: SparkSession, d: str) -> DataFrame:
-    """The analysis table, computed once per application and directory and read from the shared
-    folder by every query on it."""
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _ANALYSES:
-        px = written(_prices(spark, d), "prices")
-        _ANALYSES[key] = written(O.outcomes(_cohort(spark, d), px, HORIZONS, _benchmark(px)), "analysis")
-    return _ANALYSES[key]
+    """The analysis table, computed by every query that asks for it."""
+    px = _prices(spark, d)
+    return O.outcomes(_cohort(spark, d), px, HORIZONS, _benchmark(px))
 
 
 def _names(spark: SparkSession, d: str, horizon: int = 2) -> DataFrame:
-    """One row per name and group at a horizon, with its size stratum."""
-    a = _analysis(spark, d).where(F.col("horizon_years") == horizon)
+    """One row per name and group at a horizon, with its size stratum. The rows (names) are written once
+    for the query that asks: edges, rates and weights all read them."""
+    a = written(_analysis(spark, d).where(F.col("horizon_years") == horizon), "analysis")
     return L.stratified(a, L.strata_edges(a))
 
 
@@ -137,7 +130,7 @@ _ADJ = """cell AS (SELECT label, grp, stratum, count(*) AS n, count(*) FILTER (W
  rate AS (SELECT grp, label, avg(CAST(hit AS DOUBLE)) AS rate FROM long WHERE hit IS NOT NULL GROUP BY ALL)"""
 _LIFT = """SELECT t.label, round(t.rate, 6) AS p_treated, round(c.rate, 6) AS p_control, round(adj.p_control_adj, 6) AS p_control_adj, round(adj.unsupported, 6) AS unsupported,
  round(t.rate / nullif(c.rate, 0), 6) AS naive_lift, round(t.rate / nullif(adj.p_control_adj, 0), 6) AS adjusted_lift FROM rate t JOIN rate c ON c.label = t.label AND c.grp = 'control' JOIN adj ON adj.label = t.label WHERE t.grp = 'treated'"""
-_SUMMARY = "count(*) AS n, round(avg(CAST(coalesce(winner_3x, false) AS DOUBLE)), 6) AS winner_rate, round(avg(CAST(coalesce(wipeout, false) AS DOUBLE)), 6) AS wipeout_rate, round(median(forward_return), 6) AS median_return"
+_SUMMARY = "count(*) AS n, round(avg(CAST(coalesce(winner_3x, false) AS DOUBLE)), 6) AS winner_rate, round(avg(CAST(coalesce(wipeout, false) AS DOUBLE)), 6) AS wipeout_rate, round(median(forward_return), 8) AS median_return"
 
 
 # --- panel and funnels -----------------------------------------------------------------------
@@ -402,14 +395,16 @@ def recall_by_class(spark, d):
     return r6(L.recall_by_class(_names(spark, d)), "recall")
 
 
-_RATES = ("winner_rate", "wipeout_rate", "median_return")
+def _rates(df: DataFrame) -> DataFrame:
+    """Rates to six digits; the median of returns of six digits ends on a half at the seventh, so to eight."""
+    return r6(df, "winner_rate", "wipeout_rate").withColumn("median_return", F.round("median_return", 8))
 
 
 @query(
     f"WITH {_NAMES} SELECT CASE WHEN n_authors BETWEEN 3 AND 4 THEN '3-4' WHEN n_authors BETWEEN 5 AND 9 THEN '5-9' WHEN n_authors BETWEEN 10 AND 19 THEN '10-19' WHEN n_authors >= 20 THEN '20+' END AS bucket, {_SUMMARY} FROM n2 WHERE grp = 'treated' GROUP BY 1 HAVING bucket IS NOT NULL AND count(*) >= 5"
 )
 def dose_response(spark, d):
-    return r6(L.dose_response(_names(spark, d).where("grp = 'treated'")), *_RATES)
+    return _rates(L.dose_response(_names(spark, d).where("grp = 'treated'")))
 
 
 @query(
@@ -417,7 +412,7 @@ def dose_response(spark, d):
 )
 def dose_response_fine(spark, d):
     """P16 with buckets that split this cohort."""
-    return r6(L.dose_response(_names(spark, d).where("grp = 'treated'"), ((20, 29), (30, 59), (60, 199), (200, None))), *_RATES)
+    return _rates(L.dose_response(_names(spark, d).where("grp = 'treated'"), ((20, 29), (30, 59), (60, 199), (200, None))))
 
 
 @query(
@@ -453,7 +448,7 @@ def trivial_screen(spark, d):
  b AS (SELECT 'top 10' AS bucket, * FROM r WHERE r <= 10 UNION ALL SELECT 'top 25', * FROM r WHERE r <= 25 UNION ALL SELECT 'top 50', * FROM r WHERE r <= 50 UNION ALL SELECT 'rest', * FROM r WHERE r > 50) SELECT bucket, {_SUMMARY} FROM b GROUP BY 1 HAVING count(*) >= 5"""
 )
 def rank_buckets(spark, d):
-    return r6(L.rank_buckets(_names(spark, d).where("grp = 'treated'"), "n_authors"), *_RATES)
+    return _rates(L.rank_buckets(_names(spark, d).where("grp = 'treated'"), "n_authors"))
 
 
 @query(f"WITH {_NAMES}, e AS (SELECT count(*) AS n FROM n2 WHERE grp = 'control' AND coalesce(wipeout, false) AND stratum IN (SELECT stratum FROM n2 WHERE grp = 'treated')) SELECT n AS n_events, n >= 5 AS stable FROM e")
@@ -466,7 +461,7 @@ def matched_events(spark, d):
  SELECT scope, {_SUMMARY} FROM b GROUP BY 1"""
 )
 def largest_names(spark, d):
-    return r6(L.largest(_names(spark, d), 25), *_RATES)
+    return _rates(L.largest(_names(spark, d), 25))
 
 
 @query(
