@@ -256,7 +256,12 @@ def lexicon(tickers: DataFrame, words: DataFrame | None = None, manual: frozense
         if len(got) > MAX_DICTIONARY:
             raise ValueError("too many entries to broadcast: use ngram_matches")
         out.append({r["k"].lstrip("-"): r["e"] for r in sorted(got, key=lambda r: r["k"])})
-    ranks = {r[0]: r[1] for r in words.where("word is not null and rank_no is not null").select("word", "rank_no").limit(MAX_DICTIONARY).collect()} if words is not None else {}
+    ranks = {}
+    if words is not None:  # words beyond COMMON_RANK count as uncommon whether they are listed or not
+        got = words.where((F.col("rank_no") <= COMMON_RANK) & F.col("word").isNotNull()).select("word", "rank_no").limit(MAX_DICTIONARY + 1).collect()
+        if len(got) > MAX_DICTIONARY:
+            raise ValueError("too many ranked words to broadcast")
+        ranks = {r[0]: r[1] for r in got}
     return Lexicon(*out, manual=manual, ranks=ranks)
 
 

@@ -93,11 +93,16 @@ def bootstrap(rows: DataFrame, n_boot: int = 2000, seed: int = 20260816, labels:
     replacement draws these counts from a multinomial: every replicate draws a handful of
     numbers, whatever the number of names. Replicates are spread over tasks and each has a seed
     of its own, so the result does not depend on how they are spread."""
+    return bootstrap_cells(cells(rows, labels), n_boot, seed)
+
+
+def bootstrap_cells(cell: DataFrame, n_boot: int = 2000, seed: int = 20260816) -> DataFrame:
+    """:func:`bootstrap` of given cells (``label, grp, stratum, n, k``); they are strata x labels x 2 rows."""
     import numpy as np
     import pandas as pd
 
-    got = cells(rows, labels).select("label", "grp", "stratum", "n", "k").toPandas().sort_values(["label", "grp", "stratum"])  # strata x labels x 2 rows
-    tables = {x: got[got["label"] == x] for x in labels}
+    got = cell.select("label", "grp", "stratum", "n", "k").toPandas().sort_values(["label", "grp", "stratum"])
+    tables = {x: t for x, t in got.groupby("label")}
 
     def run(batches):
         for b in batches:
@@ -123,7 +128,7 @@ def bootstrap(rows: DataFrame, n_boot: int = 2000, seed: int = 20260816, labels:
                         out.append((x, sum(v[0] for v in side["treated"].values()) / total / pc))
             yield pd.DataFrame(out, columns=["label", "lift"])
 
-    lifts = rows.sparkSession.range(n_boot).mapInPandas(run, "label string, lift double")
+    lifts = cell.sparkSession.range(n_boot).mapInPandas(run, "label string, lift double")
     sorted_ = lifts.groupBy("label").agg(F.array_sort(F.collect_list("lift")).alias("a"))  # at most n_boot numbers
     at = lambda q: F.element_at("a", (F.floor(F.size("a") * q) + 1).cast("int"))
     return sorted_.select("label", F.size("a").cast("long").alias("n_used"), at(0.025).alias("lo"), at(0.975).alias("hi"))
@@ -210,3 +215,84 @@ def largest(rows: DataFrame, k: int) -> DataFrame:
         return df.orderBy(F.desc_nulls_last("dollar_volume"), "ticker").limit(k).withColumn("scope", F.lit(scope))
 
     return _summary(top(rows, "all").unionByName(top(rows.where("grp = 'control'"), "not_mentioned")), "scope")
+
+
+SIGNALS = ("n_authors", "n_mentions", "total_score", "max_score")
+#: Share of a bucket's weight without controls beyond which its adjusted lift is marked.
+OFF_SUPPORT = 0.20
+
+
+def rank_rows(rows: DataFrame, signals: tuple[str, ...] = SIGNALS, tops: tuple[int, ...] = (10, 25, 50), least_names: int = 40, least: int = 5) -> DataFrame:
+    """``signal, bucket`` and the treated rows in it, for every signal that at least ``least_names`` names have and
+    every bucket (top 10, 25, 50 and the rest) of at least ``least`` names. Ties by name."""
+    long = rows.where("grp = 'treated'").withColumn("s", F.explode(F.array(*[F.struct(F.lit(x).alias("signal"), F.col(x).cast("double").alias("value")) for x in signals]))).select("*", "s.*").where("value is not null")
+    r = long.withColumn("r", F.row_number().over(W.partitionBy("signal").orderBy(F.desc("value"), "ticker"))).withColumn("names", F.count(F.lit(1)).over(W.partitionBy("signal"))).where(F.col("names") >= least_names)
+    buckets = F.array_compact(F.array(*[F.when(F.col("r") <= k, f"top {k}") for k in tops], F.when(F.col("r") > max(tops), "rest")))
+    r = r.withColumn("bucket", F.explode(buckets)).withColumn("held", F.count(F.lit(1)).over(W.partitionBy("signal", "bucket")))
+    return r.where(F.col("held") >= least).drop("s", "value", "r", "names", "held")
+
+
+def rank_cells(rows: DataFrame, ranked: DataFrame, labels: tuple[str, ...] = ("winner_3x", "wipeout"), value: str = "dollar_volume") -> DataFrame:
+    """Cells as of :func:`cells` for every bucket of :func:`rank_rows` beside all controls, under labels
+    ``signal|bucket|label``. A bucket has size strata of its own, cut from its names and the controls together.
+
+    Buckets are a dozen and hold names: the controls are repeated for each."""
+    b = ranked.select("signal", "bucket").distinct()
+    c = rows.where("grp = 'control'").join(F.broadcast(b.groupBy(F.lit("control").alias("grp")).agg(F.collect_list(F.struct("signal", "bucket")).alias("bs"))), "grp").withColumn("b", F.explode("bs")).select("*", "b.*")
+    cols = ["signal", "bucket", "grp", value, *labels]
+    both = ranked.select(*cols).unionByName(c.select(*cols))
+    v = F.array_sort(F.collect_list(F.when(F.col(value) > 0, F.col(value))))
+    n = F.size("v")
+    edges = both.groupBy("signal", "bucket").agg(v.alias("v")).select("signal", "bucket", F.when(n >= STRATA, F.array_distinct(F.array(*[F.get("v", F.floor(n * i / STRATA).cast("int")) for i in range(1, STRATA)]))).otherwise(F.array().cast("array<double>")).alias("edges"))
+    both = both.join(edges, ["signal", "bucket"]).withColumn("stratum", stratum(F.col(value), F.col("edges")))
+    hit = F.explode(F.array(*[F.struct(F.concat_ws("|", "signal", "bucket", F.lit(x)).alias("label"), F.coalesce(F.col(x), F.lit(False)).alias("hit")) for x in labels])).alias("x")
+    return both.select("grp", "stratum", hit).select("grp", "stratum", "x.*").groupBy("label", "grp", "stratum").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("hit")).cast("long").alias("k"))
+
+
+def rank_analysis(rows: DataFrame, signals: tuple[str, ...] = SIGNALS, tops: tuple[int, ...] = (10, 25, 50), least_names: int = 40, least: int = 5, least_events: int = 5) -> DataFrame:
+    """One row per signal and bucket: names, winner and wipeout rate, median return and its excess over the
+    controls' median, and the size-adjusted lifts against controls weighted like the bucket.
+
+    The winner lift is null (``stable`` false) where fewer than ``least_events`` controls that won lie in strata
+    of the bucket: a ratio over so few says nothing. ``off_support`` marks buckets of which more than OFF_SUPPORT
+    has no controls. ``rows``: one row per name and group, with the signals of treated names."""
+    ranked = rank_rows(rows, signals, tops, least_names, least)
+    cell = rank_cells(rows, ranked)
+    of = F.split("label", "[|]")
+    adj = post_stratified(cell)
+    occupied = cell.where("grp = 'treated'").select("label", "stratum")
+    events = cell.where("grp = 'control'").join(occupied, ["label", "stratum"], "left_semi").groupBy("label").agg(F.sum("k").alias("events"))
+    a = adj.join(events, "label", "left").select(of[0].alias("signal"), of[1].alias("bucket"), of[2].alias("what"), "p_control_adj", "unsupported", F.coalesce("events", F.lit(0).cast("long")).alias("events"))
+    win = a.where("what = 'winner_3x'").select("signal", "bucket", F.col("p_control_adj").alias("p_win"), "unsupported", F.col("events").alias("n_control_events"))
+    wipe = a.where("what = 'wipeout'").select("signal", "bucket", F.col("p_control_adj").alias("p_wipe"))
+    middle = rows.where("grp = 'control'").agg(F.median("forward_return")).scalar()
+    share = lambda c: F.avg(F.coalesce(F.col(c), F.lit(False)).cast("double"))
+    out = ranked.groupBy("signal", "bucket").agg(F.count(F.lit(1)).alias("n"), share("winner_3x").alias("winner_rate"), share("wipeout").alias("wipeout_rate"), F.median("forward_return").alias("median_return"))
+    out = out.join(win, ["signal", "bucket"]).join(wipe, ["signal", "bucket"])
+    stable = (F.col("n_control_events") >= least_events) & (F.coalesce("p_win", F.lit(0.0)) > 0)
+    return out.withColumns({
+        "excess_vs_control": F.col("median_return") - middle, "stable": stable, "winner_lift": F.when(stable, ratio(F.col("winner_rate"), F.col("p_win"))),
+        "wipeout_lift": ratio(F.col("wipeout_rate"), F.col("p_wipe")), "off_support": F.col("unsupported") > OFF_SUPPORT,
+    }).drop("p_win", "p_wipe")
+
+
+def rank_intervals(rows: DataFrame, signals: tuple[str, ...] = SIGNALS, tops: tuple[int, ...] = (10, 25, 50), least_names: int = 40, least: int = 5, least_events: int = 5, n_boot: int = 800) -> DataFrame:
+    """``signal, bucket, n_used, lo, hi``: intervals of the winner lifts of :func:`rank_analysis` that are stable."""
+    ranked = rank_rows(rows, signals, tops, least_names, least)
+    cell = rank_cells(rows, ranked, ("winner_3x",))
+    occupied = cell.where("grp = 'treated'").select("label", "stratum")
+    enough = cell.where("grp = 'control'").join(occupied, ["label", "stratum"], "left_semi").groupBy("label").agg(F.sum("k").alias("e")).where(F.col("e") >= least_events)
+    got = bootstrap_cells(cell.join(enough.select("label"), "label", "left_semi"), n_boot)
+    of = F.split("label", "[|]")
+    return got.select(of[0].alias("signal"), of[1].alias("bucket"), "n_used", "lo", "hi")
+
+
+def index_shares(rows: DataFrame, members: DataFrame, key: str = "ticker", day: str = "formation_date") -> DataFrame:
+    """One row: shares of treated names that were certainly in an index at formation, that were not certainly
+    in it (the upper bound of novelty), and of which membership is unknown (no date of joining)."""
+    from threshfold.operators.timejoin import member_since
+
+    t = member_since(rows.where("grp = 'treated'").select(key, day), members, key, day)
+    share = lambda c: F.coalesce(F.avg(c.cast("double")), F.lit(0.0))
+    sure = F.coalesce(F.col("in_index"), F.lit(False))
+    return t.agg(share(sure).alias("confirmed_in"), share(~sure).alias("novelty_upper_bound"), share(F.col("in_index").isNull()).alias("membership_unknown"))

@@ -77,6 +77,50 @@ def symbol_budget(claims: DataFrame, most: int, period: Column, symbol: str, at:
     return first.withColumn("place", place).withColumn("granted", F.col("place") <= most).drop("__f")
 
 
+#: Presets of quotas: most calls by seconds, and most symbols a month.
+QUOTAS = {"tiingo": ({3600: 50, 86_400: 1000}, 500), "massive": ({60: 5}, None)}
+
+
+def budget_left(claims: DataFrame, most: int, period: Column, symbol: str, at: str) -> DataFrame:
+    """``period, used, remaining`` of a symbol budget: symbols that were granted, and how many more could be."""
+    b = symbol_budget(claims, most, period, symbol, at)
+    return b.groupBy("period").agg(F.count_if("granted").cast("long").alias("used")).withColumn("remaining", F.greatest(F.lit(0).cast("long"), F.lit(most) - F.col("used")))
+
+
+def would_cost(batch: DataFrame, claims: DataFrame, most: int, period: Column, symbol: str, at: str) -> DataFrame:
+    """``period, new_symbols, fits``: how many symbols of a batch (``period, symbol``) the budget of their period has
+    not seen (seen ones are free), and whether what remains of it holds them."""
+    seen = symbol_budget(claims, most, period, symbol, at).where("granted").select("period", F.col("symbol").alias("__s"))
+    b = batch.where("symbol is not null").select("period", "symbol").distinct()
+    new = b.join(seen, (b["period"] == seen["period"]) & (b["symbol"] == seen["__s"]), "left_anti").groupBy("period").agg(F.count(F.lit(1)).alias("new_symbols"))
+    left = budget_left(claims, most, period, symbol, at).select("period", "remaining")
+    out = b.select("period").distinct().join(new, "period", "left").join(left, "period", "left").withColumn("new_symbols", F.coalesce("new_symbols", F.lit(0).cast("long")))
+    return out.select("period", "new_symbols", (F.col("new_symbols") <= F.coalesce("remaining", F.lit(most))).alias("fits"))
+
+
+def granted_calls(calls: DataFrame, limits: dict[int, int], key: str, at: str) -> DataFrame:
+    """``key, at, granted`` of calls as a limiter grants them: a call is granted where no window of a limit would hold
+    more *granted* calls than it may (:func:`admissible` counts all calls). Calls of one key are walked in order
+    by an Arrow group; a key is one caller, and what it keeps is bounded by the limits."""
+    import pandas as pd
+
+    longest = max(limits)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        kept: list[int] = []
+        out = []
+        for t in sorted(pdf["at"].tolist()):
+            kept = [x for x in kept if x > t - longest]
+            ok = all(sum(1 for x in kept if x > t - s) < n for s, n in limits.items())
+            if ok:
+                kept.append(t)
+            out.append(ok)
+        return pd.DataFrame({"key": pdf["key"].iloc[0], "at": sorted(pdf["at"].tolist()), "granted": out})
+
+    c = calls.where(F.col(key).isNotNull() & F.col(at).isNotNull()).select(F.col(key).cast("string").alias("key"), F.col(at).cast("long").alias("at"))
+    return c.groupBy("key").applyInPandas(run, "key string, at long, granted boolean")
+
+
 def source_gate(prices: DataFrame, probes: DataFrame, control: str, least_control: int = 500, least: int = 100, drift: int = 20) -> DataFrame:
     """One row: whether a price source is usable. ``probes``: ``ticker, expected_end`` (null: none).
 

@@ -110,11 +110,12 @@ def spearman_ordinal(df: DataFrame, x: str, y: str, tie: str) -> DataFrame:
 
 
 def capture_lag(docs: DataFrame, created: str = "created_utc", retrieved: str = "retrieved_on", score: str = "score") -> DataFrame:
-    """Per year of creation: documents with a retrieval time, lag in days (median, mean, least,
+    """Per year of creation, and over all years (year null): documents with a retrieval time, lag in days (median, mean, least,
     most), share within a day, share with a score of at most 1 (none counts as 0), and a verdict."""
     d = docs.where(F.col(created).isNotNull() & F.col(retrieved).isNotNull())
     lag = (F.col(retrieved) - F.col(created)) / 86400
     d = d.select(F.year(F.to_date(F.timestamp_seconds(created))).alias("year"), lag.alias("lag"), (F.coalesce(score, F.lit(0)) <= 1).alias("low"))
+    d = d.withColumn("year", F.explode(F.array("year", F.lit(None).cast("int"))))
     out = d.groupBy("year").agg(
         F.count(F.lit(1)).alias("n"), F.median("lag").alias("median_lag"), F.avg("lag").alias("mean_lag"), F.min("lag").alias("min_lag"), F.max("lag").alias("max_lag"),
         F.avg((F.col("lag") < 1).cast("double")).alias("share_fast"), F.avg(F.col("low").cast("double")).alias("share_low_score"),

@@ -52,3 +52,12 @@ def usable_cohorts(funnel: DataFrame, as_of: int, horizon: int, first: int = 201
     out = ok.agg(F.max_by("year", F.struct(F.col("share"), -F.col("year"))).alias("widest_year"), F.max("share").alias("share"), F.count(F.lit(1)).alias("n_cohorts"))
     verdict = F.when(F.col("share").isNull(), "INSUFFICIENT").when(F.col("share") > 0.5, "FAIL").when(F.col("share") > 0.25, "MARGINAL").otherwise("PASS")
     return out.withColumn("verdict", verdict).withColumn("horizon", F.lit(horizon))
+
+
+def listed_stocks(listings: DataFrame, exchanges: tuple[str, ...], kinds: tuple[str, ...] | None = None, exchange: str = "exchange", kind: str = "asset_type", begin: str = "listed_from", key: str = "ticker") -> DataFrame:
+    """Listings of common shares on some exchanges, of some asset types where these are told, with a first day.
+    A null exchange or type is none of those asked for."""
+    ok = listings.where(F.col(exchange).isin(*exchanges) & F.col(begin).isNotNull())
+    if kinds is not None:
+        ok = ok.where(F.col(kind).isin(*kinds))
+    return common_equity(ok, key)

@@ -205,7 +205,7 @@ def removed_breakdown(spark, d):
 
 @query(
     f"""WITH x AS (SELECT year({_DAY}) AS year, (retrieved_on - created_utc) / 86400.0 AS lag, coalesce(score, 0) <= 1 AS low FROM submissions WHERE retrieved_on IS NOT NULL AND created_utc IS NOT NULL),
- y AS (SELECT year, count(*) AS n, median(lag) AS median_lag, avg(lag) AS mean_lag, min(lag) AS min_lag, max(lag) AS max_lag, avg(CAST(lag < 1 AS DOUBLE)) AS share_fast, avg(CAST(low AS DOUBLE)) AS share_low_score FROM x GROUP BY 1)
+ y AS (SELECT year, count(*) AS n, median(lag) AS median_lag, avg(lag) AS mean_lag, min(lag) AS min_lag, max(lag) AS max_lag, avg(CAST(lag < 1 AS DOUBLE)) AS share_fast, avg(CAST(low AS DOUBLE)) AS share_low_score FROM x GROUP BY GROUPING SETS ((year), ()))
  SELECT year, n, round(median_lag, 6) AS median_lag, round(mean_lag, 6) AS mean_lag, round(min_lag, 6) AS min_lag, round(max_lag, 6) AS max_lag, round(share_fast, 6) AS share_fast, round(share_low_score, 6) AS share_low_score,
  CASE WHEN median_lag < 1 OR share_fast > 0.5 THEN 'UNRELIABLE' ELSE 'usable' END AS verdict FROM y"""
 )
@@ -307,11 +307,11 @@ def index_membership(spark, d):
     return J.member_since(p, members, "entity_id", "day").select("panel_no", "in_index")
 
 
-_FORM = "form AS (SELECT DISTINCT name AS ticker, day AS formation_date FROM men WHERE name IS NOT NULL AND channel = 'name')"
+_FORM = "form AS (SELECT DISTINCT name AS ticker, day AS formation_date FROM men WHERE name IS NOT NULL)"
 
 
 def _formations(spark, d):
-    m = P.confident(table(spark, d, "mentions"), 0.75).where("channel = 'name'")
+    m = P.confident(table(spark, d, "mentions"), 0.75)
     return m.select(symbol_key("ticker").alias("ticker"), S.utc_date(F.col("created_utc")).alias("formation_date")).where("ticker is not null").distinct()
 
 
@@ -431,16 +431,30 @@ def novelty_shares(spark, d):
     return r6(L.novelty(_names(spark, d)), "share_top_quintile", "share_above_median")
 
 
+_MEMBERS = f"mem AS (SELECT {symbol_key_sql('ticker')} AS ticker, min(listed_from) AS a FROM tickers WHERE exchange = 'NORTHX' AND ticker IS NOT NULL GROUP BY 1)"
+
+
+@query(
+    f"""WITH {_NAMES}, {_MEMBERS}, x AS (SELECT CASE WHEN mem.ticker IS NULL THEN false WHEN mem.a IS NOT NULL THEN mem.a <= n2.formation_date END AS i FROM n2 LEFT JOIN mem ON mem.ticker = n2.ticker WHERE grp = 'treated')
+ SELECT round(coalesce(avg(CAST(coalesce(i, false) AS DOUBLE)), 0), 6) AS confirmed_in, round(coalesce(avg(CAST(NOT coalesce(i, false) AS DOUBLE)), 0), 6) AS novelty_upper_bound, round(coalesce(avg(CAST(i IS NULL AS DOUBLE)), 0), 6) AS membership_unknown FROM x"""
+)
+def novelty_in_index(spark, d):
+    """Treated names that were in an index at formation (stand-in members: one exchange's listings)."""
+    t = table(spark, d, "tickers").where("exchange = 'NORTHX' and ticker is not null").select(symbol_key("ticker").alias("ticker"), F.col("listed_from").alias("date_added"))
+    return r6(L.index_shares(_names(spark, d), t), "confirmed_in", "novelty_upper_bound", "membership_unknown")
+
+
 _CONTROL = " AND grp = 'control'"
 
 
 @query(
     f"""WITH {_NAMES}, sc AS (SELECT * FROM n2 WHERE grp = 'control' AND coalesce(dollar_volume, 0) >= {_CUT.format(q=0.2, w=_CONTROL)}), {_LONG.format(src='n2')},
  t AS (SELECT label, avg(CAST(hit AS DOUBLE)) AS p FROM long WHERE grp = 'treated' AND hit IS NOT NULL GROUP BY 1), s AS (SELECT label, avg(CAST(hit AS DOUBLE)) AS p FROM long WHERE grp = 'control' AND hit IS NOT NULL AND ticker IN (SELECT ticker FROM sc) GROUP BY 1)
- SELECT t.label, round(t.p, 6) AS p_treated, round(s.p, 6) AS p_screen, round(t.p / nullif(s.p, 0), 6) AS ratio FROM t JOIN s ON s.label = t.label WHERE (SELECT count(*) FROM sc) >= 10"""
+ SELECT t.label, round(t.p, 6) AS p_treated, round(s.p, 6) AS p_screen, round(t.p / nullif(s.p, 0), 6) AS ratio FROM t JOIN s ON s.label = t.label WHERE (SELECT count(*) FROM sc) >= 2"""
 )
 def trivial_screen(spark, d):
-    return r6(L.trivial_screen(_names(spark, d)), "p_treated", "p_screen", "ratio")
+    """P19; the cohort of these tables has few controls, so two of them make a screen."""
+    return r6(L.trivial_screen(_names(spark, d), 2), "p_treated", "p_screen", "ratio")
 
 
 @query(
@@ -451,6 +465,46 @@ def rank_buckets(spark, d):
     return _rates(L.rank_buckets(_names(spark, d).where("grp = 'treated'"), "n_authors"))
 
 
+#: Names that a signal must have; the cohort of these tables is small.
+LEAST_RANKED, LEAST_EVENTS = 10, 1
+
+
+def _ranked(spark: SparkSession, d: str) -> DataFrame:
+    s = ranking_signals(spark, d).select("ticker", "total_score", "max_score")
+    return written(_names(spark, d).join(s, "ticker", "left"), "ranked-names")
+
+
+_SIGNAL = f"""sig AS (SELECT name AS ticker, sum(coalesce(d.doc_score, 0)) AS total_score, greatest(max(coalesce(d.doc_score, 0)), 0) AS max_score FROM (SELECT DISTINCT name, doc_type, doc_id FROM men WHERE name IS NOT NULL AND year(day) IN (2019, 2020, 2021)) pd
+ LEFT JOIN docs d ON d.doc_type = pd.doc_type AND d.doc_id = pd.doc_id GROUP BY 1)"""
+
+
+@query(
+    f"""WITH {_DOCS}, {_NAMES}, {_SIGNAL}, t0 AS (SELECT n2.*, sig.total_score, sig.max_score FROM n2 LEFT JOIN sig ON sig.ticker = n2.ticker WHERE grp = 'treated'),
+ lo AS ({" UNION ALL ".join(f"SELECT '{x}' AS signal, CAST({x} AS DOUBLE) AS v, * FROM t0 WHERE {x} IS NOT NULL" for x in L.SIGNALS)}),
+ rk AS (SELECT *, row_number() OVER (PARTITION BY signal ORDER BY v DESC, ticker) AS r, count(*) OVER (PARTITION BY signal) AS names FROM lo),
+ bk AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY signal, bucket) AS held FROM ({" UNION ALL ".join(f"SELECT '{n}' AS bucket, * FROM rk WHERE names >= {LEAST_RANKED} AND {c}" for n, c in (('top 10', 'r <= 10'), ('top 25', 'r <= 25'), ('top 50', 'r <= 50'), ('rest', 'r > 50')))})) WHERE held >= 5),
+ ct AS (SELECT * FROM n2 WHERE grp = 'control'), rp AS (SELECT signal, bucket, grp, dollar_volume, winner_3x, wipeout FROM bk UNION ALL SELECT b.signal, b.bucket, ct.grp, ct.dollar_volume, ct.winner_3x, ct.wipeout FROM ct, (SELECT DISTINCT signal, bucket FROM bk) b),
+ ed AS (SELECT signal, bucket, CASE WHEN len(v) >= 5 THEN [v[1 + len(v) * 1 // 5], v[1 + len(v) * 2 // 5], v[1 + len(v) * 3 // 5], v[1 + len(v) * 4 // 5]] ELSE [] END AS edges FROM (SELECT signal, bucket, coalesce(list(dollar_volume ORDER BY dollar_volume) FILTER (WHERE dollar_volume > 0), []) AS v FROM rp GROUP BY 1, 2)),
+ st AS (SELECT rp.signal, rp.bucket, grp, winner_3x, wipeout, CASE WHEN dollar_volume > 0 THEN len(list_filter(list_distinct(edges), lambda e: dollar_volume >= e)) ELSE 0 END AS stratum FROM rp JOIN ed ON ed.signal = rp.signal AND ed.bucket = rp.bucket),
+ ce AS (SELECT signal, bucket, grp, stratum, count(*) AS n, count(*) FILTER (WHERE winner_3x) AS kw, count(*) FILTER (WHERE wipeout) AS kk FROM st GROUP BY ALL),
+ aj AS (SELECT t.signal, t.bucket, sum(CASE WHEN c.n IS NOT NULL THEN t.n * c.kw / c.n END) / sum(CASE WHEN c.n IS NOT NULL THEN t.n END) AS pw, sum(CASE WHEN c.n IS NOT NULL THEN t.n * c.kk / c.n END) / sum(CASE WHEN c.n IS NOT NULL THEN t.n END) AS pk,
+ coalesce(sum(CASE WHEN c.n IS NULL THEN t.n END), 0) / sum(t.n) AS unsupported, CAST(coalesce(sum(c.kw), 0) AS BIGINT) AS events FROM ce t LEFT JOIN ce c ON c.signal = t.signal AND c.bucket = t.bucket AND c.stratum = t.stratum AND c.grp = 'control' WHERE t.grp = 'treated' GROUP BY 1, 2),
+ su AS (SELECT signal, bucket, count(*) AS n, avg(CAST(coalesce(winner_3x, false) AS DOUBLE)) AS w, avg(CAST(coalesce(wipeout, false) AS DOUBLE)) AS k, median(forward_return) AS m FROM bk GROUP BY 1, 2)
+ SELECT su.signal, su.bucket, su.n, round(w, 6) AS winner_rate, round(k, 6) AS wipeout_rate, round(m, 8) AS median_return, round(m - (SELECT median(forward_return) FROM ct), 8) AS excess_vs_control, round(unsupported, 6) AS unsupported, events AS n_control_events,
+ events >= {LEAST_EVENTS} AND coalesce(pw, 0) > 0 AS stable, CASE WHEN events >= {LEAST_EVENTS} AND coalesce(pw, 0) > 0 THEN round(w / pw, 6) END AS winner_lift, round(k / nullif(pk, 0), 6) AS wipeout_lift, unsupported > 0.2 AS off_support FROM su JOIN aj ON aj.signal = su.signal AND aj.bucket = su.bucket"""
+)
+def rank_analysis(spark, d):
+    """Four signals, size-adjusted lifts, thin cells suppressed."""
+    got = L.rank_analysis(_ranked(spark, d), least_names=LEAST_RANKED, least_events=LEAST_EVENTS)
+    return r6(got, "winner_rate", "wipeout_rate", "unsupported", "winner_lift", "wipeout_lift").withColumns({c: F.round(c, 8) for c in ("median_return", "excess_vs_control")})
+
+
+@query()
+def rank_intervals(spark, d):
+    """Intervals of the stable winner lifts; random draws, hence no SQL."""
+    return L.rank_intervals(_ranked(spark, d), least_names=LEAST_RANKED, least_events=LEAST_EVENTS)
+
+
 @query(f"WITH {_NAMES}, e AS (SELECT count(*) AS n FROM n2 WHERE grp = 'control' AND coalesce(wipeout, false) AND stratum IN (SELECT stratum FROM n2 WHERE grp = 'treated')) SELECT n AS n_events, n >= 5 AS stable FROM e")
 def matched_events(spark, d):
     return L.matched_events(L.cells(_names(spark, d)), "wipeout")
@@ -504,10 +558,10 @@ def peak_trough_timing(spark, d):
     return r6(Z.move_timing(a, _prices(spark, d)).withColumn("lag_days", F.col("lag_days").cast("long")), "gain")
 
 
-@query(f"WITH {_TIMING} SELECT count(*) AS n, round(avg(CAST(lag_days > 0 AS DOUBLE)), 6) AS share_after, median(lag_days) AS median_lag_days FROM tm HAVING count(*) >= 10")
+@query(f"WITH {_TIMING} SELECT count(*) AS n, round(avg(CAST(lag_days > 0 AS DOUBLE)), 6) AS share_after, median(lag_days) AS median_lag_days FROM tm HAVING count(*) >= 3")
 def timing_summary(spark, d):
     a = _analysis(spark, d).where("horizon_years = 2 and grp = 'treated'")
-    return r6(Z.timing_summary(Z.move_timing(a, _prices(spark, d))), "share_after")
+    return r6(Z.timing_summary(Z.move_timing(a, _prices(spark, d)), 3), "share_after")
 
 
 _GRAM = ["l_quantity", "l_discount", "l_tax"]
@@ -593,7 +647,11 @@ def cashtag_counts(spark, d):
 def extracted_mentions(spark, d):
     """Mentions of all delivered texts; order-dependent scan, hence no SQL."""
     docs = _texts(spark, d).withColumn("doc_id", F.concat_ws("#", "doc_id", F.col("ingest_no").cast("string")))
-    return X.extract_mentions(docs, X.lexicon(table(spark, d, "tickers"), table(spark, d, "word_rank")))
+    return X.extract_mentions(docs, X.lexicon(table(spark, d, "tickers"), table(spark, d, "word_rank"), MANUAL_NAMES))
+
+
+#: Names that need no proof by length: brands of four letters, and what companies are called besides.
+MANUAL_NAMES = frozenset("nike ford ebay meta visa ibm amd ge 3m coke intel jnj".split())
 
 
 _NAME_SQL = (
@@ -614,14 +672,15 @@ def ngram_lookup(spark, d):
 
 
 @query(
-    f"""WITH {_TEXT}, nm AS (SELECT DISTINCT {_NAME_SQL} AS name FROM tickers WHERE name IS NOT NULL), n1 AS (SELECT DISTINCT unnest(string_split(name, ' ')) AS name FROM nm), ok AS (SELECT name FROM n1 WHERE regexp_full_match(name, '[a-z]+') AND length(name) >= 7),
+    f"""WITH {_TEXT}, nm AS (SELECT DISTINCT {_NAME_SQL} AS name FROM tickers WHERE name IS NOT NULL), n1 AS (SELECT DISTINCT unnest(string_split(name, ' ')) AS name FROM nm UNION SELECT lower(word) FROM word_rank WHERE word IS NOT NULL), ok AS (SELECT name FROM n1 WHERE regexp_full_match(name, '[a-z]+') AND length(name) >= 7),
  w AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[^a-z0-9&]+')) AS word FROM tx) SELECT w.word, ok.name FROM w JOIN ok ON left(w.word, 2) = left(ok.name, 2) AND abs(length(w.word) - length(ok.name)) <= 1 AND levenshtein(w.word, ok.name) <= 1
  WHERE length(w.word) >= 7 AND regexp_full_match(w.word, '[a-z]+') AND w.word NOT IN (SELECT name FROM n1)"""
 )
 def fuzzy_match(spark, d):
-    """Words of all texts within one edit of a name's word."""
+    """Words of all texts within one edit of a word of a name or of the ranked words."""
     words = _texts(spark, d).select(F.explode(F.array_distinct(F.split(F.lower("text"), "[^a-z0-9&]+"))).alias("word"))
     names = table(spark, d, "tickers").where("name is not null").select(F.explode(F.split(T.normalise_name(F.col("name")), " ")).alias("name"))
+    names = names.unionByName(table(spark, d, "word_rank").where("word is not null").select(F.lower("word").alias("name")))
     return X.near_matches(words, names)
 
 
@@ -656,16 +715,41 @@ def stance_baseline(spark, d):
     return _texts(spark, d).select("doc_type", "ingest_no", T.lexical_stance(F.col("text")).alias("s")).select("doc_type", "ingest_no", "s.*")
 
 
+_BODIES = f"""b AS (SELECT 'post' AS doc_type, {message_key_sql('id')} AS doc_id, coalesce(title, '') || chr(10) || coalesce(selftext, '') AS t FROM ({_ONCE.format(k=message_key_sql('id'), t='submissions')})
+ UNION ALL SELECT 'comment', {message_key_sql('id')}, coalesce(body, '') FROM ({_ONCE.format(k=message_key_sql('id'), t='comments')}))"""
+
+
+def _bodies(spark: SparkSession, d: str) -> DataFrame:
+    """``doc_type, doc_id, text`` of posts and comments, each message once."""
+    none = F.lit(None).cast("string")
+    p, c = (deliver_once(table(spark, d, t)) for t in ("submissions", "comments"))
+    a = p.select(F.lit("post").alias("doc_type"), message_key("id").alias("doc_id"), T.document_text(F.lit("post"), F.col("title"), F.col("selftext"), none).alias("text"))
+    return a.unionByName(c.select(F.lit("comment").alias("doc_type"), message_key("id").alias("doc_id"), T.document_text(F.lit("comment"), none, none, F.col("body")).alias("text")))
+
+
 @query(
-    f"""WITH b AS ({_ONCE.format(k=message_key_sql('id'), t='comments')}), m AS (SELECT m.mention_no, b.body AS t, m.span_start AS s, m.span_end AS e FROM mentions m JOIN b ON {message_key_sql('b.id')} = m.doc_id WHERE m.doc_type = 'comment' AND b.body IS NOT NULL AND m.span_end <= length(b.body))
+    f"""WITH {_BODIES}, m AS (SELECT m.mention_no, b.t, m.span_start AS s, m.span_end AS e FROM mentions m JOIN b ON b.doc_type = m.doc_type AND b.doc_id = m.doc_id WHERE m.span_end <= length(b.t))
  SELECT mention_no, md5((CASE WHEN s > 40 THEN '…' ELSE '' END) || substring(t, greatest(s - 40, 0) + 1, s - greatest(s - 40, 0)) || '«' || substring(t, s + 1, e - s) || '»' || substring(t, e + 1, least(e + 40, length(t)) - e) || (CASE WHEN e + 40 < length(t) THEN '…' ELSE '' END)) AS marked FROM m"""
 )
 def mark_spans(spark, d):
-    """Mentions marked in their comments, 40 characters around."""
-    c = deliver_once(table(spark, d, "comments")).where("body is not null").select(message_key("id").alias("doc_id"), "body")
-    m = table(spark, d, "mentions").where("doc_type = 'comment'").select("mention_no", "doc_id", "span_start", "span_end")
-    j = m.join(c, "doc_id").where(F.col("span_end") <= F.length("body"))
-    return j.select("mention_no", F.md5(T.mark_span(F.col("body"), F.col("span_start"), F.col("span_end"), 40)).alias("marked"))
+    """Mentions marked in their messages, 40 characters around."""
+    m = table(spark, d, "mentions").select("mention_no", "doc_type", "doc_id", "span_start", "span_end")
+    j = m.join(_bodies(spark, d), ["doc_type", "doc_id"]).where(F.col("span_end") <= F.length("text"))
+    return j.select("mention_no", F.md5(T.mark_span(F.col("text"), F.col("span_start"), F.col("span_end"), 40)).alias("marked"))
+
+
+_STANCE = f"""st AS (SELECT doc_type, doc_id, CASE WHEN q > 0 AND q >= greatest(b, r) THEN 'question' WHEN b > r THEN 'bullish' WHEN r > b THEN 'bearish' ELSE 'neutral' END AS stance
+ FROM (SELECT doc_type, doc_id, {_count_sql(T.BULLISH)} AS b, {_count_sql(T.BEARISH)} AS r, {_count_sql(T.QUESTION)} AS q FROM (SELECT doc_type, doc_id, lower(t) AS t FROM b)))"""
+
+
+@query(
+    f"""WITH {_BODIES}, {_STANCE}, {_MEN} SELECT m.entity_id, m.year_month, count(*) AS n_mentions, count(*) FILTER (WHERE stance = 'bullish') AS n_bullish, count(*) FILTER (WHERE stance = 'bearish') AS n_bearish, count(*) FILTER (WHERE stance = 'neutral') AS n_neutral,
+ count(*) FILTER (WHERE stance = 'question') AS n_question FROM men m LEFT JOIN st ON st.doc_type = m.doc_type AND st.doc_id = m.doc_id WHERE entity_id IS NOT NULL GROUP BY 1, 2"""
+)
+def stance_panel(spark, d):
+    """The panel with the stance of each mention's message (the lexical floor)."""
+    st = _bodies(spark, d).where("doc_id is not null").select("doc_type", "doc_id", T.lexical_stance(F.col("text"))["stance"].alias("stance"))
+    return P.mention_panel(table(spark, d, "mentions"), _docs(spark, d), stance=st).select("entity_id", "year_month", "n_mentions", "n_bullish", "n_bearish", "n_neutral", "n_question")
 
 
 # --- review, quotas, gates, sets -------------------------------------------------------------
@@ -729,6 +813,34 @@ def symbol_budget(spark, d):
     return R.symbol_budget(m, 20, S.month_of(S.utc_date(F.col("created_utc"))), "symbol", "created_utc").withColumn("place", F.col("place").cast("long"))
 
 
+_BUDGET = f"""f AS (SELECT strftime({_DAY}, '%Y-%m') AS period, {symbol_key_sql('ticker')} AS symbol, min(created_utc) AS f FROM mentions WHERE ticker IS NOT NULL GROUP BY 1, 2), r AS (SELECT period, symbol, row_number() OVER (PARTITION BY period ORDER BY f, symbol) AS place FROM f)"""
+
+
+@query(f"WITH {_BUDGET} SELECT period, count(*) FILTER (WHERE place <= 20) AS used, greatest(0, 20 - count(*) FILTER (WHERE place <= 20)) AS remaining FROM r GROUP BY 1")
+def budget_left(spark, d):
+    """Symbols of a month that were granted, and how many more could be."""
+    m = table(spark, d, "mentions").select("created_utc", symbol_key("ticker").alias("symbol"))
+    return R.budget_left(m, 20, S.month_of(S.utc_date(F.col("created_utc"))), "symbol", "created_utc")
+
+
+@query(
+    f"""WITH {_BUDGET}, b AS (SELECT DISTINCT year_month AS period, {symbol_key_sql('ticker_at_date')} AS symbol FROM panel WHERE ticker_at_date IS NOT NULL), n AS (SELECT b.period, count(*) FILTER (WHERE r.symbol IS NULL) AS new_symbols FROM b LEFT JOIN r ON r.period = b.period AND r.symbol = b.symbol AND r.place <= 20 GROUP BY 1),
+ u AS (SELECT period, least(20, count(*)) AS used FROM r GROUP BY 1) SELECT n.period, n.new_symbols, n.new_symbols <= 20 - coalesce(u.used, 0) AS fits FROM n LEFT JOIN u ON u.period = n.period"""
+)
+def budget_cost(spark, d):
+    """What the panel's symbols would cost the budget of their month."""
+    m = table(spark, d, "mentions").select("created_utc", symbol_key("ticker").alias("symbol"))
+    batch = table(spark, d, "panel").select(F.col("year_month").alias("period"), symbol_key("ticker_at_date").alias("symbol"))
+    return R.would_cost(batch, m, 20, S.month_of(S.utc_date(F.col("created_utc"))), "symbol", "created_utc")
+
+
+@query()
+def quota_granted(spark, d):
+    """R4 as a limiter grants: a refused call uses nothing up; each answer depends on those before it, hence no SQL."""
+    e = table(spark, d, "events").select(F.col("user_id").cast("string").alias("user_id"), F.unix_timestamp(F.col("ts")).alias("t"))
+    return R.granted_calls(e, {3600: 3, 86400: 5}, "user_id", "t")
+
+
 @query(
     f"""WITH {_PX}, p AS (SELECT ticker, count(*) AS n, max(date) AS last FROM px GROUP BY 1), pr AS (SELECT entity_id, {symbol_key_sql('arg_max(ticker, (known_on, listing_no))')} AS ticker, arg_max(listed_to, (known_on, listing_no)) AS e FROM tickers WHERE delisted GROUP BY 1),
  g AS (SELECT coalesce(p.n, 0) >= 100 AND (pr.e IS NULL OR abs(p.last - pr.e) <= 20) AS good FROM pr LEFT JOIN p ON p.ticker = pr.ticker), c AS (SELECT coalesce(max(n), 0) AS n FROM p WHERE ticker = (SELECT ticker FROM p ORDER BY n DESC, ticker LIMIT 1))
@@ -772,13 +884,26 @@ def evidence_union(spark, d):
 # --- vocabularies, cohorts, score trust, examples --------------------------------------------
 
 
-@query(
-    f"""WITH t AS (SELECT DISTINCT {symbol_key_sql('symbol')} AS ticker FROM prices WHERE symbol IS NOT NULL)
- SELECT ticker FROM t WHERE NOT regexp_matches(ticker, '{U.NOT_COMMON}') AND NOT regexp_matches(ticker, '{U.TEST_SYMBOL}') AND NOT (length(ticker) = 5 AND right(ticker, 1) IN ('W', 'U', 'R') AND left(ticker, 4) IN (SELECT ticker FROM t))"""
-)
+_SYMBOLS = f"""t0 AS (SELECT DISTINCT {symbol_key_sql('symbol')} AS s FROM prices WHERE symbol IS NOT NULL), t AS (SELECT s AS ticker FROM t0 UNION SELECT s || '-WT' FROM t0 UNION SELECT s || '-P-A' FROM t0 UNION SELECT s || 'W' FROM t0 WHERE length(s) = 4 UNION SELECT 'ZVZZT')"""
+_COMMON = f"NOT regexp_matches(ticker, '{U.NOT_COMMON}') AND NOT regexp_matches(ticker, '{U.TEST_SYMBOL}')"
+
+
+@query(f"WITH {_SYMBOLS} SELECT ticker FROM t WHERE {_COMMON} AND NOT (length(ticker) = 5 AND right(ticker, 1) IN ('W', 'U', 'R') AND left(ticker, 4) IN (SELECT ticker FROM t))")
 def common_equity(spark, d):
-    """symbols of common shares."""
-    return U.common_equity(table(spark, d, "prices").where("symbol is not null").select(symbol_key("symbol").alias("ticker")).distinct())
+    """symbols of common shares, of all symbols and made warrants, preferred shares and a test symbol beside them."""
+    t = table(spark, d, "prices").where("symbol is not null").select(symbol_key("symbol").alias("s")).distinct()
+    odd = F.array(F.col("s"), F.concat("s", F.lit("-WT")), F.concat("s", F.lit("-P-A")), F.when(F.length("s") == 4, F.concat("s", F.lit("W"))), F.lit("ZVZZT"))
+    return U.common_equity(t.select(F.explode(odd).alias("ticker")).where("ticker is not null").distinct())
+
+
+_EXCHANGES = ("NORTHX", "CIVIC", "HARBOR")
+
+
+@query(f"""SELECT listing_no, ticker FROM tickers WHERE exchange IN {_EXCHANGES} AND listed_from IS NOT NULL AND ticker IS NOT NULL AND {_COMMON}
+ AND NOT (length(ticker) = 5 AND right(ticker, 1) IN ('W', 'U', 'R') AND left(ticker, 4) IN (SELECT ticker FROM tickers WHERE ticker IS NOT NULL AND exchange IN {_EXCHANGES} AND listed_from IS NOT NULL))""")
+def listed_stocks(spark, d):
+    """listings on the main exchanges with a first day."""
+    return U.listed_stocks(table(spark, d, "tickers"), _EXCHANGES).select("listing_no", "ticker")
 
 
 @query(

@@ -1,4 +1,4 @@
-"""Price sources behind one contract: ``ticker, date, adj_close`` (and ``close, volume`` where known)."""
+"""Price sources behind one contract: ``ticker, date, adj_close, close, volume`` (null where a source does not tell)."""
 
 from __future__ import annotations
 
@@ -21,24 +21,29 @@ def adapter(name: str) -> Callable[[Adapter], Adapter]:
     return add
 
 
+def _contract(prices: DataFrame) -> DataFrame:
+    """``ticker, date, adj_close, close, volume``; what a source does not tell is null."""
+    return prices.select("ticker", "date", *[(F.col(c) if c in prices.columns else F.lit(None)).cast("double").alias(c) for c in ("adj_close", "close", "volume")])
+
+
 @adapter("parquet")
 def _parquet(spark: SparkSession, options: dict) -> DataFrame:
     p = spark.read.parquet(options["path"])
-    return p.select(F.col(options.get("symbol", "symbol")).alias("ticker"), "date", "adj_close")
+    return _contract(p.withColumnsRenamed({options.get("symbol", "symbol"): "ticker", "close_px": "close"}))
 
 
 @adapter("folder")
 def _folder(spark: SparkSession, options: dict) -> DataFrame:
-    from threshfold.sources.files import read_price_folder
+    from threshfold.sources.files import price_rows
 
-    return read_price_folder(spark, options["path"]).select(F.col("symbol").alias("ticker"), "date", "adj_close")
+    return _contract(price_rows(spark, options["path"]).withColumnRenamed("symbol", "ticker"))
 
 
 @adapter("aggregates")
 def _aggregates(spark: SparkSession, options: dict) -> DataFrame:
     """Newline JSON of bars with epoch milliseconds: ``{"ticker", "t", "c", "v"}``."""
     p = spark.read.schema("ticker string, t long, c double, v double").json(options["path"])
-    return p.select("ticker", F.to_date(F.timestamp_millis("t")).alias("date"), F.col("c").alias("adj_close"))
+    return _contract(p.select("ticker", F.to_date(F.timestamp_millis("t")).alias("date"), F.col("c").alias("adj_close"), F.col("c").alias("close"), F.col("v").alias("volume")))
 
 
 def history(spark: SparkSession, name: str, options: dict, probes: DataFrame | None = None, control: str | None = None) -> DataFrame:

@@ -26,11 +26,14 @@ def salvage(raw: str) -> tuple[str, float]:
     return (label if label in LABELS else "neutral"), min(1.0, max(0.0, conf))
 
 
-def classify(mentions: DataFrame, docs: DataFrame, service: Callable[[list[str]], list[str]] | None = None, lexical: bool = False) -> DataFrame:
-    """``doc_id, entity_id, ticker, stance, stance_confidence, method`` of mentions in ``docs`` (``doc_id, text``)."""
+def classify(mentions: DataFrame, docs: DataFrame, service: Callable[[list[str]], list[str]] | None = None, lexical: bool = False, limit: int | None = None) -> DataFrame:
+    """``doc_id, entity_id, ticker, stance, stance_confidence, method`` of mentions in ``docs`` (``doc_id, text``).
+    With ``limit`` only so many mentions with a text are asked about, by document and place."""
     if service is None and not lexical:
         raise ValueError("no classifier given; ask for lexical=True to get the floor")
     m = mentions.join(docs.select("doc_id", "text"), "doc_id").withColumn("marked", mark_span(F.col("text"), F.col("span_start"), F.col("span_end")))
+    if limit is not None:
+        m = m.where("text <> ''").orderBy("doc_id", "span_start", "entity_id").limit(limit)
     if service is None:
         return m.select("doc_id", "entity_id", "ticker", lexical_stance(F.col("text")).alias("s"), F.lit("lexical").alias("method")).select("doc_id", "entity_id", "ticker", "s.*", "method")
 

@@ -85,14 +85,19 @@ def write_json_document(df: DataFrame, path: str) -> None:
     df.coalesce(1).select(F.to_json(F.struct(*df.columns)).alias("value")).write.mode("overwrite").text(path)
 
 
-def read_price_folder(spark: SparkSession, folder: str) -> DataFrame:
-    """``symbol, date, adj_close, dollar_volume`` of a folder with one JSON array per symbol, named by it.
+def price_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """``symbol, date, adj_close, close, volume`` of a folder with one JSON array per symbol, named by it.
 
-    Rows without adjusted close are dropped; null close and volume count as 0."""
+    Rows without adjusted close are dropped."""
     raw = spark.read.schema(PRICES).option("multiLine", True).json(f"{folder.rstrip('/')}/*.json")
     name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.json$", 1)
+    return raw.where("adj_close is not null").select(name.alias("symbol"), "date", "adj_close", "close", "volume")
+
+
+def read_price_folder(spark: SparkSession, folder: str) -> DataFrame:
+    """``symbol, date, adj_close, dollar_volume`` of such a folder; null close and volume count as 0."""
     zero = F.lit(0.0)
-    return raw.where("adj_close is not null").select(name.alias("symbol"), "date", "adj_close", (F.coalesce("close", zero) * F.coalesce("volume", zero)).alias("dollar_volume"))
+    return price_rows(spark, folder).select("symbol", "date", "adj_close", (F.coalesce("close", zero) * F.coalesce("volume", zero)).alias("dollar_volume"))
 
 
 def read_zipped(spark: SparkSession, path: str, member: str = "") -> DataFrame:
@@ -147,18 +152,29 @@ def html_table(spark: SparkSession, path: str, css_class: str = "wikitable") ->
     return page.select(F.posexplode(table_rows(F.col("value"), css_class)).alias("row_no", "cells"))
 
 
+#: Rows of a report, which are read by the driver.
+MOST_ROWS = 100_000
+
+
+def _all_rows(results: DataFrame) -> list:
+    rows = results.limit(MOST_ROWS + 1).collect()
+    if len(rows) > MOST_ROWS:
+        raise ValueError(f"a report of more than {MOST_ROWS} rows")
+    return rows
+
+
 def report(results: DataFrame, title: str) -> str:
-    """A Markdown table of a small result (at most 1,000 rows are read)."""
-    rows = results.limit(1000).collect()
+    """A Markdown table of a small result; one of more than MOST_ROWS rows is refused."""
+    rows = _all_rows(results)
     show = lambda v: "" if v is None else f"{v:.4g}" if isinstance(v, float) else str(v)
     head = f"# {title}\n\n| {' | '.join(results.columns)} |\n|{'---|' * len(results.columns)}\n"
     return head + "".join(f"| {' | '.join(show(v) for v in r)} |\n" for r in rows)
 
 
 def results_json(results: DataFrame, keys: list[str]) -> str:
-    """Tidy results as nested JSON; values that are no numbers in JSON come out as null."""
+    """Tidy results (at most MOST_ROWS rows, more are refused) as nested JSON; values that are no numbers in JSON come out as null."""
     tree: dict = {}
-    for r in results.limit(100_000).toLocalIterator():
+    for r in _all_rows(results):
         at = tree
         for k in keys[:-1]:
             at = at.setdefault(str(r[k]), {})

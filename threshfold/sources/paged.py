@@ -6,7 +6,7 @@ window grows. Offsets are times, so a restarted stream goes on where it stopped;
 page's border are read again and left to the deduplication by identifier.
 
 ``format("paged").option("service", "file").option("path", ...)`` reads newline JSON files as if they
-were the service, for tests and offline runs; other services are registered in ``SERVICES``.
+were the service, for tests and offline runs (on a cluster the path is one that all executors mount); other services are registered in ``SERVICES``.
 """
 
 from __future__ import annotations
@@ -73,6 +73,23 @@ class FileService:
 SERVICES: dict[str, Callable[[dict], object]] = {"file": lambda o: FileService(o["path"], int(o.get("page", 100)))}
 
 
+class Patient:
+    """A service that is asked again, as :func:`with_backoff` says."""
+
+    def __init__(self, service, base: float = 1.6) -> None:
+        self.service, self.base, self.page = service, base, service.page
+
+    def fetch(self, start: int, end: int) -> list[dict]:
+        return with_backoff(lambda: self.service.fetch(start, end), base=self.base)
+
+
+def gap_log(records):
+    """``gap_from, gap_to`` of the stretches that a read gave up."""
+    from pyspark.sql import functions as F
+
+    return records.where("id is null").select(F.get_json_object("payload", "$.gap_from").cast("long").alias("gap_from"), F.get_json_object("payload", "$.gap_to").cast("long").alias("gap_to"))
+
+
 def walk(service, start: int, end: int, window: int = 86_400, gaps: list | None = None) -> Iterator[dict]:
     """All records of [start, end), each identifier once: adaptive windows, full pages re-read from
     the last second they reached."""
@@ -119,9 +136,12 @@ class _Reader(DataSourceReader):
         return [Slice(x, y) for x, y in zip(cuts, cuts[1:], strict=False) if x < y]
 
     def read(self, part: Slice) -> Iterator[tuple]:
-        service = SERVICES[self.o.get("service", "file")](self.o)
-        for r in walk(service, part.start, part.end):
+        service = Patient(SERVICES[self.o.get("service", "file")](self.o), float(self.o.get("wait", 1.6)))
+        gaps: list[tuple[int, int]] = []
+        for r in walk(service, part.start, part.end, gaps=gaps):
             yield (r["id"], r["created_utc"], json.dumps(r, separators=(",", ":")))
+        for a, z in gaps:  # a stretch that was given up is a row without identifier
+            yield (None, a, json.dumps({"gap_from": a, "gap_to": z}))
 
 
 class _Stream(_Reader, DataSourceStreamReader):
