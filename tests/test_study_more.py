@@ -102,3 +102,18 @@ def test_stance_limit(spark):
     m = spark.createDataFrame([("d1", "e", "T", 0, 2), ("d2", "e", "T", 0, 2), ("d0", "e", "T", 0, 2)], "doc_id string, entity_id string, ticker string, span_start int, span_end int")
     d = spark.createDataFrame([("d1", "cheap"), ("d2", "avoid"), ("d0", "")], "doc_id string, text string")
     assert [(r.doc_id, r.stance) for r in classify.classify(m, d, lexical=True, limit=1).collect()] == [("d1", "bullish")]
+
+
+def test_hot_callers_are_cut_by_time(spark):
+    import random
+
+    rnd = random.Random(3)
+    rows = [(rnd.choice(["hot", "hot", "hot", "b"]), rnd.randrange(4000)) for _ in range(900)] + [(None, 5), ("b", None)]
+    got = R.admissible(spark.createDataFrame(rows, "who string, t long"), {60: 7, 300: 30}, "who", "t").collect()
+    assert len(got) == len(rows)
+    for r in got:
+        if r.who is None or r.t is None:
+            assert r.admissible is None
+        else:
+            held = lambda s: sum(1 for k, t in rows if k == r.who and t is not None and r.t - s < t <= r.t)
+            assert r.admissible == (held(60) <= 7 and held(300) <= 30)

@@ -9,6 +9,13 @@ from pyspark.sql import functions as F
 BULLISH = ("undervalued", "cheap", "buying", "bought", "long ", "accumulating", "great business", "wide moat", "compounder", "bargain", "margin of safety", "load up", "conviction", "adding to")
 BEARISH = ("overvalued", "value trap", "avoid", "selling", "sold", "short ", "bagholder", "dying", "declining", "melting ice", "expensive", "bubble", "red flag", "accounting fraud")
 QUESTION = ("?", "thoughts on", "am i missing", "talk me out", "what do you think", "any thoughts", "opinions on")
+# What text hygiene takes out, in this order, and what it puts there.
+HYGIENE = (
+    (r"(?s)```.*?```|`[^`]*`", " "),
+    (r"\[([^\]]*)\]\([^)]*\)", "$1"),
+    (r"https?://\S+|www\.\S+", " "),
+    (r"(?md)^[ \t]*(?:&gt;|>).*$", " "),
+)
 # Words that company names end with.
 NAME_SUFFIXES = ("corp", "corporation", "inc", "incorporated", "co", "company", "ltd", "limited", "plc", "holdings?", "group", "the", "sa", "nv", "ag", "llc", "lp", "trust", "reit", "class [abc]", "adr", "new", "com")
 
@@ -21,10 +28,10 @@ def document_text(kind: Column, title: Column, selftext: Column, body: Column) -
 
 def clean_text(c: Column) -> Column:
     """Without code, link targets, addresses and quoted lines, in that order; null is empty."""
-    c = F.regexp_replace(F.coalesce(c, F.lit("")), r"(?s)```.*?```|`[^`]*`", " ")
-    c = F.regexp_replace(c, r"\[([^\]]*)\]\([^)]*\)", "$1")
-    c = F.regexp_replace(c, r"https?://\S+|www\.\S+", " ")
-    return F.regexp_replace(c, r"(?md)^[ \t]*(?:&gt;|>).*$", " ")
+    c = F.coalesce(c, F.lit(""))
+    for pattern, by in HYGIENE:
+        c = F.regexp_replace(c, pattern, by)
+    return c
 
 
 def clean_text_sql(c: str) -> str:

@@ -12,14 +12,16 @@ import re
 from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threshfold.functions.text import HYGIENE
 from threshfold.session import spread
 
+#: Most words of a name.
+LONGEST_NAME = 4
 #: Most entries that are sent to the tasks.
 MAX_DICTIONARY = 500_000
 COMMON_RANK = 20_000
@@ -36,21 +38,33 @@ JARGON = tuple(
 PROSE_MARKERS = frozenset("PS PPS NB FYI EDIT TLDR TL IMO IMHO BTW AKA ETA PSA UPDATE NOTE SOURCE RE".split())
 FUND_BRANDS = frozenset({"ishares", "vanguard", "spdr", "invesco", "wisdomtree", "proshares", "direxion", "globalx", "global x", "vaneck", "first trust", "schwab etf"})
 VENDORS = frozenset("MORN FDS MSCI SPGI MCO NDAQ ICE TRI LSEGY CBOE".split())
-# Cues.
-VALUATION = re.compile(
-    r"\b(?:p/?e|p/?b|p/?s|ev/?ebitda?|dcf|fcf|roic|roe|margin|moat|earnings|revenue|dividend|yield|buyback|book value|intrinsic|undervalued|overvalued|valuation|market cap|mkt cap|shares?|stock|position|"
-    r"bought|buying|sold|selling|holding|long|short|price target|balance sheet|cash flow|eps|guidance|multiple|cheap|expensive|value trap|bagger|ticker)\b",
-    re.I,
+# Cue words, in lower case; a slash may be left out.
+VALUATION_WORDS = (
+    "p/e,p/b,p/s,ev/ebitd,ev/ebitda,dcf,fcf,roic,roe,margin,moat,earnings,revenue,dividend,yield,buyback,book value,intrinsic,undervalued,overvalued,valuation,market cap,mkt cap,share,shares,stock,position,"
+    "bought,buying,sold,selling,holding,long,short,price target,balance sheet,cash flow,eps,guidance,multiple,cheap,expensive,value trap,bagger,ticker"
 )
+FRAMING_WORDS = "long,short,own,owning,bought,buying,sell,selling,sold,position,share,shares,stock,valuation,undervalued,overvalued,moat,p/e,market cap,revenue,earnings,margin,dividend,buyback,holding,portfolio"
+# What cites a source, before and behind a name, and what names a venue.
+CITING_BEFORE_WORDS = "according to,as per,source from,sourced from,data from,screenshot from,pulled from,via,courtesy of"
+CITING_AFTER_WORDS = "say,says,said,show,shows,showed,report that,reports that,rate it,rates it,estimate,estimates,screener,terminal,fair value estimate,premium,paywall,.com,.co.uk"
+VENUE_VERBS, VENUE_AT = "listed,trade,trades,trading,traded,quoted,delisted,ipod,ipo'd,available", "on,at,via"
+# Numbers that tell of money, and signs that make capitals a symbol.
 MONEY = re.compile(r"\$\s?\d|\d+\s?[x%]|\b\d+\.\d+\b")
-FRAMING = re.compile(r"\b(?:long|short|own|owning|bought|buying|sell|selling|sold|position|shares?|stock|valuation|undervalued|overvalued|moat|p/?e|market cap|revenue|earnings|margin|dividend|buyback|holding|portfolio)\b", re.I)
 SYMBOL_SYNTAX = re.compile(r"[(\[][A-Z]{1,5}[)\]]|\b[A-Z]{2,5}\s*[:\-–]\s")
-CITING_BEFORE = re.compile(r"\b(?:according to|as per|sourced? from|data from|screenshot from|pulled from|via|courtesy of)\s*$", re.I)
-CITING_AFTER = re.compile(r"\s*(?:says?|said|shows?|showed|reports? that|rates? it|estimates?|screener|terminal|fair value estimate|premium|paywall|\.com|\.co\.uk)\b", re.I)
-VENUE_BEFORE = re.compile(r"(?:listed|trades?|trading|traded|quoted|delisted|ipo'?d|available)\s+(?:on|at|via)\s+(?:the\s+)?$", re.I)
-_CLEANERS = [(re.compile(r"```.*?```|`[^`]*`", re.S), " "), (re.compile(r"\[([^\]]*)\]\([^)]*\)"), r"\1"), (re.compile(r"https?://\S+|www\.\S+"), " "), (re.compile(r"^\s*(?:&gt;|>).*$", re.M), " ")]
+
+
+def any_of(words: str) -> str:
+    """A pattern of any of the words; longer ones first, as the first to match ends the search."""
+    return "(?:" + "|".join(re.escape(w).replace("/", "/?").replace("\\ ", " ") for w in sorted(words.split(","), key=len, reverse=True)) + ")"
+
+
+VALUATION, FRAMING = (re.compile(rf"\b{any_of(w)}\b", re.I) for w in (VALUATION_WORDS, FRAMING_WORDS))
+CITING_BEFORE = re.compile(rf"\b{any_of(CITING_BEFORE_WORDS)}\s*$", re.I)
+CITING_AFTER = re.compile(rf"\s*{any_of(CITING_AFTER_WORDS)}\b", re.I)
+VENUE_BEFORE = re.compile(rf"{any_of(VENUE_VERBS)}\s+{any_of(VENUE_AT)}\s+(?:the\s+)?$", re.I)
+_CLEANERS = [(re.compile(p.replace("(?md)", "(?m)")), r.replace("$1", r"\1")) for p, r in HYGIENE]
 _WORD, _SYMBOL = re.compile(r"[A-Za-z0-9&]+"), re.compile(r"(\$?)\b([A-Z]{1,5})(?:\.([A-Z]))?\b")
-_GAP = re.compile(r"[ \t]*[,/][ \t\n]*|[ \t]*\n[ \t]*|[ \t]+")
+_GAP = re.compile(r"[ \t]*[,/][ \t\n]*|[ \t]*\n[ \t]*|[ \t]+")  # what may stand between the symbols of a list
 
 
 def clean(text: str | None) -> str:
@@ -70,26 +84,31 @@ class Places:
         return i < len(self.at) and self.at[i][1] <= z
 
 
-@dataclass
+def _plain(name: str) -> bool:
+    """Whether a name is words of letters and digits, set apart by blanks and ampersands."""
+    words = re.findall(r"[^ &]+", name)
+    return bool(words) and all(map(str.isalnum, words))
+
+
 class Lexicon:
     """``symbols``: symbol to entity; ``names``: normalised name to entity; ``manual``: names that
-    need no proof; ``ranks``: rank of common words."""
-
-    symbols: dict[str, str]
-    names: dict[str, str]
-    manual: frozenset[str] = frozenset()
-    ranks: dict[str, int] = field(default_factory=dict)
-
-    def __post_init__(self) -> None:
-        self.names = {n: e for n, e in self.names.items() if n in self.manual or (len(n) >= 5 and n.replace(" ", "").replace("&", "").isalnum())}
-        self.longest = min(4, max((n.count(" ") + 1 for n in self.names), default=1))
-        self.symbol_of: dict[str, str] = {}
-        for s, e in self.symbols.items():
-            self.symbol_of.setdefault(e, s)
-        self.near: dict[tuple[str, int], list[str]] = defaultdict(list)
-        for n in self.names:
-            if len(n) >= 7 and n.isalpha():
-                self.near[n[:2], len(n)].append(n)
+    need no proof by length; ``ranks``: rank of common words.
+
+    Three indexes are made of them: by entity its first symbol, by first word the longest name that
+    starts with it, and by either half the single-word names that may be meant with one letter wrong
+    (a wrong letter leaves one half of a name as it is)."""
+
+    def __init__(self, symbols: dict[str, str], names: dict[str, str], manual: frozenset[str] = frozenset(), ranks: dict[str, int] | None = None) -> None:
+        self.symbols, self.manual, self.ranks = symbols, manual, ranks or {}
+        self.names = {n: e for n, e in names.items() if n in manual or len(n) >= 5 and _plain(n)}
+        self.symbol_of = {e: s for s, e in reversed(symbols.items())}
+        words = [n.split(" ") for n in self.names]
+        self.heads = {w[0]: len(w) for w in sorted(words, key=len) if len(w) <= LONGEST_NAME}
+        self.halves: dict[tuple[bool, str], list[str]] = defaultdict(list)
+        for n in (w[0] for w in words if len(w) == 1 and len(w[0]) >= 7 and w[0].isalpha()):
+            self.halves[True, n[: len(n) // 2]].append(n)
+            self.halves[False, n[len(n) // 2 :]].append(n)
+        self._met: dict[str, str | None] = {}
 
     def common(self, word: str) -> bool:
         return self.ranks.get(word, COMMON_RANK + 1) <= COMMON_RANK
@@ -100,13 +119,20 @@ class Lexicon:
     def entity(self, base: str, share_class: str | None) -> str | None:
         return (self.symbols.get(f"{base}-{share_class}") if share_class else None) or self.symbols.get(base)
 
+    def name_at(self, low: list[str], i: int) -> int:
+        """How many words the longest name that starts at a place has; 0 for none."""
+        most = min(self.heads.get(low[i], 0), len(low) - i)
+        return next((k for k in range(most, 0, -1) if " ".join(low[i : i + k]) in self.names), 0)
+
     def close_to(self, word: str) -> str | None:
-        """The first name within one edit that starts alike, shorter ones first."""
-        for size in (len(word) - 1, len(word), len(word) + 1):
-            for n in self.near.get((word[:2], size), ()):
-                if one_edit(word, n):
-                    return n
-        return None
+        """The name within one edit that starts alike: the shortest, then the first by letters."""
+        if word not in self._met:
+            if len(self._met) >= MAX_DICTIONARY:
+                self._met.clear()
+            sizes = {(n // 2, n - n // 2) for n in (len(word) - 1, len(word), len(word) + 1)}
+            near = {n for a, z in sizes for n in (*self.halves.get((True, word[:a]), ()), *self.halves.get((False, word[-z:]), ())) if n[:2] == word[:2] and one_edit(word, n)}
+            self._met[word] = min(near, key=lambda n: (len(n), n), default=None)
+        return self._met[word]
 
 
 def one_edit(a: str, b: str) -> bool:
@@ -129,7 +155,7 @@ class Extractor:
         if not t:
             return []
         self.text = t
-        self.valuation, self.money, self.framing = Places(VALUATION, t), Places(MONEY, t), Places(FRAMING, t)
+        self._cues: dict[str, Places] = {}
         symbols = [(m, m[2], m[2] + (f"-{m[3]}" if m[3] else ""), self.lex.entity(m[2], m[3])) for m in _SYMBOL.finditer(t)]
         hits = [self._hit(e, sym, "cashtag", 0.97, m.start(), m.end(), ["cashtag"]) for m, _, sym, e in symbols if m[1] and e]
         names = list(self._names())
@@ -141,6 +167,12 @@ class Extractor:
                 hits.append(h)
         return merge_spans(hits)
 
+    def cue(self, name: str) -> Places:
+        """The places of a cue in the text at hand, looked for when they are first asked for."""
+        if name not in self._cues:
+            self._cues[name] = Places({"valuation": VALUATION, "money": MONEY, "framing": FRAMING}[name], self.text)
+        return self._cues[name]
+
     @staticmethod
     def _hit(entity: str, symbol: str, channel: str, conf: float, a: int, z: int, evidence: list[str]) -> dict:
         return {"entity_id": entity, "ticker": symbol, "channel": channel, "confidence": conf, "start": a, "end": z, "evidence": evidence}
@@ -148,22 +180,25 @@ class Extractor:
     def _cited(self, a: int, z: int) -> bool:
         return bool(CITING_BEFORE.search(self.text[max(0, a - 40) : a]) or CITING_AFTER.match(self.text[z : z + 40]))
 
+    def _valued(self, a: int, z: int) -> bool:
+        return self.cue("valuation").within(max(0, a - RADIUS), z + RADIUS)
+
     def _names(self) -> Iterator[dict]:
         lex, t = self.lex, self.text
         words = list(_WORD.finditer(t))
         low = [w[0].lower() for w in words]
         i = 0
         while i < len(words):
-            k = next((k for k in range(min(lex.longest, len(words) - i), 0, -1) if " ".join(low[i : i + k]) in lex.names), 0)
-            a, z = words[i].start(), words[i + max(k, 1) - 1].end()
-            near = self.valuation.within(max(0, a - RADIUS), z + RADIUS)
+            k = lex.name_at(low, i) if low[i] in lex.heads else 0
             if not k:
                 w = words[i][0]
-                if len(w) >= 7 and w[0].isupper() and w.isalpha() and not lex.common(low[i]) and near and (n := lex.close_to(low[i])):
+                if len(w) >= 7 and w[0].isupper() and w.isalpha() and not lex.common(low[i]) and (n := lex.close_to(low[i])) and self._valued(*words[i].span()):
+                    a, z = words[i].span()
                     e = lex.names[n]
                     yield self._hit(e, lex.symbol_of.get(e, ""), "name", 0.78, a, z, ["company_name", "fuzzy"])
                 i += 1
                 continue
+            a, z = words[i].start(), words[i + k - 1].end()
             name = " ".join(low[i : i + k])
             i += k
             e = lex.names[name]
@@ -171,12 +206,12 @@ class Extractor:
             if t[a:z].lower() in FUND_BRANDS:
                 continue
             conf, evidence = 0.90, ["company_name"]
-            if sym in VENDORS and (VENUE_BEFORE.search(t[max(0, a - 40) : a]) or not self.framing.within(max(0, a - 60), z + 60)):
+            if sym in VENDORS and (VENUE_BEFORE.search(t[max(0, a - 40) : a]) or not self.cue("framing").within(max(0, a - 60), z + 60)):
                 conf, evidence = 0.50, [*evidence, "vendor_citation"]
             elif self._cited(a, z):
                 conf, evidence = 0.55, [*evidence, "citation_context"]
             elif k == 1 and name not in lex.manual and lex.common(name):
-                if not t[a].isupper() or not near:
+                if not t[a].isupper() or not self._valued(a, z):
                     continue
                 conf, evidence = 0.75, [*evidence, "capitalised+valuation"]
             yield self._hit(e, sym, "name", conf, a, z, evidence)
@@ -206,9 +241,9 @@ class Extractor:
         syntax = base not in PROSE_MARKERS and bool(SYMBOL_SYNTAX.search(self.text[max(0, a - 2) : z + 3]))
         near = (max(0, a - RADIUS), z + RADIUS)
         strong = [n for n, ok in (("name_in_doc", named), ("cashtag_in_doc", tagged), ("symbol_syntax", syntax), ("ticker_list", listed)) if ok]
-        evidence = strong + [n for n, ok in (("valuation_language", self.valuation.within(*near)), ("numeric_context", self.money.within(*near))) if ok]
+        evidence = strong + [n for n, ok in (("valuation_language", self.cue("valuation").within(*near)), ("numeric_context", self.cue("money").within(*near))) if ok]
         hit = lambda c, *more: self._hit(e, sym, "bare", c, a, z, [*evidence, *more])
-        if sym in VENDORS and not listed and not self.framing.within(max(0, a - 60), z + 60):
+        if sym in VENDORS and not listed and not self.cue("framing").within(max(0, a - 60), z + 60):
             return hit(0.50, "vendor_citation")
         if self._cited(a, z):
             return hit(0.55, "citation_context")
@@ -275,10 +310,11 @@ def extract_mentions(docs: DataFrame, lex: Lexicon) -> DataFrame:
         ex = Extractor(lex)
         for b in batches:
             rows = []
-            for r in b.to_dict("records"):
-                hits = ex.mentions(r["text"])
+            found = [(i, h) for i, t in enumerate(b["text"]) if (h := ex.mentions(t))]  # only documents with a mention become records
+            records = b.iloc[[i for i, _ in found]].to_dict("records")
+            for r, (_, hits) in zip(records, found, strict=True):
                 seen = Counter(h["entity_id"] for h in hits)
-                top = max(seen, key=seen.get) if seen else None  # the first of equals: hits are in order of place
+                top = max(seen, key=seen.get)  # the first of equals: hits are in order of place
                 title = len(clean(r["title"])) if r["doc_type"] == "post" and r["title"] else 0
                 rows += [(*(r[c] for c in _KEEP), h["entity_id"], h["ticker"], h["channel"], round(h["confidence"], 3), h["start"], h["end"], h["evidence"], h["start"] < title, h["entity_id"] == top, len(seen)) for h in hits]
             out = pd.DataFrame(rows, columns=[c.split()[0] for c in MENTION.split(", ")])

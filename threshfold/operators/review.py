@@ -51,6 +51,16 @@ def stratified_sample(rows: DataFrame, stratum: str, key: str, n: int, seed: int
     return ranked.where(F.col("__r") <= quota).orderBy(*order).limit(n).drop("__p", "__r", "__c")
 
 
+def first_examples(rows: DataFrame, group: str, values: tuple[str, ...], n: int, *order: str) -> DataFrame:
+    """The first ``n`` rows of each named group in an order, with their ``place``: a top-n per group, so that no
+    task sorts a group."""
+    out = None
+    for v in values:
+        top = rows.where(F.col(group) == v).orderBy(*order).limit(n)
+        out = top if out is None else out.unionByName(top)
+    return out.withColumn("place", F.row_number().over(W.partitionBy(group).orderBy(*order)))
+
+
 def flat_label_text(c: Column, most: int = 4000) -> Column:
     """Text for a label sheet: tabs and returns as blanks, newlines as a sign, cut at ``most``."""
     t = F.regexp_replace(F.regexp_replace(c, "[\\t\\r]", " "), "\\n", " ⏎ ")
@@ -59,14 +69,22 @@ def flat_label_text(c: Column, most: int = 4000) -> Column:
 
 def admissible(calls: DataFrame, limits: dict[int, int], key: str, at: str) -> DataFrame:
     """``calls`` with ``admissible``: whether, of all calls as they came, no window of any limit
-    (seconds to most calls) that ends with this one held more than it may. ``at``: epoch seconds."""
-    out = calls
+    (seconds to most calls) that ends with this one held more than it may. ``at``: epoch seconds; null where
+    key or time is.
+
+    Calls are first counted by second. A key is cut into slabs of time, and the seconds that the longest window
+    reaches back over are in the next slab as well, so a caller with a third of all calls is many windows."""
+    longest = max(limits)
+    slab = 4 * longest
+    per = calls.where(F.col(key).isNotNull() & F.col(at).isNotNull()).groupBy(F.col(key).alias("__k"), F.col(at).cast("long").alias("__t")).agg(F.count(F.lit(1)).alias("__c"))
+    own = F.floor(F.col("__t") / slab)
+    reach = F.floor((F.col("__t") + longest - 1) / slab)
+    cut = per.withColumn("__s", F.explode(F.sequence(own, reach))).withColumn("__own", F.col("__s") == own)
     ok = F.lit(True)
-    for i, (seconds, most) in enumerate(sorted(limits.items())):
-        w = W.partitionBy(key).orderBy(at).rangeBetween(-(seconds - 1), 0)
-        out = out.withColumn(f"__n{i}", F.count(F.lit(1)).over(w))
-        ok = ok & (F.col(f"__n{i}") <= most)
-    return out.withColumn("admissible", ok).drop(*[f"__n{i}" for i in range(len(limits))])
+    for seconds, most in limits.items():
+        ok = ok & (F.sum("__c").over(W.partitionBy("__k", "__s").orderBy("__t").rangeBetween(-(seconds - 1), 0)) <= most)
+    got = cut.withColumn("admissible", ok).where("__own").select("__k", "__t", "admissible")
+    return calls.join(got, (calls[key] == got["__k"]) & (calls[at].cast("long") == got["__t"]), "left").drop("__k", "__t")
 
 
 def symbol_budget(claims: DataFrame, most: int, period: Column, symbol: str, at: str) -> DataFrame:

@@ -960,7 +960,5 @@ def score_trust(spark, d):
 @query(f"WITH {_LABEL}, x AS (SELECT coalesce(g.item_id, p.item_id) AS item_id, coalesce(g.ticker, p.ticker) AS ticker, CASE WHEN p.item_id IS NULL THEN 'fn' ELSE 'fp' END AS outcome FROM g FULL JOIN p ON p.item_id = g.item_id AND p.ticker = g.ticker WHERE g.item_id IS NULL OR p.item_id IS NULL) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY outcome ORDER BY item_id, ticker) AS place FROM x) WHERE place <= 15")
 def error_examples(spark, d):
     """T4: the first 15 misses and the first 15 false finds."""
-    from pyspark.sql import Window as W
-
-    x = _compared(spark, d).where("outcome <> 'tp'")
-    return x.withColumn("place", F.row_number().over(W.partitionBy("outcome").orderBy("item_id", "ticker"))).where("place <= 15").select("item_id", "ticker", "outcome", F.col("place").cast("long").alias("place"))
+    x = R.first_examples(_compared(spark, d), "outcome", ("fn", "fp"), 15, "item_id", "ticker")
+    return x.select("item_id", "ticker", "outcome", F.col("place").cast("long").alias("place"))

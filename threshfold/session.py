@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -54,7 +56,7 @@ def input_bytes(df: DataFrame) -> int:
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``, which all executors share.
 
-    Where it is unset (tests, one machine) a temporary folder is made and set; on a cluster
+    Where it is unset (tests, one machine) a temporary folder is made, set and removed at the end; on a cluster
     (any master but ``local``) an unset folder is an error, as a machine's own folder would
     not be visible to the other executors.
     """
@@ -62,7 +64,9 @@ def shared_folder(spark: SparkSession) -> str:
     if now is None:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        now = "file://" + tempfile.mkdtemp(prefix="threshfold-")
+        made = tempfile.mkdtemp(prefix="threshfold-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+        now = "file://" + made
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(now)
     return now.rstrip("/")
