@@ -40,3 +40,26 @@ def test_all_pairs_and_cells(spark):
 def test_no_rows(spark):
     none = cells(spark, [])
     assert P.cell_counts(none, GROUPS).count() == 0 and P.pair_counts(none, GROUPS, [("channel", "day")]).count() == 0
+
+
+def sets(spark, data):
+    return P.space(spark.createDataFrame(data, SCHEMA), {"author": ("[deleted]",)}, {"channel": F.col("channel"), "day": F.col("day")})
+
+
+def test_one_space_answers_groups_and_mixed_combinations(spark):
+    data = [*rows(6), ("nowhere", None, None, 1, "x")]
+    t = P.space_totals(sets(spark, data), ["channel", "day"])
+    groups = {"channel": F.col("channel"), "day": F.col("day")}
+    got = {(r.dimension, r.grp): r.n_distinct for r in P.space_counts(t, groups).collect()}
+    assert got == {("channel", c): truth(data, 1, [c])[0] for c in "abc"} | {("day", str(d)): truth(data, 2, [str(d)])[0] for d in range(5)}
+    combos = [("a3", "any|author", ["channel=a", "day=3"]), ("ab0", "any|author", ["channel=a", "channel=b", "day=0"]), ("none", "any|author", ["day=9"])]
+    got = {r.combo: (r.n_any, r.n_all, r.n_only) for r in P.combination_counts(P.space_patterns(t, "any", groups), spark.createDataFrame(combos, "combo string, dimension string, grps array<string>")).collect()}
+    assert got == {c: truth(both(data), 1, g) for c, _, g in combos}
+
+
+def test_partial_spaces_merge(spark):
+    a, b = rows(7), rows(8)
+    want = sorted(map(str, sets(spark, a + b).collect()))
+    one, two = sets(spark, a), sets(spark, b)
+    assert sorted(map(str, P.merge_spaces(["channel", "day"], two, one, one).collect())) == want
+    assert P.space_totals(sets(spark, []), ["channel", "day"]).count() == 0

@@ -9,6 +9,12 @@ once): two partial tables are united and made distinct again, in any order and a
 times. Pattern totals of *disjoint* identifier sets (hash parts of the identifiers) add up as
 they are: see :func:`merge_totals`.
 
+One pattern space: :func:`space` reduces all identifiers of a table, of several kinds, in one pass to
+the groups of all dimensions that hold them; :func:`space_totals` counts identical patterns over all
+dimensions, and :func:`space_counts` and :func:`space_patterns` (with :func:`combination_counts`) answer
+groups and combinations of any dimensions from these totals alone. Partial spaces merge
+(:func:`merge_spaces`); totals of disjoint identifiers add up.
+
 Combinations across dimensions: :func:`across` puts the groups of several dimensions into one
 pattern for :func:`combination_counts`; :func:`cells` keeps for every identifier in which
 combinations of fields it occurs in one row, from which :func:`cell_counts` counts groups of
@@ -140,3 +146,45 @@ def pair_counts(cells: DataFrame, groups: dict, pairs: list[tuple[str, str]]) ->
     return a.join(b, "dimension").join(both, ["dimension", "one", "other"], "left").select(
         "dimension", "one", "other", (F.col("n_a") + F.col("n_b") - all_).alias("n_any"), all_.alias("n_all"), (F.coalesce("n_only", F.lit(0).cast("long")) + F.col("only_a") + F.col("only_b")).alias("n_only")
     )
+
+
+# --- one pattern space over all dimensions ---------------------------------------------------
+
+
+def space(df: DataFrame, identifiers: dict[str, tuple[str, ...]], groups: dict[str, Column]) -> DataFrame:
+    """``counted, identifier`` and for each dimension the sorted set of groups that hold the identifier.
+
+    ``identifiers``: columns to count, with values that are none; nulls are none either, and null groups
+    hold nobody. One read for all kinds of identifiers; sets combine on the map side and are
+    bounded by the number of groups."""
+    who = F.explode(F.array(*[F.struct(F.lit(k).alias("counted"), F.when(~F.col(k).isin(*v), F.col(k)).otherwise(F.lit(None)).cast("string").alias("identifier")) if v else F.struct(F.lit(k).alias("counted"), F.col(k).cast("string").alias("identifier")) for k, v in identifiers.items()])).alias("w")
+    rows = df.select(who, *[g.alias(n) for n, g in groups.items()]).select("w.*", *groups).where("identifier is not null")
+    return rows.groupBy("counted", "identifier").agg(*[F.array_sort(F.collect_set(n)).alias(n) for n in groups])
+
+
+def merge_spaces(dimensions: list[str], *parts: DataFrame) -> DataFrame:
+    """Partial spaces as one: the union of each identifier's sets."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.groupBy("counted", "identifier").agg(*[F.array_sort(F.array_distinct(F.flatten(F.collect_list(n)))).alias(n) for n in dimensions])
+
+
+def space_totals(one: DataFrame, dimensions: list[str]) -> DataFrame:
+    """``counted``, the sets of all dimensions, and ``n``: how many identifiers have exactly these."""
+    return one.groupBy("counted", *dimensions).agg(F.count(F.lit(1)).alias("n"))
+
+
+def space_counts(totals: DataFrame, groups: dict[str, Column]) -> DataFrame:
+    """``counted, dimension, grp, n_distinct``; ``groups`` has an array of groups for each dimension, a set of the
+    totals or something made of one (the months of a set of days)."""
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("dimension"), F.array_distinct(g).cast("array<string>").alias("grps")) for n, g in groups.items()])).alias("d")
+    return totals.select("counted", "n", each).select("counted", "n", "d.dimension", F.explode("d.grps").alias("grp")).groupBy("counted", "dimension", "grp").agg(F.sum("n").alias("n_distinct"))
+
+
+def space_patterns(totals: DataFrame, name: str, groups: dict[str, Column]) -> DataFrame:
+    """Pattern totals (``dimension, pattern, n``) over some dimensions at once, under one dimension
+    ``name|counted``; a group is written ``dimension=group``. For :func:`combination_counts`."""
+    named = lambda n: lambda x: F.concat(F.lit(n + "="), x)
+    sets = [F.transform(F.array_distinct(g).cast("array<string>"), named(n)) for n, g in groups.items()]
+    return totals.select(F.concat(F.lit(name + "|"), "counted").alias("dimension"), F.concat(*sets).alias("pattern"), "n").groupBy("dimension", "pattern").agg(F.sum("n").alias("n"))

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threshfold.functions.symbols import symbol_key, symbol_key_sql
 from threshfold.llm.leakage import leaks
 from threshfold.llm.nearest import nearest_join, seconds_of
 from threshfold.llm.packing import containers, fill_report
-from threshfold.llm.patterns import ERROR_BOUND, cell_counts, cells, combination_counts, group_counts, memberships, pair_counts, pattern_totals
+from threshfold.llm.patterns import ERROR_BOUND, cell_counts, cells, combination_counts, pair_counts, space, space_counts, space_patterns, space_totals
 from threshfold.llm.pii import find_items, redacted
 from threshfold.llm.quality import quality
 from threshfold.session import table
@@ -38,34 +38,54 @@ def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
 # --- 4: distinct counts ----------------------------------------------------------------------
 
 
-def _dims() -> dict:
-    at = F.timestamp_seconds("created_utc")
-    return {"day": F.date_format(at, "yyyy-MM-dd"), "channel": F.col("channel"), "ticker": F.col("ticker"), "month": F.date_format(at, "yyyy-MM"), "channel_month": F.concat_ws("|", "channel", F.date_format(at, "yyyy-MM"))}
+_WHO = {"author": (DELETED,), "entity_id": ()}
+_SETS = ["day", "channel", "ticker", "channel_month"]
+
+
+def _month(day: Column) -> Column:
+    return F.date_format(F.date_from_unix_date(day), "yyyy-MM")
+
 
+def _groups() -> dict[str, Column]:
+    """Groups of every dimension as they come out of the sets of the pattern space."""
+    day = F.transform("day", lambda x: F.date_format(F.date_from_unix_date(x), "yyyy-MM-dd"))
+    return {"day": day, "channel": F.col("channel"), "ticker": F.col("ticker"), "month": F.transform("day", _month), "channel_month": F.col("channel_month")}
 
-def _totals(spark: SparkSession, d: str, who: str) -> DataFrame:
-    m = memberships(table(spark, d, "mentions"), who, _dims(), (DELETED,) if who == "author" else ())
-    if who == "entity_id":
-        m = m.unionByName(memberships(table(spark, d, "panel"), who, {"panel_month": F.col("year_month")}))
-    return pattern_totals(m)
+
+def _space(spark: SparkSession, d: str) -> DataFrame:
+    """The pattern totals of authors and entities over day, channel, ticker (as written), month and channel by month."""
+    day = F.floor(F.col("created_utc") / 86_400).cast("int")
+    month = F.date_format(F.date_from_unix_date(day), "yyyy-MM")
+    m = table(spark, d, "mentions")
+    return space_totals(space(m, _WHO, {"day": day, "channel": F.col("channel"), "ticker": F.col("ticker"), "channel_month": F.concat_ws("|", "channel", month)}), _SETS)
 
 
 def p4_distinct_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct authors and entities of every day, channel, ticker, month and channel by month."""
-    a, e = (group_counts(_totals(spark, d, w)).select(F.lit(w).alias("counted"), "dimension", "grp", "n_distinct", F.lit(ERROR_BOUND).alias("error_bound")) for w in ("author", "entity_id"))
-    return a.unionByName(e)
+    """Distinct authors and entities of every day, channel, ticker, month and channel by month, and entities of
+    every panel month."""
+    p = space(table(spark, d, "panel"), {"entity_id": ()}, {"panel_month": F.col("year_month")})
+    out = space_counts(_space(spark, d), _groups()).unionByName(space_counts(space_totals(p, ["panel_month"]), {"panel_month": F.col("panel_month")}))
+    return out.withColumn("error_bound", F.lit(ERROR_BOUND)).select("counted", "dimension", "grp", "n_distinct", "error_bound")
 
 
-def _combinations(spark: SparkSession, d: str, who: str) -> DataFrame:
-    totals = _totals(spark, d, who).where("dimension in ('channel', 'month')")
+def _stated(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Channels (``channel, all``: with the list of all, as many entries as there are channels), and months with
+    the month after each (``m, after``)."""
     m = table(spark, d, "mentions")
-    known = m.agg(F.array_sort(F.collect_set("channel")).alias("all"))  # as many entries as there are channels
-    pairs = known.select(F.posexplode("all").alias("i", "channel"), "all").select("channel", F.explode(F.slice("all", F.col("i") + 2, F.size("all"))).alias("other"))
-    pairs = pairs.select(F.concat_ws("+", "channel", "other").alias("combo"), F.lit("channel").alias("dimension"), F.array("channel", "other").alias("grps"))
+    known = m.agg(F.array_sort(F.collect_set("channel")).alias("all"))
     month = m.where("created_utc is not null").select(F.date_format(F.timestamp_seconds("created_utc"), "yyyy-MM").alias("m")).distinct()
-    after = F.date_format(F.add_months(F.to_date(F.concat("m", F.lit("-01"))), 1), "yyyy-MM")
-    months = month.select(F.concat_ws("+", "m", after).alias("combo"), F.lit("month").alias("dimension"), F.array(F.col("m"), after).alias("grps"))
-    return combination_counts(totals, pairs.unionByName(months))
+    return known, month.select("m", F.date_format(F.add_months(F.to_date(F.concat("m", F.lit("-01"))), 1), "yyyy-MM").alias("after"))
+
+
+def _combinations(spark: SparkSession, d: str, who: str) -> DataFrame:
+    t = _space(spark, d).where(F.col("counted") == who)
+    known, months = _stated(spark, d)
+    of = lambda n, *g: F.array(*[F.concat(F.lit(n + "="), x) for x in g])
+    pairs = known.select(F.posexplode("all").alias("i", "channel"), "all").select("channel", F.explode(F.slice("all", F.col("i") + 2, F.size("all"))).alias("other"))
+    pairs = pairs.select(F.concat_ws("+", "channel", "other").alias("combo"), F.lit(f"channel|{who}").alias("dimension"), of("channel", F.col("channel"), F.col("other")).alias("grps"))
+    months = months.select(F.concat_ws("+", "m", "after").alias("combo"), F.lit(f"month|{who}").alias("dimension"), of("month", F.col("m"), F.col("after")).alias("grps"))
+    totals = space_patterns(t, "channel", {"channel": _groups()["channel"]}).unionByName(space_patterns(t, "month", {"month": _groups()["month"]}))
+    return combination_counts(totals, pairs.unionByName(months)).withColumn("dimension", F.split("dimension", "[|]")[0])
 
 
 def p4_combinations(spark: SparkSession, d: str) -> DataFrame:
@@ -73,6 +93,16 @@ def p4_combinations(spark: SparkSession, d: str) -> DataFrame:
     return _combinations(spark, d, "author")
 
 
+def p4_mixed_combinations(spark: SparkSession, d: str) -> DataFrame:
+    """Authors and entities in any, all or only of three groups of two dimensions: every channel with every month
+    and the month after it."""
+    known, months = _stated(spark, d)
+    each = months.withColumn("k", F.lit(1)).join(F.broadcast(known.withColumn("k", F.lit(1))), "k").select("m", "after", F.explode("all").alias("channel"))
+    each = each.select(F.explode(F.array(*[F.lit(f"mixed|{w}") for w in _WHO])).alias("dimension"), F.concat_ws("+", "channel", "m", "after").alias("combo"), F.array(F.concat(F.lit("channel="), "channel"), F.concat(F.lit("month="), "m"), F.concat(F.lit("month="), "after")).alias("grps"))
+    got = combination_counts(space_patterns(_space(spark, d), "mixed", {n: g for n, g in _groups().items() if n in ("channel", "month")}), each)
+    return got.select(F.split("dimension", "[|]")[1].alias("counted"), "combo", "n_any", "n_all", "n_only")
+
+
 def _cells(spark: SparkSession, d: str, who: str, only: tuple[str, ...] = ("day", "channel", "ticker")) -> DataFrame:
     at = F.timestamp_seconds("created_utc")
     fields = {"day": F.date_format(at, "yyyy-MM-dd"), "channel": F.col("channel"), "ticker": symbol_key("ticker")}
@@ -122,6 +152,14 @@ s AS (SELECT author, dimension, count(*) AS k FROM g GROUP BY 1, 2)
 SELECT c.combo, c.dimension, count(h.author) AS n_any, CAST(count(CASE WHEN h.k = 2 THEN 1 END) AS BIGINT) AS n_all, CAST(count(CASE WHEN h.k = s.k THEN 1 END) AS BIGINT) AS n_only
 FROM c LEFT JOIN h ON h.combo = c.combo AND h.dimension = c.dimension LEFT JOIN s ON s.author = h.author AND s.dimension = h.dimension GROUP BY 1, 2"""
 
+_P4_MIXED = f"""WITH m AS (SELECT author, entity_id, channel, {_P4_DIMS['month']} AS month FROM mentions),
+g AS ({" UNION ".join(f"SELECT '{w}' AS counted, {w} AS who, '{n}=' || {n} AS k FROM m WHERE {w} IS NOT NULL AND {w} <> '[deleted]' AND {n} IS NOT NULL" for w in ("author", "entity_id") for n in ("channel", "month"))}),
+c AS (SELECT DISTINCT x.channel || '+' || y.month || '+' || strftime(CAST(y.month || '-01' AS DATE) + INTERVAL 1 MONTH, '%Y-%m') AS combo, x.channel, y.month, strftime(CAST(y.month || '-01' AS DATE) + INTERVAL 1 MONTH, '%Y-%m') AS after
+ FROM (SELECT DISTINCT channel FROM m WHERE channel IS NOT NULL) x, (SELECT DISTINCT month FROM m WHERE month IS NOT NULL) y),
+k AS (SELECT combo, unnest(['channel=' || channel, 'month=' || month, 'month=' || after]) AS k FROM c), h AS (SELECT k.combo, g.counted, g.who, count(*) AS n FROM k JOIN g ON g.k = k.k GROUP BY ALL), s AS (SELECT counted, who, count(*) AS n FROM g GROUP BY ALL)
+SELECT w.counted, c.combo, count(h.who) AS n_any, CAST(count(CASE WHEN h.n = 3 THEN 1 END) AS BIGINT) AS n_all, CAST(count(CASE WHEN h.n = s.n THEN 1 END) AS BIGINT) AS n_only
+FROM c CROSS JOIN (VALUES ('author'), ('entity_id')) w(counted) LEFT JOIN h ON h.combo = c.combo AND h.counted = w.counted LEFT JOIN s ON s.counted = h.counted AND s.who = h.who GROUP BY 1, 2"""
+
 _P4_WHO = {"author": "author IS NOT NULL AND author <> '[deleted]'", "entity_id": "entity_id IS NOT NULL"}
 _P4_CELL = _P4_DIMS | {"ticker": symbol_key_sql("ticker")}
 _P4_TICKER = " UNION ALL ".join(
@@ -212,12 +250,13 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, round(coalesce(list_sum(list_t
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_redacted, p4_distinct_counts, p4_combinations, p4_ticker_counts, p4_cross_counts, p4_cross_combinations, p5_found, p5_nearest, p7_containers, p7_fill, p8_found, p8_leaks, p9_found, p9_quality, p9_counts)
+    for f in (p1_found, p1_redacted, p4_distinct_counts, p4_combinations, p4_mixed_combinations, p4_ticker_counts, p4_cross_counts, p4_cross_combinations, p5_found, p5_nearest, p7_containers, p7_fill, p8_found, p8_leaks, p9_found, p9_quality, p9_counts)
 }
 SQL = {
     "p9_counts": _P9,
     "p4_distinct_counts": _P4,
     "p4_combinations": _P4_COMBO,
+    "p4_mixed_combinations": _P4_MIXED,
     "p4_ticker_counts": _P4_TICKER,
     "p4_cross_counts": _P4_CROSS,
     "p4_cross_combinations": _P4_CROSS_COMBO,
