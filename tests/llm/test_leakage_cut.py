@@ -24,3 +24,10 @@ def test_words_of_a_long_leak_are_all_counted():
     item = [f"w{i}" for i in range(3000)]
     doc = [w for k, w in enumerate(item) if k % 50 != 49]  # every fiftieth word dropped
     assert scan(" ".join(["x"] * 40 + doc), " ".join(item)) == [(7, len(doc))]
+
+
+def test_batches_are_read_in_slices(monkeypatch):
+    b = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(["a" * n for n in (5, 30, 3, 3, 4, 11)])], ["doc_id", "text"])
+    monkeypatch.setattr(L, "SLICE_BYTES", 10)
+    assert [s.column("doc_id").to_pylist() for s in L._sliced(b)] == [[0], [1], [2, 3, 4], [5]]
+    assert list(L._sliced(b.slice(0, 0))) == []

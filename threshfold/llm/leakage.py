@@ -53,6 +53,8 @@ STEP, SHIFT, BESIDE = 40, 16, 24
 #: Scores of an alignment: a match is worth two edits and a little more, so that a stretch goes on over two of them.
 MATCH, EDIT = 5, 2
 BLOCK_WORDS = 1_000_000
+#: Bytes of text whose words are looked at together.
+SLICE_BYTES = 16_000_000
 #: Pairs of shingles, and cells of alignments, that are looked at together.
 AT_ONCE = 4_000_000
 LEAK = "doc_id long, item_id long, n_words long"
@@ -150,6 +152,15 @@ def _lists(values: np.ndarray, of: np.ndarray, rows: np.ndarray, kind: pa.DataTy
     return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(values, kind))
 
 
+def _sliced(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of at most SLICE_BYTES of text, or of one text."""
+    ends, a = np.cumsum(pc.binary_length(b.column("text")).to_numpy(zero_copy_only=False)), 0
+    while a < b.num_rows:
+        z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + SLICE_BYTES, "right")))
+        yield b.slice(a, z - a)
+        a = z
+
+
 def postings(block: Block):
     """A map over documents: those that may hold a leak, with the places of the block's shingles and
     the words around them; at the end one row that counts the documents of each shingle."""
@@ -157,7 +168,7 @@ def postings(block: Block):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, none = np.zeros(len(block.shingle), np.int64), pa.scalar(None, pa.list_(pa.int32()))
         names = ["doc_id", "pos", "shingle", "at", "word", "counted", "n"]
-        for b in batches:
+        for b in (part for whole in batches for part in _sliced(whole)):
             flat, of = words_of(b.column("text").cast(pa.string()))
             word = pc.fill_null(pc.index_in(flat, value_set=block.vocabulary), -1).to_numpy(zero_copy_only=False).astype(np.int64)
             h, at, _ = shingles(word, of)
