@@ -31,3 +31,9 @@ def test_batches_are_read_in_slices(monkeypatch):
     monkeypatch.setattr(L, "SLICE_BYTES", 10)
     assert [s.column("doc_id").to_pylist() for s in L._sliced(b)] == [[0], [1], [2, 3, 4], [5]]
     assert list(L._sliced(b.slice(0, 0))) == []
+
+
+def test_a_stock_phrase_alone_covers_too_little():
+    item = [f"w{i}" for i in range(40)]
+    assert scan(" ".join([*["x"] * 30, *item[5:17], *["y"] * 30]), " ".join(item)) == []
+    assert scan(" ".join([*["x"] * 30, *item[5:13], *["y"] * 30]), " ".join(item)) == []

@@ -432,7 +432,9 @@ def verify(block: Block, size: list[int], pos: list[np.ndarray], sh: list[np.nda
     covered = _distinct(np.repeat(pair, 4), (pi[:, None] + KEPT[kind]).ravel(), len(pairs))
     ok = ((covered >= MIN_COVER) & (_distinct(pair, ps, len(pairs)) >= MIN_SHARED))[pair]
     pair, pd_, pi, ps, chain = pair[ok], pd_[ok], pi[ok], ps[ok], chain[ok]
-    cut = np.flatnonzero(np.concatenate([[True], chain[1:] != chain[:-1]])) if len(chain) else np.zeros(0, np.int64)
+    if not len(pair):
+        return []
+    cut = np.flatnonzero(np.concatenate([[True], chain[1:] != chain[:-1]]))
     item, of = pairs % len(block.ids), pairs // len(block.ids)
     chains = [Chain(int(p := pair[a]), pd_[a:z], pi[a:z], ps[a:z], (0, 0), (size[of[p]], int(block.size(item[p])))) for a, z in zip(cut, [*cut[1:], len(chain)], strict=True)]
     found = _stretches(block, item, chains, [at[k] for k in of], [word[k] for k in of])
