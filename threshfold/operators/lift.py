@@ -296,3 +296,38 @@ def index_shares(rows: DataFrame, members: DataFrame, key: str = "ticker", day:
     share = lambda c: F.coalesce(F.avg(c.cast("double")), F.lit(0.0))
     sure = F.coalesce(F.col("in_index"), F.lit(False))
     return t.agg(share(sure).alias("confirmed_in"), share(~sure).alias("novelty_upper_bound"), share(F.col("in_index").isNull()).alias("membership_unknown"))
+
+
+def group_outcomes(rows: DataFrame) -> DataFrame:
+    """``grp, n, median_return, survived_share``: what the lift table says of the groups as a whole."""
+    return rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.median("forward_return").alias("median_return"), F.avg(F.coalesce("survived_full_horizon", F.lit(False)).cast("double")).alias("survived_share"))
+
+
+def trimmed_support(rows: DataFrame, least: float = 0.01) -> DataFrame:
+    """One row: the share of treated names without controls of their size, how many strata hold both groups, and
+    whether that share is large enough (over ``least``) for the table on common support to be shown."""
+    both = rows.groupBy("stratum").agg(F.count_if(F.col("grp") == "treated").alias("t"), F.count_if(F.col("grp") == "control").alias("c"))
+    out = both.agg(ratio(F.sum(F.when(F.col("c") == 0, F.col("t")).otherwise(0)), F.sum("t")).alias("trimmed_share"), F.count_if((F.col("t") > 0) & (F.col("c") > 0)).cast("long").alias("n_strata"))
+    return out.withColumn("shown", F.coalesce(F.col("trimmed_share") > least, F.lit(False)))
+
+
+def mix(rows: DataFrame, key: str) -> DataFrame:
+    """``grp, <key>, n, share``: how the names of each group spread over a classification; null is ``unknown``."""
+    n = rows.groupBy("grp", F.coalesce(F.col(key), F.lit("unknown")).alias(key)).agg(F.count(F.lit(1)).alias("n"))
+    return n.withColumn("share", ratio(F.col("n"), F.sum("n").over(W.partitionBy("grp"))))
+
+
+def companies(rows: DataFrame) -> DataFrame:
+    """The table of names for readers: per horizon the ranks by authors and by upvotes (mentioned names) and by size
+    (all), returns in percent, labels as 0 and 1 (null where not known). Ties by name."""
+    t = F.col("grp") == "treated"
+    rank = lambda c, *by: F.row_number().over(W.partitionBy("horizon_years", *by).orderBy(F.desc_nulls_last(c), "ticker")).cast("long")
+    pct = lambda c: F.round(100 * F.col(c), 1)
+    one = lambda c: F.col(c).cast("int")
+    n = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
+    return rows.select(
+        "ticker", F.when(t, "mentioned").otherwise("not_mentioned").alias("grp"), "horizon_years", n("n_mentions").alias("n_mentions"), n("n_authors").alias("n_authors"), n("total_score").alias("total_upvotes"), n("max_score").alias("best_post_upvotes"),
+        F.when(t, rank("n_authors", "grp")).alias("rank_by_authors"), F.when(t, rank("total_score", "grp")).alias("rank_by_upvotes"), "entry_date", F.round("entry_price", 4).alias("entry_price"), "exit_date", F.round("exit_price", 4).alias("exit_price"),
+        pct("forward_return").alias("forward_return_pct"), pct("benchmark_return").alias("benchmark_return_pct"), pct("excess_return").alias("excess_pct"), one("winner_3x").alias("tripled"), one("outperformer").alias("beat_benchmark"),
+        one("wipeout").alias("lost_70pct"), one("survived_full_horizon").alias("survived_full_horizon"), F.floor("dollar_volume").alias("dollar_volume_at_entry"), rank("dollar_volume").alias("size_rank_in_sample"),
+    )

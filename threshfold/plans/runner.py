@@ -16,12 +16,12 @@ Query = Callable[[SparkSession, str], DataFrame]
 #: Stage, and the column of its single row that must be true for the study to go on.
 STAGES: tuple[tuple[str, str | None], ...] = (
     ("capture_lag", None), ("extracted_mentions", None), ("precision_recall", "passes"), ("funnel_by_period", None), ("mention_panel", None), ("matched_cohort", None), ("fetch_plan", None),
-    ("quality_gate", "usable"), ("outcome_labels", None), ("post_stratified_lift", None), ("bootstrap_ci", None), ("recall_by_class", None), ("dose_response_fine", None), ("portfolio_weighted", None), ("novelty_shares", None),
-    ("novelty_in_index", None), ("timing_summary", None), ("factor_alpha", None), ("rank_analysis", None), ("rank_intervals", None), ("companies_export", None),
+    ("quality_gate", "usable"), ("outcome_labels", None), ("group_outcomes", None), ("post_stratified_lift", None), ("trimmed_support", None), ("common_support", None), ("bootstrap_ci", None), ("recall_by_class", None), ("dose_response_fine", None), ("portfolio_weighted", None), ("novelty_shares", None),
+    ("novelty_in_index", None), ("timing_summary", None), ("factor_alpha", None), ("rank_analysis", None), ("rank_intervals", None), ("exchange_mix", None), ("companies_table", None),
 )
 #: What the write-up shows, with the heading of each part.
 SECTIONS = {
-    "precision_recall": "Extraction", "funnel_by_period": "How wide the net is", "post_stratified_lift": "Lift against controls of like size", "bootstrap_ci": "Intervals", "recall_by_class": "Who was mentioned",
+    "precision_recall": "Extraction", "funnel_by_period": "How wide the net is", "post_stratified_lift": "Lift against controls of like size", "group_outcomes": "The groups as a whole", "trimmed_support": "Names without controls of their size", "common_support": "Lift on common support", "bootstrap_ci": "Intervals", "exchange_mix": "Where the names are listed", "recall_by_class": "Who was mentioned",
     "dose_response_fine": "More authors", "portfolio_weighted": "As a portfolio", "novelty_shares": "How novel the names are", "novelty_in_index": "How many were in an index", "timing_summary": "When they were mentioned",
     "factor_alpha": "Against factors", "rank_analysis": "Rank against membership", "rank_intervals": "Intervals of ranks",
 }

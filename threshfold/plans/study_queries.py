@@ -535,6 +535,46 @@ def companies_export(spark, d):
     )
 
 
+@query(f"WITH {_NAMES} SELECT grp, count(*) AS n, round(median(forward_return), 8) AS median_return, round(avg(CAST(survived_full_horizon AS DOUBLE)), 6) AS survived_share FROM n2 GROUP BY 1")
+def group_outcomes(spark, d):
+    """Median return and survival of both groups."""
+    return r6(L.group_outcomes(_names(spark, d)), "survived_share").withColumn("median_return", F.round("median_return", 8))
+
+
+@query(
+    f"""WITH {_NAMES}, s AS (SELECT stratum, count(*) FILTER (WHERE grp = 'treated') AS t, count(*) FILTER (WHERE grp = 'control') AS c FROM n2 GROUP BY 1), x AS (SELECT sum(CASE WHEN c = 0 THEN t ELSE 0 END) / sum(t) AS share, count(*) FILTER (WHERE t > 0 AND c > 0) AS k FROM s)
+ SELECT round(share, 6) AS trimmed_share, k AS n_strata, coalesce(round(share, 6) > 0.01, false) AS shown FROM x"""
+)
+def trimmed_support(spark, d):
+    """Whether the table on common support is shown."""
+    return r6(L.trimmed_support(_names(spark, d)), "trimmed_share")
+
+
+@query(
+    f"""WITH {_NAMES}, e AS (SELECT {symbol_key_sql('ticker')} AS ticker, min(exchange) AS exchange FROM tickers WHERE ticker IS NOT NULL GROUP BY 1), x AS (SELECT n2.grp, coalesce(e.exchange, 'unknown') AS exchange, count(*) AS n FROM n2 LEFT JOIN e ON e.ticker = n2.ticker GROUP BY 1, 2)
+ SELECT grp, exchange, n, round(n / sum(n) OVER (PARTITION BY grp), 6) AS share FROM x"""
+)
+def exchange_mix(spark, d):
+    """Treated names against controls by a classification (here the exchange; the tables have no industry codes of names)."""
+    e = table(spark, d, "tickers").where("ticker is not null").groupBy(symbol_key("ticker").alias("ticker")).agg(F.min("exchange").alias("exchange"))
+    return r6(L.mix(_names(spark, d).join(e, "ticker", "left"), "exchange"), "share")
+
+
+@query(
+    f"""WITH {_DOCS}, {_ANALYSIS}, {_SIGNAL}, a AS (SELECT an.*, sig.total_score, sig.max_score FROM an LEFT JOIN sig ON sig.ticker = an.ticker AND an.grp = 'treated')
+ SELECT ticker, CASE grp WHEN 'treated' THEN 'mentioned' ELSE 'not_mentioned' END AS grp, horizon_years, CAST(n_mentions AS BIGINT) AS n_mentions, CAST(n_authors AS BIGINT) AS n_authors, CAST(coalesce(total_score, 0) AS BIGINT) AS total_upvotes, CAST(coalesce(max_score, 0) AS BIGINT) AS best_post_upvotes,
+ CASE WHEN grp = 'treated' THEN row_number() OVER (PARTITION BY horizon_years, grp ORDER BY n_authors DESC NULLS LAST, ticker) END AS rank_by_authors, CASE WHEN grp = 'treated' THEN row_number() OVER (PARTITION BY horizon_years, grp ORDER BY total_score DESC NULLS LAST, ticker) END AS rank_by_upvotes,
+ entry_date, round(entry_price, 4) AS entry_price, exit_date, round(exit_price, 4) AS exit_price, round(100 * forward_return, 1) AS forward_return_pct, round(100 * benchmark_return, 1) AS benchmark_return_pct, round(100 * excess_return, 1) AS excess_pct,
+ CAST(winner_3x AS INTEGER) AS tripled, CAST(outperformer AS INTEGER) AS beat_benchmark, CAST(wipeout AS INTEGER) AS lost_70pct, CAST(survived_full_horizon AS INTEGER) AS survived_full_horizon, CAST(floor(dollar_volume) AS BIGINT) AS dollar_volume_at_entry,
+ row_number() OVER (PARTITION BY horizon_years ORDER BY dollar_volume DESC NULLS LAST, ticker) AS size_rank_in_sample FROM a"""
+)
+def companies_table(spark, d):
+    """The full export, both horizons, with upvotes."""
+    a = _analysis(spark, d)
+    s = ranking_signals(spark, d).select(F.lit("treated").alias("grp"), "ticker", "total_score", "max_score")
+    return L.companies(a.join(s, ["grp", "ticker"], "left"))
+
+
 # --- series ----------------------------------------------------------------------------------
 
 _MONTHS = "me AS (SELECT ticker, strftime(date, '%Y-%m') AS month, arg_max(price, date) AS p FROM px GROUP BY 1, 2), mr AS (SELECT ticker, month, p / nullif(lag(p) OVER (PARTITION BY ticker ORDER BY month), 0) - 1 AS month_return FROM me)"

@@ -35,14 +35,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` in at least as many partitions as there are cores, for maps that are dear per row.
+    """``df`` in about as many partitions as there are cores or more, for maps that are dear per row.
 
     A large table has more splits than that and stays as it is; only a table of few files is dealt
     out again, which moves little."""
     conf = df.sparkSession._jsparkSession.sessionState().conf()
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    # a scan has a split a core as soon as that makes splits of the cost of opening a file
-    return df if input_bytes(df) >= cores * int(conf.filesOpenCostInBytes()) else df.repartition(cores)
+    cores, size = df.sparkSession.sparkContext.defaultParallelism, input_bytes(df)
+    # as a scan is split: by the bytes of a core, at least the cost of opening a file
+    split = min(int(conf.filesMaxPartitionBytes()), max(int(conf.filesOpenCostInBytes()), size // cores + 1))
+    return df if 4 * -(-size // split) >= 3 * cores else df.repartition(cores)
 
 
 def input_bytes(df: DataFrame) -> int:
