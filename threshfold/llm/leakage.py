@@ -18,8 +18,9 @@ A prefix-filtered set join on gapped five-word shingles with exact verification:
    around the chain. A stretch counts where at least ``DENSITY`` of it matches, and the best one or
    two stretches in the item's order must reach ``MIN_WORDS`` words.
 
-The bounds of 3 and 4 are implied by 5, they lose nothing: they are the least values over all ways
-of editing one stretch of 20 kept words by 5 edits, or two of 10 by 2 each (a test counts them out).
+The bounds of 3 and 4 follow from 5: they are the least values over the ways of editing one stretch of 20
+kept words by 5 edits, or two of 10 by 2 each. A test counts them out, for 10 words in all ways, for 20 at all
+places with changed words.
 
 The items are the stated query set: they are cut into blocks of at most ``BLOCK_WORDS`` words, which
 bounds what a task holds. A block reads the documents once; what follows reads its postings, which
