@@ -1,6 +1,7 @@
 import random
 from collections import defaultdict
 
+from threshfold.operators import hot_keys as H
 from threshfold.operators.hot_keys import heavy_keys, key_totals
 
 SCHEMA = "entity_id string, ticker string, author string, created_utc long, score int, key string, n long"
@@ -34,3 +35,15 @@ def test_empty_table(spark):
 def test_all_null_keys(spark):
     t = key_totals(spark.createDataFrame([(None, None, None, None, None, None, None)] * 3, SCHEMA), ["ticker"], "created_utc", "score", "author")
     assert [tuple(r) for r in t.collect()] == [("ticker", None, 3, 0, None, None)]
+
+
+def test_salted_parts_and_few_tasks_give_the_same(spark, tmp_path, monkeypatch):
+    rnd = random.Random(4)
+    rows = [(rnd.choice(["hot", "hot", *map(str, range(50))]), rnd.choice(["T", "U", None]), rnd.choice(["u1", "u2", "u3"]), rnd.randrange(99), rnd.randrange(9), "k", 1) for _ in range(2000)]
+    spark.createDataFrame(rows, SCHEMA).repartition(6).write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    ask = lambda: sorted(map(str, key_totals(df, ["entity_id", "ticker"], "created_utc", "score", "author").collect()))
+    want = ask()
+    for name, value in (("BLOCK_BYTES", 2000), ("FAN_IN", 2), ("MOST_TASKS", 3)):
+        monkeypatch.setattr(H, name, value)
+        assert ask() == want

@@ -117,3 +117,11 @@ def test_hot_callers_are_cut_by_time(spark):
         else:
             held = lambda s: sum(1 for k, t in rows if k == r.who and t is not None and r.t - s < t <= r.t)
             assert r.admissible == (held(60) <= 7 and held(300) <= 30)
+
+
+def test_factors_with_momentum(spark):
+    base = spark.createDataFrame([("2020-01", "Mkt-RF", 0.1), ("2020-01", "RF", 0.0), ("2020-02", "Mkt-RF", 0.2), ("2020-02", "RF", 0.01)], "month string, factor string, value double")
+    mom = spark.createDataFrame([("2020-02", "Mom", 0.5), ("2020-02", "RF", 9.0), ("2020-03", "Mom", 0.6)], "month string, factor string, value double")
+    got = files.factor_table(base, mom)
+    assert got.columns == ["month", "Mkt-RF", "RF", "Mom"]
+    assert sorted(map(tuple, got.collect())) == [("2020-01", 0.1, 0.0, None), ("2020-02", 0.2, 0.01, 0.5)]

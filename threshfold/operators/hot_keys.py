@@ -27,6 +27,8 @@ from threshfold.session import input_bytes
 BLOCK_BYTES = 64 << 20
 #: Fewest blocks, and arrays of one block that one reducer adds up at most (about).
 LEAST_BLOCKS, FAN_IN = 4, 256
+#: Most tasks of a reduction; a task goes through its blocks one by one.
+MOST_TASKS = 32_768
 BLOCK = "field string, block long, salt int, keys array<string>, n array<bigint>, distinct_n array<bigint>, total array<bigint>, n_total array<bigint>, first array<bigint>"
 _NAMES = ["field", "block", "salt", "keys", "n", "distinct_n", "total", "n_total", "first"]
 _LONGS = pa.list_(pa.int64())
@@ -115,30 +117,35 @@ def _arrow(rows: list[tuple]) -> list[pa.RecordBatch]:
     return pa.Table.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), _KINDS, strict=True)], _NAMES).to_batches(max_chunksize=256)
 
 
-def _summed(batches: Iterator[pa.RecordBatch]) -> dict[tuple[str, int, int], Dense]:
-    """Arrays added up by field, block and salt: one dictionary and one set of arrays for each."""
-    acc: dict[tuple[str, int, int], Dense] = {}
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[str, int, int], Dense]]:
+    """Arrays added up by field, block and salt, which come one after the other: a task holds the keys of one
+    block at a time."""
+    now, d = None, Dense()
     for b in batches:
         col = [b.column(c) for c in range(b.num_columns)]
         for i, at in enumerate(zip(*[c.to_pylist() for c in col[:3]], strict=True)):
-            d = acc.setdefault(at, Dense())
+            if at != now:
+                if now is not None:
+                    yield now, d
+                now, d = at, Dense()
             code = d.codes(col[3][i].values)  # keys of one row differ
             for row in range(4):
                 d.n[row][code] += col[4 + row][i].values.to_numpy()
             d.first[code] = np.minimum(d.first[code], col[8][i].values.to_numpy())
-    return acc
+    if now is not None:
+        yield now, d
 
 
 def _add_parts(blocks: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (field, _, salt), d in _summed(batches).items():
+        for (field, _, salt), d in _summed(batches):
             yield from _arrow(list(_rows(field, d, salt, blocks)))
 
     return run
 
 
 def _add_whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for (field, _, _), d in _summed(batches).items():
+    for (field, _, _), d in _summed(batches):
         k = len(d.code)
         total = pa.array(d.n[2, :k], mask=d.n[3, :k] == 0)
         first = pa.array(d.first[:k], mask=d.first[:k] == _NONE)
@@ -176,10 +183,11 @@ def key_totals(
         triples = df.where(who.isNotNull() & ~who.isin(*ignore)).select(each, who.alias("who")).select("k.field", "k.key", "who").distinct()
         blocks = blocks.unionByName(triples.select("field", "key").mapInArrow(_scatter(list(fields), True, n_blocks, salts), BLOCK))
     tasks = len(fields) * n_blocks  # said outright: arrays are few and long, so their number says little about their work
+    group = ["field", "block", "salt"]
     if salts > 1:
-        blocks = blocks.repartition(tasks * salts, "field", "block", "salt").mapInArrow(_add_parts(n_blocks), BLOCK)
+        blocks = blocks.repartition(min(tasks * salts, MOST_TASKS), *group).sortWithinPartitions(*group).mapInArrow(_add_parts(n_blocks), BLOCK)
     out = "field string, key_value string, n_rows long, n_distinct long, first_at long, total long"
-    return blocks.withColumn("salt", F.lit(0)).repartition(tasks, "field", "block").mapInArrow(_add_whole, out)
+    return blocks.withColumn("salt", F.lit(0)).repartition(min(tasks, MOST_TASKS), "field", "block").sortWithinPartitions(*group).mapInArrow(_add_whole, out)
 
 
 def heavy_keys(totals: DataFrame, share: float) -> DataFrame:

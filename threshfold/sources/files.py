@@ -137,6 +137,20 @@ def parse_factors(lines: DataFrame, file: str = "name", no: str = "line_no", lin
     return out.where(value.isNotNull() & (F.col("factor") != "")).select(F.concat(F.substring("m", 1, 4), F.lit("-"), F.substring("m", 5, 2)).alias("month"), "factor", (value / 100).alias("value"))
 
 
+def factor_table(base: DataFrame, *more: DataFrame) -> DataFrame:
+    """``month`` and a column per factor: the months of ``base`` (rows of :func:`parse_factors`), with the factors of
+    other files (momentum) where they have the month, null elsewhere. Factor names are few, a column each; a
+    factor that several files tell comes from the first."""
+    def wide(df: DataFrame, taken: list[str]) -> DataFrame:
+        w = df.groupBy("month").pivot("factor").agg(F.first("value"))
+        return w.select("month", *[F.col(f"`{c}`") for c in w.columns if c != "month" and c not in taken])
+
+    out = wide(base, [])
+    for m in more:
+        out = out.join(wide(m, out.columns), "month", "left")
+    return out
+
+
 def registry_rows(spark: SparkSession, path: str) -> DataFrame:
     """Rows of a registry document ``{"fields": [...], "data": [[...], ...]}``; every value as text."""
     doc = spark.read.schema("fields array<string>, data array<array<string>>").option("multiLine", True).json(path)
