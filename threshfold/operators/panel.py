@@ -89,19 +89,19 @@ def documents_of(posts: DataFrame, comments: DataFrame) -> DataFrame:
     each message once. The columns come along through the deduplication, no text does."""
     from threshfold.functions.symbols import message_key
     from threshfold.functions.text import removed
-    from threshfold.operators.once import deliver_once
+    from threshfold.operators.once import mark_surplus
 
     carry = {"doc_id": "string", "doc_score": "int", "num_comments": "int", "lag_days": "double", "removed": "boolean"}
 
-    def one(df: DataFrame, kind: str, body: str) -> DataFrame:
+    def slim(df: DataFrame, body: str) -> DataFrame:
         n = F.col("num_comments") if "num_comments" in df.columns else F.lit(None).cast("int")
-        slim = df.select(
+        return df.select(
             "id", "ingest_no", "retrieved_on", message_key("id").alias("doc_id"), F.col("score").alias("doc_score"), n.alias("num_comments"),
             ((F.col("retrieved_on") - F.col("created_utc")) / 86400).alias("lag_days"), removed(F.col("removed_by_category"), F.col(body)).alias("removed"),
         )
-        return deliver_once(slim, kind, carry=carry).withColumn("doc_type", F.lit(kind))
 
-    return one(posts, "post", "selftext").unionByName(one(comments, "comment", "body"))
+    once = mark_surplus({"post": slim(posts, "selftext"), "comment": slim(comments, "body")}, carry=carry).where("not surplus")
+    return once.select(F.col("src").alias("doc_type"), *carry)
 
 
 def funnel(mentions: DataFrame, entity: str = "entity_id", by: list[str] | None = None, universe: int = 5000) -> DataFrame:
