@@ -97,3 +97,25 @@ def test_a_public_name_list(tmp_path):
 def test_short_texts_are_read(spark):
     df = spark.createDataFrame([(1, "a@b"), (2, "x")], "ingest_no long, body string")
     assert pii.find_items(df, "body", "ingest_no", "c").count() == 0
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("Office: 1600 K Street, Washington", ["1600 K Street"]),
+        ("we live at 5 A Street.", ["5 A Street"]),
+        ("at 12b A St. and 100 N K Street, too", ["12b A St.", "100 N K Street"]),
+        ("sent to 1600 k street, twice", ["1600 k street"]),
+        ("it is up 5 k way, worth 9 a street. BOUGHT 7 X CLOSE!", []),
+        ("moved to 12b-14 Linden Road, Graypool", ["12b-14 Linden Road"]),
+    ],
+)
+def test_streets_with_a_letter_for_a_name(text, want):
+    got = [text[a:z] for k, a, z in F.find(text) if k == "address"]
+    assert [g[: len(w)] for g, w in zip(got, want, strict=True)] == want
+
+
+def test_a_text_with_a_lettered_street_does_not_stop_the_job(spark):
+    df = spark.createDataFrame([(1, "1600 K Street, Washington"), (2, "m@x.example")], "ingest_no long, body string")
+    assert sorted((r.ingest_no, r.pii_type, r.span_start) for r in pii.find_items(df, "body", "ingest_no", "comments").collect()) == [(1, "address", 0), (2, "email", 0)]
+    assert [r.body for r in pii.redacted(df, "body").orderBy("ingest_no").collect()] == ["[ADDRESS], Washington", "[EMAIL]"]

@@ -156,6 +156,8 @@ _ADDRESS = [
 _DIGIT_RUN = re.compile(r"\d(?:[\s().\-/]{0,3}\d){6}")
 # Words of sentences, and streets that stand for markets.
 _NO_NAME = frozenset("a about after all an and any are around as at be before big but by each every first for free from good had has in is it last long market more most my new next no not of old on one or other our over own per percent same second shares so that the their then this to under was we were what will with year years your".split())
+# Streets that may have a letter for a name.
+_LETTERED = frozenset("street st avenue ave road rd".split())
 _NO_STREET = re.compile(r"\b(?:wall|main|high|fleet|lombard) (?:street|st)\b", re.I)
 
 # Common given names (a sample of public name statistics; a parameter of the operator).
@@ -276,10 +278,13 @@ _KEYS = {
 
 def _no_street_name(found: str) -> bool:
     """"1099 to my old place", "12 after market close": words of a sentence between number and street.
-    A name in lower case has one word."""
-    words = re.findall(r"[^\W\d_][\w'-]*", found.split(",")[0])
-    words = words[1:] if len(words) > 1 and len(words[0]) == 1 else words  # 15b
+    A name in lower case has one word. A letter is a name too ("1600 K Street"), but a small one, or one before a
+    word in small letters, only of a street or road ("up 5 k way"), and a small "a" never."""
+    words = re.findall(r"[^\W\d_][\w'-]*", found.split(",")[0].split(" ", 1)[1])  # behind the number: 15b
+    words = words[1:] if len(words) > 2 and len(words[0]) == 1 else words  # N Main Street
     name = words[:-1]
+    if len(name[0]) == len(name) == 1:
+        return name[0] == "a" or not (words[-1].lower() in _LETTERED or (name[0].isupper() and words[-1].istitle()))
     return any(w.lower() in _NO_NAME for w in name) or (name[0].islower() and (len(name) > 1 or not words[-1].islower()))
 
 
