@@ -119,3 +119,9 @@ def test_a_text_with_a_lettered_street_does_not_stop_the_job(spark):
     df = spark.createDataFrame([(1, "1600 K Street, Washington"), (2, "m@x.example")], "ingest_no long, body string")
     assert sorted((r.ingest_no, r.pii_type, r.span_start) for r in pii.find_items(df, "body", "ingest_no", "comments").collect()) == [(1, "address", 0), (2, "email", 0)]
     assert [r.body for r in pii.redacted(df, "body").orderBy("ingest_no").collect()] == ["[ADDRESS], Washington", "[EMAIL]"]
+
+
+def test_bytes_that_are_no_utf8_do_not_stop_the_job(spark):
+    df = spark.sql("SELECT 1L AS ingest_no, CAST(X'FF206D40782E6578616D706C6520C3' AS STRING) AS body")
+    assert [(r.pii_type, r.span_start) for r in pii.find_items(df, "body", "ingest_no", "comments").collect()] == [("email", 2)]
+    assert [r.body for r in pii.redacted(df, "body").collect()] == ["\ufffd [EMAIL] \ufffd"]

@@ -462,7 +462,8 @@ def find_items(df: DataFrame, text_col: str, row_col: str, src: str, given_names
     """``src, ingest_no, pii_type, span_start, span_end``: one row per item of every row.
 
     Null and empty texts have no items; texts of any length are read whole; repeated rows give
-    repeated items. A map over the rows. Other columns are not read.
+    repeated items; bytes that are no UTF-8 count as replacement characters. A map over the rows.
+    Other columns are not read.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -471,11 +472,12 @@ def find_items(df: DataFrame, text_col: str, row_col: str, src: str, given_names
             rows = [(src, n, k, a, z) for n, t in zip(b["row_no"], b["text"], strict=True) for k, a, z in finder.find(t)]
             yield pd.DataFrame(rows, columns=["src", "ingest_no", "pii_type", "span_start", "span_end"])
 
-    return spread(df.where(F.col(text_col).isNotNull()).select(F.col(row_col).cast("long").alias("row_no"), F.col(text_col).alias("text"))).mapInPandas(run, FOUND)
+    return spread(df.where(F.col(text_col).isNotNull()).select(F.col(row_col).cast("long").alias("row_no"), F.make_valid_utf8(text_col).alias("text"))).mapInPandas(run, FOUND)
 
 
 def redacted(df: DataFrame, text_col: str, given_names: tuple[str, ...] = tuple(GIVEN_NAMES)) -> DataFrame:
-    """``df`` with ``text_col`` redacted; null stays null, all other columns stay."""
+    """``df`` with ``text_col`` redacted; null stays null, all other columns stay. Bytes that are no UTF-8
+    become replacement characters."""
 
     @F.pandas_udf("string")
     def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -483,4 +485,4 @@ def redacted(df: DataFrame, text_col: str, given_names: tuple[str, ...] = tuple(
         for texts in batches:
             yield pd.Series([None if t is None else redact(t, finder.find(t)) for t in texts], dtype=object)
 
-    return df.withColumn(text_col, clean(F.col(text_col)))
+    return df.withColumn(text_col, clean(F.make_valid_utf8(text_col)))
